@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard_join import op5_jaccard_join
+from .language_id import op3_language_id
 from .suffix_dedup import op8_suffix_dedup
+from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
 }
 
