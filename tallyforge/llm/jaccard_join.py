@@ -27,14 +27,14 @@ from .components import connected_components
 
 THRESHOLD = 0.8
 SIZE = 5
-RECALL = 0.999
+RECALL = 0.9999
 #: Classes of a component that one task compares with as many others.
 BLOCK = 512
 #: Shared n-grams taken into one product.
 COLUMNS = 4096
 
 
-def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 160) -> tuple[int, int]:
+def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 192) -> tuple[int, int]:
     """(bands, rows): the steepest banding that finds a pair at the threshold with the wanted probability."""
     best = None
     for rows in range(1, most + 1):

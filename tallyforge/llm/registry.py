@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard_join import op5_jaccard_join
 from .language_id import op3_language_id
+from .secret_scan import op10_secret_scan
+from .sentencepiece_codec import op2_sentencepiece
 from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {}

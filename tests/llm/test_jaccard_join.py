@@ -42,9 +42,9 @@ def got(df):
 
 
 def test_bands_reach_the_recall():
-    b, r = choose_bands(0.8, 0.999, 160)
-    assert 1 - (1 - 0.8**r) ** b >= 0.999 and b * r <= 160
-    assert 1 - (1 - 0.8 ** (r + 1)) ** (160 // (r + 1)) < 0.999
+    b, r = choose_bands(0.8, 0.9999, 192)
+    assert 1 - (1 - 0.8**r) ** b >= 0.9999 and b * r <= 192
+    assert 1 - (1 - 0.8 ** (r + 1)) ** (192 // (r + 1)) < 0.9999
 
 
 def test_components(spark):
