@@ -12,10 +12,12 @@ from .secret_scan import op10_secret_scan
 from .sentencepiece_codec import op2_sentencepiece
 from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op7_toxicity
+from .url_filter import op4_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
+    "op4_url_filter": op4_url_filter,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
