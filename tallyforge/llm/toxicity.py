@@ -96,7 +96,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_words: int
         return Model(np.zeros(0, U), np.zeros(0), 20.0 if many.get(1) else -20.0)
     part = F.when(F.col("y") == 1, min(1.0, sample / many[1])).otherwise(min(1.0, sample / many[0]))
     chosen = lab.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < part * (1 << 30))
-    bags = only(docs, "doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "y").persist()
+    bags = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about 2 * sample rows of two numbers
+    bags = bags.select("doc_id", "text", "y").persist()
     seen = {r.y: r.n for r in bags.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not seen.get(0) or not seen.get(1):
         return Model(np.zeros(0, U), np.zeros(0), 20.0 if seen.get(1) else -20.0)
