@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rules
 from .jaccard_join import op5_jaccard_join
 from .language_id import op3_language_id
+from .quality_rules import op9_quality_rules
 from .secret_scan import op10_secret_scan
 from .sentencepiece_codec import op2_sentencepiece
 from .suffix_dedup import op8_suffix_dedup
@@ -21,7 +23,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_quality_rules": quality_rules.SQL,
+}
