@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import decontaminate, quality_rules
+from .decontaminate import op6_decontamination
 from .jaccard_join import op5_jaccard_join
 from .language_id import op3_language_id
 from .quality_rules import op9_quality_rules
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
@@ -28,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_decontamination": decontaminate.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
