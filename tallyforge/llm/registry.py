@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality_rules
+from . import decontaminate, license_scan, quality_rules
 from .decontaminate import op6_decontamination
 from .jaccard_join import op5_jaccard_join
 from .language_id import op3_language_id
+from .license_scan import op1_license_scan
 from .quality_rules import op9_quality_rules
 from .secret_scan import op10_secret_scan
 from .sentencepiece_codec import op2_sentencepiece
@@ -18,6 +19,7 @@ from .toxicity import op7_toxicity
 from .url_filter import op4_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
@@ -30,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.SQL,
     "op6_decontamination": decontaminate.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
