@@ -321,7 +321,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """
     d = only(docs, "doc_id", "text").withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
     keyed = d.select("k", "text")
-    counts = map_arrow(keyed, "h long, n long", _counted(length, gram)).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = cut(map_arrow(keyed, "h long, n long", _counted(length, gram)).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
     found = map_arrow(keyed, "h long, k long", _listed(length, gram)).join(counts, "h")
     lists = found.groupBy("k").agg(F.collect_list("h").alias("anchors"), F.collect_set(F.expr(f"if(n > {int(hot)}, h, null)")).alias("hot"))
     lists = cut(lists)
