@@ -7,6 +7,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,16 +39,27 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: lost executors do not undo it."""
     spark = df.sparkSession
+    _let_go(spark, 1)
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _later_removed(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop the shuffle files of what is written now
+    _let_go(spark)
     return out
 
 
+def _let_go(spark: SparkSession, turns: int = 2) -> None:
+    """Let the context cleaner drop the shuffle files of jobs that are done.
+
+    Listeners hold a finished query until they have heard of it, so one collection at once is too early.
+    """
+    for _ in range(turns):
+        time.sleep(0.3)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
