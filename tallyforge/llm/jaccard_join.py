@@ -245,3 +245,18 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Operator 5 over all documents: class and number of links at a similarity of 0.8 on word 5-grams."""
     return near_duplicates(table(spark, sf_dir, "documents")).drop("th")
+
+
+SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9_\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SIZE} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {SIZE - 2}), lambda i: array_to_string(w[i:i + {SIZE - 1}], ' ')) END) AS g FROM d),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE shared >= {THRESHOLD} * (nx.n + ny.n - shared) - 1e-9),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(rid, root) AS (SELECT rid, rid FROM d UNION SELECT e.y, reach.root FROM reach JOIN e ON reach.rid = e.x),
+c AS (SELECT reach.rid, min(d.doc_id) AS class_id FROM reach JOIN d ON d.rid = reach.root GROUP BY reach.rid),
+k AS (SELECT x AS rid, count(*) AS n_links FROM e GROUP BY x)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM d JOIN c USING (rid) LEFT JOIN k USING (rid)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, quality_rules
+from . import decontaminate, jaccard_join, license_scan, quality_rules, suffix_dedup
 from .decontaminate import op6_decontamination
 from .jaccard_join import op5_jaccard_join
 from .language_id import op3_language_id
@@ -33,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_scan.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
     "op6_decontamination": decontaminate.SQL,
+    "op8_suffix_dedup": suffix_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }

@@ -338,3 +338,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Operator 8 over all documents: strings of 100 bytes that start earlier are removed."""
     return repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: Documents have different ids here. Every string of LENGTH bytes is a row; of equal ones the first by (doc_id, place) stays.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, doc_id, p, b[p:p + {LENGTH - 1}] AS s FROM d, unnest(range(1, octet_length(b) - {LENGTH - 2})) AS u(p)),
+f AS (SELECT rid, p, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, p) AS r FROM w),
+g AS (SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + {LENGTH} THEN 0 ELSE 1 END AS fresh FROM f WHERE r > 1),
+h AS (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS run FROM g),
+runs AS (SELECT rid, min(p) AS a, max(p) + {LENGTH} AS z FROM h GROUP BY rid, run),
+gaps AS (SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 1) AS a, a - 1 AS z FROM runs UNION ALL SELECT rid, max(z), 2147483647 FROM runs GROUP BY rid),
+kept AS (SELECT rid, list_reduce(list(b[gaps.a:least(gaps.z, octet_length(b))] ORDER BY gaps.a), lambda x, y: x || y) AS k FROM gaps JOIN d USING (rid) GROUP BY rid),
+s AS (SELECT rid, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY rid)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(k, b)) AS kept_sha256
+FROM d LEFT JOIN s USING (rid) LEFT JOIN kept USING (rid)
+"""
