@@ -65,39 +65,55 @@ def suffix_array(text: np.ndarray, keys: np.ndarray | None = None) -> tuple[np.n
     return sa, rank
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, lanes: int = 8192) -> np.ndarray:
-    """Kasai's common prefix of each sorted suffix with the one before it.
+def common_prefixes(text: np.ndarray, sa: np.ndarray, wanted: np.ndarray | None = None, keys: np.ndarray | None = None, lanes: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Kasai's common prefix of each sorted suffix with the one before it: the suffixes ``wanted`` in order, and their prefixes.
 
-    The positions are cut into ``lanes`` stretches, and Kasai's scan runs over all stretches in lock step:
-    going one position on loses one character of the prefix at most, so each lane compares few bytes.
+    ``wanted`` marks positions (all by default); the prefix is then with the wanted suffix before. The positions are cut into
+    stretches, and Kasai's scan runs over all stretches in lock step: going one position on loses one character
+    of the prefix at most (if the other suffix's next position is wanted too, else the scan starts anew), and a prefix is
+    extended by 8 bytes at a time.
     """
     n = len(text)
-    lcp = np.zeros(n, np.int64)
-    if n < 2:
-        return lcp
-    size = max(64, -(-n // lanes))
-    at = np.arange(0, n, size)
-    end = np.minimum(at + size, n)
-    pad = np.concatenate((text.astype(np.int16), [-1]))
-    before = np.empty(n, np.int64)
-    before[sa[1:]] = sa[:-1]
-    before[sa[0]] = n
+    keys = packed(text) if keys is None else keys
+    wanted = np.ones(n, bool) if wanted is None else wanted
+    order = sa[wanted[sa]]
+    lcp = np.zeros(len(order), np.int64)
+    if len(order) < 2:
+        return order, lcp
+    place, before = np.empty(n, np.int64), np.full(n, n, np.int64)
+    place[order] = np.arange(len(order))
+    before[order[1:]] = order[:-1]
+    spots = np.flatnonzero(wanted)
+    size = max(32, -(-len(spots) // lanes))
+    first = np.ones(len(spots), bool)
+    first[1:] = spots[1:] != spots[:-1] + 1
+    head = np.flatnonzero(first)
+    inside = np.arange(len(spots)) - np.repeat(head, np.diff(np.append(head, len(spots))))
+    head = np.flatnonzero(inside % size == 0)
+    at, end = spots[head], spots[np.append(head[1:], len(spots)) - 1] + 1
     h = np.zeros(len(at), np.int64)
+    follows = np.append(wanted[1:], [False, False])
     while len(at):
         j = before[at]
-        a, b = at + h, np.minimum(j + h, n)
-        more = (a < n) & (b < n)
-        more &= pad[np.minimum(a, n)] == pad[b]
-        h[more] += 1
-        done = ~more
+        most = np.maximum(n - np.maximum(at, j), 0)
+        a, b = np.minimum(at + h, n - 1), np.minimum(j + h, n - 1)
+        x = keys[a] ^ keys[b]
+        same = (x == 0) & (h + 8 <= most)
+        h[same] += 8
+        done = np.flatnonzero(~same)
+        y = x[done]
+        more = np.zeros(len(done), np.int64)
+        for shift in range(56, -1, -8):
+            more += (y >> U(shift)) == 0
+        h[done] = np.minimum(h[done] + more, most[done])
         p = at[done]
-        lcp[rank[p]] = np.where(j[done] < n, h[done], 0)
-        h[done] = np.maximum(h[done] - 1, 0)
+        lcp[place[p]] = h[done]
+        h[done] = np.where(follows[j[done]], np.maximum(h[done] - 1, 0), 0)
         at[done] += 1
         if (at >= end).any():
             live = at < end
             at, end, h = at[live], end[live], h[live]
-    return lcp
+    return order, lcp
 
 
 def find(keys: np.ndarray, sorted_at: np.ndarray, other: np.ndarray, query: np.ndarray, length: int) -> np.ndarray:

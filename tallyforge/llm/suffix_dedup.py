@@ -190,12 +190,16 @@ def judge(segments: list[bytes], k: np.ndarray, lo: np.ndarray, n: np.ndarray, l
         text = np.frombuffer(b"".join(segments[i] for i in part), np.uint8)
         off = np.cumsum([0] + sizes[a:b])[:-1]
         keys = packed(text)
-        sa, rank = suffix_array(text, keys)
-        lcp = common_prefixes(text, sa, rank)
+        sa, _ = suffix_array(text, keys)
         m = n[part]
         step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
         start = np.repeat(off, m) + step
-        group = np.cumsum(lcp < length)[rank[start]]  # equal for suffixes with a common prefix of that length
+        heads = np.zeros(len(text), bool)
+        heads[start] = True
+        order, lcp = common_prefixes(text, sa, heads, keys)
+        group = np.empty(len(text), np.int64)
+        group[order] = np.cumsum(lcp < length)  # equal for strings with a common prefix of that length
+        group = group[start]
         values, first, group = np.unique(group, return_index=True, return_inverse=True)
         heads = start[first]  # sorted as the suffixes are
         name = np.full(len(heads), -1, np.int64)

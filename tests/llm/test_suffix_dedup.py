@@ -37,12 +37,14 @@ def test_suffix_array_and_prefixes():
         text = np.frombuffer(b, np.uint8)
         sa, rank = suffix_array(text)
         assert sa.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
-        lcp = common_prefixes(text, sa, rank, lanes=3)
-        for r in range(1, len(b)):
-            x, y, c = b[sa[r] :], b[sa[r - 1] :], 0
-            while c < min(len(x), len(y)) and x[c] == y[c]:
-                c += 1
-            assert lcp[r] == c
+        for wanted in (np.ones(len(b), bool), np.array([rng.random() < 0.7 for _ in b])):
+            order, lcp = common_prefixes(text, sa, wanted, lanes=3)
+            assert order.tolist() == [i for i in sa if wanted[i]]
+            for r in range(1, len(order)):
+                x, y, c = b[order[r] :], b[order[r - 1] :], 0
+                while c < min(len(x), len(y)) and x[c] == y[c]:
+                    c += 1
+                assert lcp[r] == c
 
 
 def test_binary_search_merges_shards():
