@@ -36,16 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{where}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again: lost executors do not undo it."""
+def cut(df: DataFrame, tidy: bool = True) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it again: lost executors do not undo it.
+
+    ``tidy`` lets the shuffle files of jobs that are done go; steps of a loop over small tables leave that to the next that does.
+    """
     spark = df.sparkSession
-    _let_go(spark, 1)
+    if tidy:
+        _let_go(spark, 1)
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _later_removed(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
-    _let_go(spark)
+    if tidy:
+        _let_go(spark)
     return out
 
 
@@ -76,6 +81,15 @@ def _remove() -> None:
     _WRITTEN.clear()
 
 
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with a long key in a form that hides how its rows lie.
+
+    A join with an aggregate on its key would take the aggregate's partitions as they are, and then the skew join
+    cannot split the other side's hot keys; so the aggregate, which is small, gets an exchange of its own.
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns of a table, whatever else it has; a name in another case counts as extra."""
     return df.select(*[df[f"`{c}`"] for c in columns])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U, bounds, buffers, hash_spans, mix, owners, shingles
-from ._spark import cut, map_arrow, only, slabs, table, texts
+from ._spark import cut, dealt_anew, map_arrow, only, slabs, table, texts
 from .components import connected_components
 
 THRESHOLD = 0.8
@@ -191,10 +191,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     cls = cut(cls.select("c1", "c2", "n", "w", "rep.*").withColumn("node", F.monotonically_increasing_id()))
     dealt = cls.select("node", F.explode("bands").alias("band"))
     low = dealt.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("many")).where("many > 1")
-    stars = dealt.join(low, "band").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    stars = dealt.join(dealt_anew(low, "band"), "band").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     comp = connected_components(stars)
     comp = cut(comp)
-    sizes = comp.groupBy("component").agg(F.count("*").alias("many"))
+    sizes = dealt_anew(comp.groupBy("component").agg(F.count("*").alias("many")), "component")
     members = comp.join(sizes, "component").join(cls.select("node", "k", "th", "w"), "node")
     members = members.withColumn("blocks", F.ceil(F.col("many") / F.lit(block)))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     counts = near.groupBy("node").agg(F.sum("links").alias("links"))
     found = cls.join(counts, "node", "left").join(hung, "node", "left").withColumn("component", F.coalesce("component", "node"))
     found = cut(found.select("c1", "c2", "n", "w", "k", "component", F.coalesce("links", F.lit(0)).alias("links")))
-    least = found.groupBy("component").agg(F.min("k").alias("class_id"))
+    least = dealt_anew(found.groupBy("component").agg(F.min("k").alias("class_id")), "component")
     found = found.join(least, "component").select("c1", "c2", "n", "class_id", (F.col("w") - 1 + F.col("links")).alias("n_links"))
     out = sig.select("k", "th", "c1", "c2", "n").join(found, ["c1", "c2", "n"], "left")
     empty = lambda c: F.nullif(c, F.lit(top))
