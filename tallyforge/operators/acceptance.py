@@ -53,3 +53,8 @@ def gate(events: DataFrame) -> DataFrame:
     verdict = F.when(F.col("executed").isNull(), "submission_not_executed").when(F.col("executed") != F.col("argument"), "submission_sql_mismatch")
     verdict = verdict.when(~F.array_contains("described", F.col("argument_table")), "undescribed_table").otherwise("ok")
     return e.where(F.col("tool") == "submit_sql").select("episode_id", "step", verdict.alias("verdict"))
+
+
+def violations(attempts: DataFrame) -> DataFrame:
+    """Attempts that were accepted though a reason stands against them: a second look at the same evidence."""
+    return attempts.withColumn("reason", reason()).where(F.col("accepted") & F.col("reason").isNotNull()).select("episode_id", "reason")

@@ -92,3 +92,15 @@ def inspect(conv: DataFrame) -> DataFrame:
     p = F.when(F.element_at(m, -1)["role"] != "assistant", "last message is not the assistant's").when(m[0]["role"] == "assistant", "first message is the assistant's")
     p = p.when(F.exists(m, lambda x: F.coalesce(F.trim(x["content"]), F.lit("")) == ""), "empty message")
     return conv.select("conv_id", p.alias("problem")).where("problem is not null")
+
+
+def episode_messages(events: DataFrame) -> DataFrame:
+    """(conv_id, messages) of episodes' events (episode_id, step, action, observation): each action is the assistant's, each
+    observation a tool's; what follows the last action is left out, since nothing is said after it."""
+    from pyspark.sql import Window
+
+    last = F.max("step").over(Window.partitionBy("episode_id"))
+    part = lambda turn, role, text: F.struct(turn.alias("turn"), F.lit(role).alias("role"), F.col(text).alias("text"))
+    parts = F.array(part(F.col("step") * 2, "assistant", "action"), F.when(F.col("step") < last, part(F.col("step") * 2 + 1, "tool", "observation")))
+    e = events.select("episode_id", parts.alias("p")).select(F.col("episode_id").alias("conv_id"), F.explode(F.array_compact("p")).alias("m"))
+    return conversations(e.where("m.text is not null").select("conv_id", "m.turn", "m.role", "m.text"))

@@ -313,3 +313,36 @@ def terminal_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", X.terminal_reward(t, gs, gd, ps, pd).alias("r")).select("event_id", "r.reward", "r.reason")
 
 
+
+
+@query(
+    "c6_accepted_violations",
+    f"""WITH {EV}, {EP}, {_EVA}, x AS (SELECT episode_id, bool_or(tool = 'protocol') AS hp, arg_min(coalesce(error_code, 'observation_not_ok'), step) FILTER (NOT ok OR error_code IS NOT NULL) AS fe,
+  coalesce(list_sort(list(DISTINCT lower(argument)) FILTER (tool = 'describe_schema')), []) AS described, arg_max(argument, step) FILTER (tool = 'execute_sql') AS le, arg_max(tool, step) AS lt,
+  arg_max(argument, step) FILTER (tool = 'submit_sql') AS su FROM eva GROUP BY episode_id)
+SELECT episode_id, CASE WHEN terminal_reason = 'infrastructure_error' THEN 'invalid_infrastructure' WHEN terminal_reason <> 'submitted' THEN terminal_reason WHEN hp THEN 'protocol_error'
+  WHEN fe IS NOT NULL THEN 'tool_error:' || fe WHEN len(described) = 0 THEN 'missing_schema_description' WHEN le IS NULL THEN 'missing_successful_execute' WHEN lt <> 'submit_sql' THEN 'missing_submit'
+  WHEN le <> su THEN 'submission_sql_mismatch' ELSE 'undescribed_table' END AS reason FROM ep JOIN x USING (episode_id)
+WHERE user_id % 2 = 0 AND NOT (terminal_reason = 'submitted' AND NOT hp AND fe IS NULL AND len(described) > 0 AND coalesce(le = su, false) AND list_contains(described, 't1'))""",
+)
+def accepted_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted episodes that break a rule."""
+    e = _with_arguments(spark, sf_dir)
+    ep = adapters.episodes(_ev(spark, sf_dir)).drop("has_protocol").join(acceptance.evidence(e), "episode_id")
+    ep = ep.withColumn("valid", F.col("terminal_reason") != "infrastructure_error").withColumn("infrastructure_code", F.lit(None).cast("string"))
+    ep = ep.withColumn("reward", F.lit(1.0)).withColumn("used_tables", F.array(F.lit("t1"))).withColumn("accepted", F.col("user_id") % 2 == 0)
+    return acceptance.violations(ep)
+
+
+@query(
+    "fn_episode_messages",
+    f"""{W}, m AS (SELECT *, max(step) OVER (PARTITION BY episode_id) AS last FROM ev)
+SELECT episode_id AS conv_id, string_agg('assistant=' || event_type || CASE WHEN step < last THEN ';tool=' || tool ELSE '' END, ';' ORDER BY step) AS shape FROM m GROUP BY episode_id""",
+)
+def episode_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training messages of episodes, without the last observation."""
+    from ..operators import training
+
+    e = _ev(spark, sf_dir).withColumn("action", F.col("event_type")).withColumn("observation", F.col("tool"))
+    m = training.episode_messages(e)
+    return m.select("conv_id", F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit("="), x["content"])), ";").alias("shape"))
