@@ -107,8 +107,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
-    """Operator 6: all documents against the whole benchmark."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Operator 6: all documents against the whole benchmark; the rows are the contaminated documents."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).where("contaminated")
 
 
 def _sql() -> str:
@@ -142,4 +142,6 @@ FROM d LEFT JOIN hit USING (rid)
 """
 
 
-SQL = _sql()
+#: Of all documents, as ``contaminated`` gives them, and of the contaminated ones.
+SQL_ALL = _sql()
+SQL = f"SELECT * FROM ({SQL_ALL}) WHERE contaminated"
