@@ -57,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what one returns is written as Parquet and read again for the next."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = cut(stage(spark, docs, sf_dir), tidy=True)
     return STAGES[-1][1](spark, docs, sf_dir)

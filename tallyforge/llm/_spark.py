@@ -36,10 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{where}"
 
 
-def cut(df: DataFrame, tidy: bool = True) -> DataFrame:
+def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: lost executors do not undo it.
 
-    ``tidy`` lets the shuffle files of jobs that are done go; steps of a loop over small tables leave that to the next that does.
+    ``tidy`` lets the shuffle files of jobs that are done go, where those are large.
     """
     spark = df.sparkSession
     if tidy:

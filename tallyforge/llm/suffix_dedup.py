@@ -325,13 +325,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """
     d = only(docs, "doc_id", "text").withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
     keyed = d.select("k", "text")
-    counts = cut(map_arrow(keyed, "h long, n long", _counted(length, gram)).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
+    counts = cut(map_arrow(keyed, "h long, n long", _counted(length, gram)).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), tidy=True)
     found = map_arrow(keyed, "h long, k long", _listed(length, gram)).join(counts, "h")
     lists = found.groupBy("k").agg(F.collect_list("h").alias("anchors"), F.collect_set(F.expr(f"if(n > {int(hot)}, h, null)")).alias("hot"))
-    lists = cut(lists)
+    lists = cut(lists, tidy=True)
     parts = map_arrow(keyed.join(lists, "k"), "d long, k long, lo long, n long, segment binary", _segments(length, gram))
     gone = parts.repartition("d").sortWithinPartitions("d").mapInArrow(_judged(length, shard), "k long, a long, b long")
-    gone = cut(gone.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("gone")))
+    gone = cut(gone.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("gone")), tidy=True)
     return map_arrow(
         d.join(gone, "k", "left").select("doc_id", "text", "gone"),
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>",
