@@ -90,7 +90,7 @@ def guard_and_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "n long, statement string, status string")
 
 
-DIGESTED = "SELECT o_orderpriority, o_custkey FROM orders WHERE o_orderkey % 7 = 0"
+DIGESTED = "SELECT o_orderpriority, o_custkey FROM orders GROUP BY o_orderpriority, o_custkey"
 
 
 @query(
