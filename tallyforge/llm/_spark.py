@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -95,6 +96,14 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in columns])
 
 
+def trim() -> None:
+    """Give memory that this process has freed back to the system, where its allocator can; a reused worker else keeps it."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def map_arrow(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
@@ -102,6 +111,7 @@ def map_arrow(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], Iterator
         for batch in batches:
             if batch.num_rows:
                 yield from f(batch)
+                trim()
 
     return df.mapInArrow(run, schema)
 
