@@ -120,9 +120,8 @@ def canonical_row(dtypes: list[tuple[str, str]], columns: list[Column]) -> Colum
 
 def set_digest(rows: Column) -> Column:
     """SHA-256 over an array of texts as a set: each distinct one, sorted, after its length in 8 bytes."""
-    ordered = F.array_sort(F.array_distinct(rows))
-    framed = lambda acc, x: F.concat(acc, F.unhex(F.lpad(F.hex(F.octet_length(x)), 16, "0")), F.encode(x, "utf-8"))
-    return F.sha2(F.aggregate(ordered, F.lit(b"").cast("binary"), framed), 256)
+    framed = lambda x: F.concat(F.lpad(F.hex(F.octet_length(x)), 16, "0"), F.hex(F.encode(x, "utf-8")))
+    return F.sha2(F.unhex(F.array_join(F.transform(F.array_sort(F.array_distinct(rows)), framed), "")), 256)
 
 
 def pad(values: Column, width: Column, fill: int) -> Column:
