@@ -5,6 +5,10 @@ a number) are slots. A window is ``WINDOW`` words; its template has each slot's
 question with other numbers or names keeps its templates. Windows of documents and benchmark join on the
 template's hash. The slots must then be consistent: two slots of a window are equal in the document just where they are
 in the benchmark, which the window's pattern of first occurrences says.
+
+With ``folded``, each window has up to three readings, and one in common is a hit: names as slots as above (as the SQL has it), names as plain
+words, so that a copy in other letter case is found, and every capitalised word as a name, so that names at the start of a
+text or sentence are slots too. Items under ``LEAST`` words are then searched as they are, without slots.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from ._spark import only, table
 from .quality_rules import let
 
 WINDOW = 13
-#: Shorter items are searched as one window of all their words; items under this many words not at all.
+#: Shorter items are searched as one window of all their words; items under this many words not at all (with ``folded``, without slots).
 LEAST = 5
 #: Benchmark windows up to which they are broadcast (about 40 bytes each).
 BROADCAST_ROWS = 200_000
@@ -26,19 +30,50 @@ UNITS = (
     "grams gram liters liter hours hour days day weeks week months month years year dollars dollar euros euro percent pounds pound "
     "inches inch feet foot degrees km kg cm mm ml mg m g l s h"
 ).split()
-_NAME, _NUMBER, _UNIT = "\x01", "\x02", "\x03"
-_UNIT_PATTERN = rf"(\x02[0-9]+) *({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
+_NAME, _NUMBER, _UNIT, _START = "\x01", "\x02", "\x03", "\x04"
+_UNIT_PATTERN = rf"(\x02[0-9]+) *\x04?({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 
 
-def words(text: Column) -> Column:
-    """Words in lower case; those that are slots start with a mark of their type."""
+def words(text: Column, starts: bool = False) -> Column:
+    """Words in lower case; those that are slots start with a mark of their type. With ``starts``, all other capitalised words have ``_START``."""
     t = F.coalesce(text, F.lit(""))
     t = F.regexp_replace(t, r"[\x01-\x03]", " ")
+    t = F.regexp_replace(t, _START, "!") if starts else t  # no part of a word, as without ``starts``
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)(?!\p{L})", _NAME + "$1")
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}\x01])(\p{Lu}\p{Ll}+)(?!\p{L})", _START + "$1") if starts else t
     t = F.regexp_replace(t, r"([0-9])[.,](?=[0-9])", "$1")
     t = F.regexp_replace(t, r"([0-9]+)", f" {_NUMBER}$1 ")
     t = F.regexp_replace(F.lower(t), _UNIT_PATTERN, f"$1 {_UNIT}$2")
-    return F.filter(F.split(t, r"[^\p{L}\p{N}\x01-\x03]+"), lambda w: w != "")
+    return F.filter(F.split(t, r"[^\p{L}\p{N}\x01-\x04]+" if starts else r"[^\p{L}\p{N}\x01-\x03]+"), lambda w: w != "")
+
+
+def _marked(w: Column, *marks: str) -> Column:
+    return F.exists(w, lambda x: F.substring(x, 1, 1).isin(*marks))
+
+
+def _without(w: Column, *marks: str) -> Column:
+    """The words without these marks."""
+    return F.transform(w, lambda x: F.when(F.substring(x, 1, 1).isin(*marks), F.substring(x, 2, 2**31 - 1)).otherwise(x))
+
+
+def readings(found: Column, sizes: list[int]) -> Column:
+    """``windows`` of all readings of a list of ``words`` with starts; of sizes under ``LEAST``, of the plain words."""
+    sized = [n for n in sizes if n >= LEAST]
+    tiny = [n for n in sizes if n < LEAST]
+
+    def of(w: Column) -> Column:
+        none = F.array().cast("array<struct<h:bigint,p:bigint,at:int>>")
+        parts = []
+        if sized:
+            as_names = F.transform(w, lambda x: F.when(x.startswith(_START), F.concat(F.lit(_NAME), F.substring(x, 2, 2**31 - 1))).otherwise(x))
+            parts.append(windows(_without(w, _START), sized))
+            parts.append(F.when(_marked(w, _NAME), windows(_without(w, _NAME, _START), sized)).otherwise(none))
+            parts.append(F.when(_marked(w, _START), windows(as_names, sized)).otherwise(none))
+        if tiny:
+            parts.append(windows(_without(w, _NAME, _NUMBER, _UNIT, _START), tiny))
+        return F.concat(*parts)  # distinct would compare all pairs; places are counted once each later
+
+    return let(found, of)
 
 
 def windows(found: Column, sizes: list[int]) -> Column:
@@ -46,50 +81,56 @@ def windows(found: Column, sizes: list[int]) -> Column:
 
     def of(w: Column) -> Column:
         slot = lambda x: x < "\x04"
-        template = F.transform(w, lambda x: F.when(slot(x), F.substring(x, 1, 1)).otherwise(x))
+        # words as hashes, since each is in up to ``n`` windows
+        template = F.transform(w, lambda x: F.when(slot(x), F.ascii(x).cast("long")).otherwise(F.xxhash64(x)))
+        values = F.transform(w, lambda x: F.when(slot(x), F.xxhash64(x)))
 
-        def pattern(i: Column, n: int) -> Column:
-            slots = F.filter(F.slice(w, i + 1, F.lit(n)), slot)
+        def pattern(v: Column, i: Column, n: int) -> Column:
+            slots = F.filter(F.slice(v, i + 1, F.lit(n)), lambda x: x.isNotNull())
             firsts = lambda s: F.when(F.size(s) > 0, F.xxhash64(F.transform(s, lambda x: F.array_position(s, x)))).otherwise(F.lit(0).cast("long"))
             return let(slots, firsts)
 
-        def sized(t: Column, any_slot: Column, n: int) -> Column:
+        def sized(t: Column, v: Column, any_slot: Column, n: int) -> Column:
             at = F.sequence(F.lit(0), F.size(w) - n)
             one = lambda i: F.struct(
-                F.xxhash64(F.lit(n), F.slice(t, i + 1, F.lit(n))).alias("h"), F.when(any_slot, pattern(i, n)).otherwise(F.lit(0).cast("long")).alias("p"), i.alias("at")
+                F.xxhash64(F.lit(n), F.slice(t, i + 1, F.lit(n))).alias("h"), F.when(any_slot, pattern(v, i, n)).otherwise(F.lit(0).cast("long")).alias("p"), i.alias("at")
             )
             return F.when(F.size(w) >= n, F.transform(at, one)).otherwise(F.array().cast("array<struct<h:bigint,p:bigint,at:int>>"))
 
         def every(t: Column) -> Column:
-            return let(F.exists(w, slot), lambda a: F.concat(*[sized(t, a, n) for n in sizes]))
+            return let(values, lambda v: let(F.exists(w, slot), lambda a: F.concat(*[sized(t, v, a, n) for n in sizes])))
 
         return let(template, every)
 
     return let(found, of)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, text_hash: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, text_hash: bool = False, folded: bool = False) -> DataFrame:
     """doc_id, n_windows, n_items, contaminated for every row of ``docs``, against all of ``benchmark`` (item_id, text).
 
     n_windows counts the places in the document where a window of the benchmark begins, n_items the items they are from; a
     document is contaminated if there is one. An item of fewer than ``window`` words is one window of all its words, if it has
     ``least``. Null and empty texts have none. Rows of equal doc_id and text get equal results. Empty tables: of
-    documents no rows, of the benchmark no hits. With ``text_hash``, also th, the text's xxhash64.
+    documents no rows, of the benchmark no hits. With ``text_hash``, also th, the text's xxhash64. With ``folded``, all
+    readings count (``readings``), and items under ``LEAST`` words too; else what the SQL says.
     """
-    items = only(benchmark, "item_id", "text").select("item_id", words(F.col("text")).alias("w"), F.size(words(F.col("text"))).alias("n"))
+    seen = readings if folded else windows
+    least = 1 if folded else least
+    found = words(F.col("text"), folded)
+    items = only(benchmark, "item_id", "text").select("item_id", found.alias("w"), F.size(found).alias("n"))
     short = [r.n for r in items.where((F.col("n") >= least) & (F.col("n") < window)).select("n").distinct().collect()]  # numbers below ``window``
     sizes = sorted({window, *short})
     wins = None
     for n in sizes:
         part = items.where(F.col("n") == n) if n < window else items.where(F.col("n") >= n)
-        one = part.select("item_id", F.explode(windows(F.col("w"), [n])).alias("x")).select("item_id", "x.h", "x.p")
+        one = part.select("item_id", F.explode(seen(F.col("w"), [n])).alias("x")).select("item_id", "x.h", "x.p")
         wins = one if wins is None else wins.unionByName(one)
     wins = wins.distinct().groupBy("h", "p").agg(F.collect_set("item_id").alias("items"))
     wins = wins.select("h", F.col("p").alias("bp"), "items")
     if wins.count() <= BROADCAST_ROWS:
         wins = F.broadcast(wins)
     d = only(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("th"))
-    dealt = d.select("doc_id", "th", F.explode(windows(words(F.col("text")), sizes)).alias("x")).select("doc_id", "th", "x.h", "x.p", "x.at")
+    dealt = d.select("doc_id", "th", F.explode(seen(found, sizes)).alias("x")).select("doc_id", "th", "x.h", "x.p", "x.at")
     hits = dealt.join(wins, "h").where("p = bp")
     got = hits.select("doc_id", "th", "at", F.explode("items").alias("item")).groupBy("doc_id", "th").agg(
         F.count_distinct("at").alias("n_windows"), F.count_distinct("item").alias("n_items")

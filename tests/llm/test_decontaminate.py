@@ -50,3 +50,26 @@ def test_empty_tables(spark):
     docs, bench = frame(spark, [(1, ITEM)]), frame(spark, [(1, ITEM)], "item_id")
     assert D.contaminated(docs.limit(0), bench).count() == 0
     assert [r.contaminated for r in D.contaminated(docs, bench.limit(0)).collect()] == [False]
+
+
+def test_folded_readings(spark):
+    start = "Anna has 5 red apples in a basket and gives 2 of them to each of her friends at school"
+    bench = frame(spark, [(1, ITEM), (2, start), (3, "Define entropy"), (4, "What is 5 plus 7"), (5, None)], "item_id")
+    docs = [
+        (1, "x y z " + ITEM.lower()),
+        (2, ITEM.upper()),
+        (3, start.replace("Anna", "Peter").replace("5", "9")),
+        (4, "So it goes. " + start.replace("Anna", "Peter")),
+        (5, "He said: please DEFINE entropy now"),
+        (6, "what is 5 plus 7?"),
+        (7, "define an entropy"),
+        (8, start.replace("red", "green").replace("gives", "sells")),
+        (9, ITEM.replace("80", "95").replace("Oslo", "Rome").replace("Anna", "Peter")),
+        (10, ITEM.lower().replace("3", "4")),
+        (None, None),
+    ]
+    got = {r.doc_id: r for r in D.contaminated(frame(spark, docs), bench, folded=True).collect()}
+    assert {k for k, r in got.items() if r.contaminated} == {1, 2, 3, 4, 5, 6, 9, 10}
+    assert got[1].n_windows == 11 and got[1].n_items == 1
+    kept = D.drop_contaminated(frame(spark, docs), bench, folded=True)
+    assert {r.doc_id for r in kept.collect()} == {7, 8, None}
