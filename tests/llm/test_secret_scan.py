@@ -76,3 +76,39 @@ def test_edges_and_redaction(spark):
     assert (None, "say <secret> twice <secret>", "b", 27) in got and (1, None, "a", 3) in got and (2, "", None, None) in got
     assert got.count((4, "clean", "c", 5)) == 2
     assert scan(df.limit(0)).count() == 0
+
+
+def test_other_forms_of_keys_and_tokens():
+    kinds = lambda t: [s[0] for s in confirmed_spans(t)]
+    b64 = lambda x: base64.b64encode(x).decode()
+    wrap = lambda t, nl="\n": nl.join(t[i : i + 64] for i in range(0, len(t), 64))
+    armour = lambda body, kind="", nl="\n": f"-----BEGIN {kind}PRIVATE KEY-----{nl}{body}{nl}-----END {kind}PRIVATE KEY-----{nl}"
+    assert kinds(json.dumps({"private_key": armour(wrap(b64(PKCS1)), "RSA ")})) == [4]
+    assert kinds(json.dumps(json.dumps({"k": armour(wrap(b64(PKCS1)))}))) == [4]
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    assert kinds(armour(head + wrap(b64(bytes(range(96)))), "RSA ")) == [4]
+    assert kinds(armour(head + wrap(b64(bytes(range(95)))), "RSA ")) == []
+    assert kinds(armour("Comment: a-b\n\n" + wrap(b64(PKCS1)), "RSA ")) == [4]
+    oid = bytes.fromhex("2a864886f70d01050d")
+    locked = tlv(0x30, tlv(0x30, tlv(6, oid) + tlv(0x30, b"")) + tlv(4, bytes(48)))
+    digest = tlv(0x30, tlv(0x30, tlv(6, b"\x60\x86\x48\x01") + tlv(5, b"")) + tlv(4, bytes(32)))
+    assert kinds(armour(b64(locked), "ENCRYPTED ")) == [4] and not private_key(digest)
+    number = lambda n: tlv(2, n.to_bytes(n.bit_length() // 8 + 1, "big"))
+    q = 2**160 - 47
+    p = q * 2**864 + 1
+    dsa = lambda x: tlv(0x30, tlv(2, b"\0") + b"".join(map(number, (p, q, 5, 7, x))))
+    assert kinds(armour(wrap(b64(dsa(11))), "DSA ")) == [4] and not private_key(dsa(q + 1))
+    for text in (wrap(b64(PKCS1)), wrap(b64(PKCS1), "\r\n  "), wrap(b64(PKCS1), "\\n"), base64.urlsafe_b64encode(PKCS1).decode().rstrip("=")):
+        assert confirmed_spans(f"a\n{text}\nand more words") == [(5, 2, 2 + len(text))]
+    assert kinds(wrap(b64(PKCS1))[:-9]) == []
+    ssh = b"openssh-key-v1\0" + b"\0\0\0\4none\0\0\0\4none\0\0\0\0\0\0\0\1\0\0\0\x33" + bytes(51) + b"\0\0\0\x21" + bytes(33)
+    assert kinds("k:\n" + wrap(b64(ssh)) + "\nlast words") == [5]
+    part = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    for header in ('{ "alg": "HS256"}', '{\n"alg":"HS256"}', ' {"alg":"none"}'):
+        assert kinds(f"auth.{part(header)}.{part('{}')}.c2ln and www.example.com") == [3]
+
+
+def test_wrapped_keys_are_redacted_whole(spark):
+    b = base64.b64encode(PKCS1).decode()
+    text = "k " + "\n".join(b[i : i + 64] for i in range(0, len(b), 64)) + "\nend"
+    assert redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0].text == "k <secret>\nend"
