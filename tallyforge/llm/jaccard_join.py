@@ -175,13 +175,14 @@ def _compared(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, recall: float = RECALL, block: int = BLOCK, nodes: bool = False) -> DataFrame:
     """doc_id, class_id, n_links, and th (the text's xxhash64) for every row of ``docs`` (doc_id long, text; others are left alone).
 
     n_links counts the other rows of n-gram Jaccard similarity ``threshold`` or more; class_id is the least doc_id
     that links lead to. Texts without words (null and empty ones too) have no n-grams: no links, and their own doc_id
     as class. A null doc_id sorts last; a class whose rows all lack one has a null class_id. Repeated
-    rows link to each other. An empty table gives no rows.
+    rows link to each other. An empty table gives no rows. With ``nodes``, also component, which tells classes of one class_id
+    apart (null for texts without words).
     """
     top = 2**63 - 1
     d = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(top)).alias("k"), F.xxhash64("text").alias("th"), "text")
@@ -212,11 +213,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     found = cls.join(counts, "node", "left").join(hung, "node", "left").withColumn("component", F.coalesce("component", "node"))
     found = cut(found.select("c1", "c2", "n", "w", "k", "component", F.coalesce("links", F.lit(0)).alias("links")))
     least = dealt_anew(found.groupBy("component").agg(F.min("k").alias("class_id")), "component")
-    found = found.join(least, "component").select("c1", "c2", "n", "class_id", (F.col("w") - 1 + F.col("links")).alias("n_links"))
+    found = found.join(least, "component").select("c1", "c2", "n", "component", "class_id", (F.col("w") - 1 + F.col("links")).alias("n_links"))
     out = sig.select("k", "th", "c1", "c2", "n").join(found, ["c1", "c2", "n"], "left")
     empty = lambda c: F.nullif(c, F.lit(top))
     return out.select(
-        empty(F.col("k")).alias("doc_id"), empty(F.coalesce("class_id", "k")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "th"
+        empty(F.col("k")).alias("doc_id"), empty(F.coalesce("class_id", "k")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "th", *(["component"] if nodes else [])
     )
 
 
@@ -225,10 +226,10 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Texts without words all stay. Of rows that repeat a doc_id and text one stays, if its text has words.
     """
-    found = cut(near_duplicates(docs, **how))
+    found = cut(near_duplicates(docs, nodes=True, **how))
     top = F.lit(2**63 - 1)
     key = F.coalesce("doc_id", top)
-    classed = found.select(key.alias("k"), "th", F.coalesce("class_id", top).alias("c"), "n_links")
+    classed = found.select(key.alias("k"), "th", F.col("component").alias("c"), "n_links")
     chosen = classed.where("n_links > 0").groupBy("c").agg(F.min(F.struct("k", "th")).alias("m")).select("m.k", "m.th", F.lit(True).alias("chosen"))
     lost = classed.where("n_links > 0").select("k", "th").distinct().join(chosen, ["k", "th"], "left").where("chosen is null").select("k", "th", F.lit(True).alias("lost"))
     twice = classed.where("n_links > 0").groupBy("k", "th").agg(F.count("*").alias("many")).where("many > 1")

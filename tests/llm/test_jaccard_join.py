@@ -81,3 +81,10 @@ def test_group_over_many_blocks_and_edges(spark):
     roots = {(r.class_id) for r in near_duplicates(df).collect() if r.n_links}
     assert sorted(left) == sorted([*roots, 100, 101, 102, 103, 106, *[k for k, c, n in want if n == 0 and k is not None and k < 100]])
     assert near_duplicates(df.limit(0)).count() == 0 and keep_one(df.where(F.lit(False))).count() == 0
+
+
+def test_classes_of_one_class_id_each_keep_a_row(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("a")), (None, text("b")), (None, text("b") + " more"), (1, text("c")), (2, text("c") + " more"), (1, text("d")), (3, text("d") + " more")]
+    left = [(r.doc_id, r.text[0]) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(left, key=str) == [(1, "c"), (1, "d"), (None, "a"), (None, "b")]
