@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
-import gc
 import os
 import shutil
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,49 +36,38 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{where}"
 
 
-def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """SQL settings for the plans that are run inside (dots as double underscores); afterwards the session has its own again."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: lost executors do not undo it.
 
-    ``tidy`` lets the shuffle files of jobs that are done go, where those are large.
+    The job's shuffle files go when it has ended, since nothing reads them any more. The table goes when the application ends.
     """
     spark = df.sparkSession
-    if tidy:
-        _let_go(spark, 1)
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
     _later_removed(spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    if tidy:
-        _let_go(spark)
-    return out
-
-
-def _let_go(spark: SparkSession, turns: int = 2) -> None:
-    """Let the context cleaner drop the shuffle files of jobs that are done.
-
-    Listeners hold a finished query until they have heard of it, so one collection at once is too early.
-    """
-    for _ in range(turns):
-        time.sleep(0.3)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-
-_WRITTEN: list[tuple[SparkSession, str]] = []
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _later_removed(spark: SparkSession, path: str) -> None:
-    if not _WRITTEN:
-        atexit.register(_remove)
-    _WRITTEN.append((spark, path))
-
-
-def _remove() -> None:
-    for _, path in _WRITTEN:
-        if path.startswith("file:"):
-            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
-    _WRITTEN.clear()
+    """Let the file system that holds ``path`` remove it when the driver's JVM ends."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
 def dealt_anew(df: DataFrame, key: str) -> DataFrame:
@@ -91,29 +79,33 @@ def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns of a table, whatever else it has; a name in another case counts as extra."""
-    return df.select(*[df[f"`{c}`"] for c in columns])
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: names with dots, and names that differ in case only, then harm nothing."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
-def trim() -> None:
-    """Give memory that this process has freed back to the system, where its allocator can; a reused worker else keeps it."""
-    pa.default_memory_pool().release_unused()
-    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if release:
-        release(0)
+def place(df: DataFrame, name: str) -> int:
+    """Where a table has the column of this name; one in another case counts only if none is exact."""
+    names = df.columns
+    return names.index(name) if name in names else [x.lower() for x in names].index(name.lower())
+
+
+def only(df: DataFrame, *columns: str) -> DataFrame:
+    """The named columns of a table, whatever else it has; a name in another case counts as extra."""
+    return numbered(df).select(*[F.col(f"c{place(df, c)}").alias(c) for c in columns])
 
 
-def map_arrow(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+def map_arrow(df: DataFrame, schema: "str | T.StructType", f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``mapInArrow`` with a function of one batch; any column names."""
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield from f(batch)
-                trim()
+                yield from f(batch.rename_columns(names))
+                pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    return numbered(df).mapInArrow(run, schema)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:

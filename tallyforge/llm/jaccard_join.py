@@ -4,10 +4,12 @@
    from here on, with a weight, so exact copies never meet in pairs.
 2. ``choose_bands`` takes the most rows a band for which the target recall is reached; each class goes to
    one bucket a band. A bucket gives a star around its least node, not its pairs.
-3. The stars' connected components hold all candidates. Each component is verified whole, on the full sets, in
-   blocks of ``BLOCK`` classes: block pairs are dealt over tasks, and a block pair is one sparse product.
-   So every pair of a component is compared, also those that no band proposed.
-4. Link counts are summed by class; the links' components are the classes of near duplicates.
+3. ``units`` says what is verified together. A component of the stars that fits one block is one unit. In a larger one each
+   bucket is a unit (buckets of the same members once), so a chain of many classes costs what its buckets cost, and
+   a pair belongs to the first band that it shares.
+4. Units are verified on the full sets, in blocks bounded by classes and by bytes: block pairs are dealt over tasks, and
+   a block pair is one sparse product.
+5. Link counts are summed by class; the links' components are the classes of near duplicates.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from .components import connected_components
 THRESHOLD = 0.8
 SIZE = 5
 RECALL = 0.9999
-#: Classes of a component that one task compares with as many others.
-BLOCK = 512
+#: Classes that one task compares with as many others, and bytes of their sets (a larger set stands alone in expectation).
+BLOCK = 128
+BLOCK_BYTES = 1 << 26
 #: Shared n-grams taken into one product.
 COLUMNS = 4096
 
@@ -128,17 +131,21 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold
 
 
 def _compared(threshold: float):
-    def judged(rows: list[dict]) -> pa.RecordBatch:
+    def judged(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         """Links of one block pair: each node's linked weight, and the least node that it hangs together with here."""
-        seen = {r["node"]: r for r in rows}
-        rows = list(seen.values())
-        node = np.array([r["node"] for r in rows], np.int64)
-        w = np.array([r["w"] for r in rows], np.int64)
-        block = np.array([r["block"] for r in rows])
-        i, j = rows[0]["i"], rows[0]["j"]
+        t = pa.Table.from_batches(batches)
+        column = lambda c: np.asarray(t.column(c).combine_chunks())
+        node, first = np.unique(column("node"), return_index=True)  # a text that is repeated comes once for each copy
+        w, block = column("w")[first], column("block")[first]
+        i, j, band = (t.column(c)[0].as_py() for c in ("i", "j", "b"))
+        sets = [np.frombuffer(t.column("grams")[int(x)].as_buffer(), U) for x in first]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        near = links([np.frombuffer(r["grams"], U) for r in rows], left, right, threshold) if len(left) and len(right) else np.zeros((len(left), len(right)), bool)
-        adj = np.zeros((len(rows), len(rows)), bool)
+        near = links(sets, left, right, threshold) if len(left) and len(right) else np.zeros((len(left), len(right)), bool)
+        if band > 0 and near.any():  # pairs that share an earlier band belong to that one's bucket
+            bands = np.array([t.column("bands")[int(x)].as_py()[:band] for x in first], np.int64)
+            x, y = np.nonzero(near)
+            near[x, y] = ~(bands[left[x]] == bands[right[y]]).any(axis=1)
+        adj = np.zeros((len(node), len(node)), bool)
         adj[np.ix_(left, right)] = near
         adj |= adj.T
         np.fill_diagonal(adj, False)
@@ -146,7 +153,7 @@ def _compared(threshold: float):
         root = node.copy()
         todo = linked > 0
         while todo.any():
-            group = np.zeros(len(rows), bool)
+            group = np.zeros(len(node), bool)
             group[np.flatnonzero(todo)[0]] = True
             front = group.copy()
             while front.any():
@@ -158,23 +165,44 @@ def _compared(threshold: float):
         return pa.record_batch({"node": node[got], "links": linked[got].astype(np.int64), "root": root[got]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by component and block pair."""
-        held: list[dict] = []
-        key = None
+        """Rows come sorted by unit and block pair."""
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            for r in batch.to_pylist():
-                own = r["component"], r["i"], r["j"]
-                if own != key:
-                    if held:
-                        yield judged(held)
-                    held, key = [], own
-                held.append(r)
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("b", "unit", "i", "j")], axis=1)
+            edge = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
+            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                own = tuple(keys[x].tolist())
+                if own != last and held:
+                    yield judged(held)
+                    held = []
+                held.append(batch.slice(x, y - x))
+                last = own
         if held:
             yield judged(held)
 
     return run
 
 
+def units(cls: DataFrame, comp: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, b, unit, blocks): what is verified together, of classes (node, n, bands) and their components (node, component).
+
+    A component of one block has b = -1. In a larger one, a bucket of band b is a unit; of buckets of the same members, the first.
+    """
+    blocks = lambda many, size: F.greatest(F.ceil(many / F.lit(block)), F.ceil(size * 8 / F.lit(BLOCK_BYTES)))
+    sized = comp.join(cls.select("node", "n"), "node")
+    of = dealt_anew(sized.groupBy("component").agg(blocks(F.count("*"), F.sum("n")).alias("blocks")), "component")
+    sized = cut(comp.join(of, "component"))
+    whole = sized.where("blocks = 1").select("node", F.lit(-1).alias("b"), F.col("component").alias("unit"), "blocks")
+    dealt = cls.join(sized.where("blocks > 1").select("node"), "node").select("node", "n", F.posexplode("bands").alias("b", "band"))
+    members = [F.min("node").alias("low"), F.count("*").alias("many"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")]
+    buckets = dealt.groupBy("band").agg(F.min("b").alias("b"), *members, F.sum("n").alias("size")).where("many > 1")
+    buckets = buckets.groupBy("low", "many", "s1", "s2").agg(F.min(F.struct("b", "band", blocks(F.col("many"), F.col("size")).alias("blocks"))).alias("x")).select("x.band", "x.blocks")
+    return whole.unionByName(dealt.join(dealt_anew(buckets, "band"), "band").select("node", "b", F.col("band").alias("unit"), "blocks"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, recall: float = RECALL, block: int = BLOCK, nodes: bool = False) -> DataFrame:
     """doc_id, class_id, n_links, and th (the text's xxhash64) for every row of ``docs`` (doc_id long, text; others are left alone).
 
@@ -193,20 +221,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     dealt = cls.select("node", F.explode("bands").alias("band"))
     low = dealt.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("many")).where("many > 1")
     stars = dealt.join(dealt_anew(low, "band"), "band").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    comp = connected_components(stars)
-    comp = cut(comp)
-    sizes = dealt_anew(comp.groupBy("component").agg(F.count("*").alias("many")), "component")
-    members = comp.join(sizes, "component").join(cls.select("node", "k", "th", "w"), "node")
-    members = members.withColumn("blocks", F.ceil(F.col("many") / F.lit(block)))
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    comp = cut(connected_components(stars))
+    mine = units(cls, comp, block).groupBy("node").agg(F.collect_list(F.struct("b", "unit", "blocks")).alias("units"))  # as many as there are bands at most
+    members = mine.join(cls.select("node", "k", "th", "w", "bands"), "node")
+    members = members.withColumn("bands", F.when(F.exists("units", lambda u: u["b"] > 0), F.col("bands")))
     sets = map_arrow(
-        d.join(members, ["k", "th"]).select("node", "component", "blocks", "block", "w", "text"),
-        "node long, component long, blocks long, block long, w long, grams binary",
+        d.join(members, ["k", "th"]).select("node", "units", "w", "bands", "text"),
+        "node long, units array<struct<b:int,unit:bigint,blocks:bigint>>, w long, bands array<long>, grams binary",
         _with_sets(size),
     )
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = pairs.select("node", "component", "block", "w", "grams", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    near = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_compared(threshold), "node long, links long, root long")
+    pairs = sets.select("node", "w", "bands", "grams", F.explode("units").alias("u")).select("node", "w", "bands", "grams", "u.*")
+    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.select("b", "unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "w", "bands", "block", "grams")
+    dealt = ("b", "unit", "i", "j")
+    near = pairs.repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(_compared(threshold), "node long, links long, root long")
     near = cut(near)
     hung = connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = near.groupBy("node").agg(F.sum("links").alias("links"))
@@ -224,7 +252,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each class of near duplicates: that of the least doc_id (null last), then of the least text hash.
 
-    Texts without words all stay. Of rows that repeat a doc_id and text one stays, if its text has words.
+    Texts without words all stay. Of rows that repeat a doc_id and text one stays, if its text has words: the first by all its columns as JSON.
     """
     found = cut(near_duplicates(docs, nodes=True, **how))
     top = F.lit(2**63 - 1)
@@ -239,7 +267,9 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
         twice = twice.join(chosen, ["k", "th"]).select("k", "th")
         hit = out.join(twice, k.eqNullSafe(twice["k"]) & th.eqNullSafe(twice["th"]), "left_semi")
         rest = out.join(twice, k.eqNullSafe(twice["k"]) & th.eqNullSafe(twice["th"]), "left_anti")
-        out = rest.unionByName(hit.dropDuplicates(["doc_id", "text"]))
+        row = F.struct(*[hit[f"`{c}`"] for c in hit.columns])
+        first = hit.groupBy(hit["doc_id"], hit["text"]).agg(F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias("row"))
+        out = rest.union(first.select("row.*"))
     return out
 
 

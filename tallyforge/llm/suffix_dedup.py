@@ -96,10 +96,10 @@ def _counted(length: int, gram: int):
 
 def _listed(length: int, gram: int):
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        k = np.asarray(batch.column(0))
+        k, th = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         for i, j, raw, at in _slabs(batch):
             _, _, h, row = anchors(raw, at, length, gram)
-            yield pa.record_batch({"h": h.view(np.int64), "k": k[i:j][row]})
+            yield pa.record_batch({"h": h.view(np.int64), "k": k[i:j][row], "th": th[i:j][row]})
 
     return f
 
@@ -108,39 +108,46 @@ def _segments(length: int, gram: int):
     """Segments of a batch, each different one once; for the others only the strings they cover."""
 
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        k = np.asarray(batch.column(0))
+        k, th = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         lists = batch.column(batch.schema.get_field_index("anchors"))
         many = batch.column(batch.schema.get_field_index("hot"))
         seen: dict[bytes, tuple[int, int, int, int, int]] = {}
-        held, covered = 0, []
+        held = 0
+        twins: list[tuple[bytes, tuple[int, int, int, int, int]]] = []
+        covered: list[tuple[int, int, int, int, int]] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, covered
-            rows = list(seen.values())
+            nonlocal held
+            cols = zip(*seen.values(), *(row for _, row in twins), *covered)
             out = pa.record_batch(
                 {
-                    "d": pa.array([r[4] for r in rows] + [r[0] for r in covered], pa.int64()),
-                    "k": pa.array([r[0] for r in rows] + [r[0] for r in covered], pa.int64()),
-                    "lo": pa.array([r[1] for r in rows] + [r[1] for r in covered], pa.int64()),
-                    "n": pa.array([r[2] for r in rows] + [r[2] for r in covered], pa.int64()),
-                    "segment": pa.array([*seen] + [None] * len(covered), pa.binary()),
+                    **{c: pa.array(v, pa.int64()) for c, v in zip(("k", "th", "lo", "n", "d"), cols)},
+                    "segment": pa.array([*seen, *(key for key, _ in twins), *[None] * len(covered)], pa.binary()),
                 }
             )
             seen.clear()
-            held, covered = 0, []
+            twins.clear()
+            covered.clear()
+            held = 0
             return out
 
-        def add(key: bytes, doc: int, lo: int, n: int, deal: int) -> None:
+        def add(key: bytes, row: tuple[int, int, int, int, int]) -> None:
+            """Of equal segments of this batch the earliest is judged; all strings of a later one start earlier there.
+
+            Another text of the same id has the same place, so none is earlier, and both are judged.
+            """
             nonlocal held
-            old = seen.get(key)
-            if old is None:
+            old = seen.setdefault(key, row)
+            if old is row:
                 held += len(key)
-                seen[key] = doc, lo, n, 0, deal
-            elif (doc, lo) < old[:2]:
-                covered.append(old[:3])
-                seen[key] = doc, lo, n, 0, deal
-            elif (doc, lo) != old[:2]:
-                covered.append((doc, lo, n))
+            elif (row[0], row[2]) < (old[0], old[2]):
+                covered.append((*old[:4], old[0] ^ old[1]))
+                seen[key] = row
+            elif (row[0], row[2]) > (old[0], old[2]):
+                covered.append((*row[:4], row[0] ^ row[1]))
+            elif row[1] != old[1]:
+                held += len(key)
+                twins.append((key, row))
 
         for i, j, raw, at in _slabs(batch):
             lo, hi, h, row = anchors(raw, at, length, gram)
@@ -153,15 +160,15 @@ def _segments(length: int, gram: int):
             hot_values = np.asarray(many.slice(i, j - i).flatten()).view(U)
             hot = np.isin(h, hot_values) if len(hot_values) else np.zeros(len(h), bool)
             data = raw.tobytes()
-            docs = k[i:j]
+            docs, hashes = k[i:j].tolist(), th[i:j].tolist()
             for a, b, x, r, w in zip(lo[keep].tolist(), hi[keep].tolist(), h[keep].view(np.int64).tolist(), row[keep].tolist(), hot[keep].tolist()):
                 first = int(at[r])
                 if w:
                     for p in range(a, b + 1):
                         s = data[p : p + length]
-                        add(s, int(docs[r]), p - first, 1, int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True))
+                        add(s, (docs[r], hashes[r], p - first, 1, int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True)))
                 else:
-                    add(data[a : b + length], int(docs[r]), a - first, b - a + 1, x)
+                    add(data[a : b + length], (docs[r], hashes[r], a - first, b - a + 1, x))
             if held > 16 << 20:
                 yield flush()
         if seen or covered:
@@ -170,21 +177,24 @@ def _segments(length: int, gram: int):
     return f
 
 
-def judge(segments: list[bytes], k: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int = LENGTH, shard: int = SHARD) -> tuple[np.ndarray, ...]:
-    """Which strings start earlier elsewhere: runs (k, first start, last start).
+def judge(segments: list[bytes], k: np.ndarray, th: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int = LENGTH, shard: int = SHARD) -> tuple[np.ndarray, ...]:
+    """Which strings start earlier elsewhere: runs (k, th, first start, last start).
 
-    Segment i is text from byte lo[i] of document k[i]; its first n[i] bytes each start a string of ``length`` bytes.
+    Segment i is text from byte lo[i] of a text of hash th[i] of document k[i]; its first n[i] bytes each start a string of ``length`` bytes.
     """
-    gone: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    gone: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     best: dict[bytes, int] = {}
-    for i in np.lexsort((lo, k)).tolist():
+    kept: list[int] = []
+    for i in np.lexsort((th, lo, k)).tolist():
         first = best.setdefault(segments[i], i)
-        if first != i and (k[first], lo[first]) != (k[i], lo[i]):
-            gone.append((k[i : i + 1], lo[i : i + 1], lo[i : i + 1] + n[i] - 1))
-    ids = np.fromiter(best.values(), np.int64, len(best))
+        if k[first] != k[i] or lo[first] != lo[i]:
+            gone.append((k[i : i + 1], th[i : i + 1], lo[i : i + 1], lo[i : i + 1] + n[i] - 1))
+        elif first == i or th[first] != th[i]:
+            kept.append(i)
+    ids = np.array(kept, np.int64)
     sizes = [len(segments[i]) for i in ids]
     shards, total = [], 0
-    classes, doc, pos = [], [], []
+    classes, doc, hashes, pos = [], [], [], []
     for a, b in slabs(sizes, shard):
         part = ids[a:b]
         text = np.frombuffer(b"".join(segments[i] for i in part), np.uint8)
@@ -214,26 +224,26 @@ def judge(segments: list[bytes], k: np.ndarray, lo: np.ndarray, n: np.ndarray, l
             shards.append((keys, heads[fresh], name[fresh]))
         classes.append(name[group])
         doc.append(np.repeat(k[part], m))
+        hashes.append(np.repeat(th[part], m))
         pos.append(np.repeat(lo[part], m) + step)
     if classes:
-        c, d, p = map(np.concatenate, (classes, doc, pos))
+        c, d, t, p = map(np.concatenate, (classes, doc, hashes, pos))
         order = np.lexsort((p, d, c))
-        oc, od, op = c[order], d[order], p[order]
+        oc, od, ot, op = c[order], d[order], t[order], p[order]
         head = np.ones(len(order), bool)
         head[1:] = oc[1:] != oc[:-1]
         chief = np.flatnonzero(head)[np.cumsum(head) - 1]
         later = (od != od[chief]) | (op != op[chief])
-        d, p = od[later], op[later]
-        order = np.lexsort((p, d))
-        d, p = d[order], p[order]
+        d, t, p = od[later], ot[later], op[later]
+        order = np.lexsort((p, t, d))
+        d, t, p = d[order], t[order], p[order]
         if len(d):
             cutting = np.ones(len(d), bool)
-            cutting[1:] = (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)
+            cutting[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + 1)
             s = np.flatnonzero(cutting)
-            gone.append((d[s], p[s], p[np.append(s[1:], len(d)) - 1]))
+            gone.append((d[s], t[s], p[s], p[np.append(s[1:], len(d)) - 1]))
     if not gone:
-        z = np.zeros(0, np.int64)
-        return z, z, z
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*gone))
 
 
@@ -243,12 +253,12 @@ def _judged(length: int, shard: int):
         held: list[pa.RecordBatch] = []
         size = 0
 
-        def out(k: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch({"k": k.astype(np.int64), "a": a.astype(np.int64), "b": b.astype(np.int64)})
+        def out(*runs: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch({c: x.astype(np.int64) for c, x in zip(("k", "th", "a", "b"), runs)})
 
         def done(t: pa.Table) -> pa.RecordBatch:
-            k, lo, n = (np.asarray(t.column(c).combine_chunks()) for c in ("k", "lo", "n"))
-            return out(*judge(t.column("segment").to_pylist(), k, lo, n, length, shard))
+            places = (np.asarray(t.column(c).combine_chunks()) for c in ("k", "th", "lo", "n"))
+            return out(*judge(t.column("segment").to_pylist(), *places, length, shard))
 
         for batch in batches:
             if not batch.num_rows:
@@ -256,8 +266,8 @@ def _judged(length: int, shard: int):
             plain = pa.compute.is_null(batch.column(batch.schema.get_field_index("segment")))
             t = batch.filter(plain)
             if t.num_rows:
-                k, lo, n = (np.asarray(t.column(t.schema.get_field_index(c))) for c in ("k", "lo", "n"))
-                yield out(k, lo, lo + n - 1)
+                k, th, lo, n = (np.asarray(t.column(t.schema.get_field_index(c))) for c in ("k", "th", "lo", "n"))
+                yield out(k, th, lo, lo + n - 1)
             t = batch.filter(pa.compute.invert(plain))
             if not t.num_rows:
                 continue
@@ -320,20 +330,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges to remove) for every row of ``docs``.
 
     ``docs`` needs doc_id (long) and text; further columns are left alone. Null text is empty. Rows with a null
-    doc_id come before all others and count as one document, as do rows that repeat a doc_id: none of them is
-    earlier than another at the same byte. Texts under ``length`` bytes have no span. An empty table gives no rows.
+    doc_id come before all others and count as one document, as do rows that repeat a doc_id: of those, text from an earlier
+    byte is earlier, and none of them is earlier than another at the same byte. Texts under ``length`` bytes have no span. An empty table gives no rows.
     """
-    d = only(docs, "doc_id", "text").withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
-    keyed = d.select("k", "text")
-    counts = cut(map_arrow(keyed, "h long, n long", _counted(length, gram)).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), tidy=True)
-    found = map_arrow(keyed, "h long, k long", _listed(length, gram)).join(counts, "h")
-    lists = found.groupBy("k").agg(F.collect_list("h").alias("anchors"), F.collect_set(F.expr(f"if(n > {int(hot)}, h, null)")).alias("hot"))
-    lists = cut(lists, tidy=True)
-    parts = map_arrow(keyed.join(lists, "k"), "d long, k long, lo long, n long, segment binary", _segments(length, gram))
-    gone = parts.repartition("d").sortWithinPartitions("d").mapInArrow(_judged(length, shard), "k long, a long, b long")
-    gone = cut(gone.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("gone")), tidy=True)
+    d = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("th"), "doc_id", "text")
+    counts = map_arrow(d.select("text"), "h long, n long", _counted(length, gram)).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = cut(counts)
+    # the hash of the text in the key tells the texts of one id (or of none) apart, so that no id gathers many
+    found = map_arrow(d.select("k", "th", "text"), "h long, k long, th long", _listed(length, gram)).join(counts, "h")
+    lists = found.groupBy("k", "th").agg(F.collect_set("h").alias("anchors"), F.collect_set(F.expr(f"if(n > {int(hot)}, h, null)")).alias("hot"))
+    lists = cut(lists)
+    parts = map_arrow(d.join(lists, ["k", "th"]).select("k", "th", "text", "anchors", "hot"), "k long, th long, lo long, n long, d long, segment binary", _segments(length, gram))
+    gone = parts.repartition("d").sortWithinPartitions("d").mapInArrow(_judged(length, shard), "k long, th long, a long, b long")
+    gone = cut(gone.groupBy("k", "th").agg(F.collect_set(F.struct("a", "b")).alias("gone")))
     return map_arrow(
-        d.join(gone, "k", "left").select("doc_id", "text", "gone"),
+        d.join(gone, ["k", "th"], "left").select("doc_id", "text", "gone"),
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>",
         _finished(length),
     )

@@ -88,3 +88,40 @@ def test_classes_of_one_class_id_each_keep_a_row(spark):
     rows = [(None, text("a")), (None, text("a")), (None, text("b")), (None, text("b") + " more"), (1, text("c")), (2, text("c") + " more"), (1, text("d")), (3, text("d") + " more")]
     left = [(r.doc_id, r.text[0]) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(left, key=str) == [(1, "c"), (1, "d"), (None, "a"), (None, "b")]
+
+
+def test_long_chain_and_dense_group_by_buckets(spark):
+    """A chain is one component of many classes, whose units grow with the classes and not with their square."""
+    from tallyforge.llm import jaccard_join as J
+
+    def chain(n):
+        w = [f"c{i}" for i in range(60 + 4 * n)]
+        return [(i, " ".join(w[4 * i : 4 * i + 60])) for i in range(n)]
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    dense = [(10_000 + i, " ".join([*base[:150], *(f"y{rng.randrange(30)}" for _ in range(8)), *base[150:]])) for i in range(60)]
+    sums = []
+    for n in (150, 300):
+        rows = chain(n) + dense
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        seen = {}
+        real = J.units
+        J.units = lambda cls, comp, block: seen.setdefault("u", real(cls, comp, block))
+        try:
+            assert got(near_duplicates(docs, block=16)) == brute(rows)
+        finally:
+            J.units = real
+        bands, _ = choose_bands()
+        big = seen["u"].where("b >= 0").groupBy("b", "unit").agg(F.count("*").alias("n"), F.first("blocks").alias("blocks"))
+        sums.append(big.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0])
+        assert big.count() and big.agg(F.max("b")).first()[0] < bands
+    assert sums[1] < 2.5 * sums[0]
+
+
+def test_rows_of_one_id_and_text(spark):
+    text = " ".join(f"t{i}" for i in range(30))
+    rows = [(1, text, "B", None), (1, text, "A", 2), (2, text + " more", "C", 1)]
+    for data in (rows, rows[::-1]):
+        df = spark.createDataFrame(data, "doc_id long, text string, `a.b` string, th int").repartition(3)
+        assert [tuple(r) for r in keep_one(df).collect()] == [(1, text, "A", 2)]

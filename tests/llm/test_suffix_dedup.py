@@ -63,7 +63,7 @@ def test_split_anchor_agrees_with_one_shard():
     core = bytes(rng.choice(b"abcd") for _ in range(60))
     segs = [bytes(rng.choice(b"ab") for _ in range(3)) + core + bytes(rng.choice(b"ab") for _ in range(4)) for _ in range(300)]
     k, lo, n = np.arange(300), np.zeros(300, np.int64), np.array([len(s) - 62 + 1 for s in segs])
-    runs = [{(int(x), p) for x, a, b in zip(*judge(segs, k, lo, n, 62, shard)) for p in range(a, b + 1)} for shard in (1 << 20, 400)]
+    runs = [{(int(x), p) for x, _, a, b in zip(*judge(segs, k, k, lo, n, 62, shard)) for p in range(a, b + 1)} for shard in (1 << 20, 400)]
     assert runs[0] == runs[1] and runs[0]
 
 
@@ -85,3 +85,14 @@ def test_edges(spark):
     assert repeated_spans(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(5, p), (5, p), (6, p)], "doc_id long, text string")
     assert [r[2] for r in got(repeated_spans(twice))] == [0, 0, len(p.encode())]
+
+
+def test_many_texts_without_id(spark):
+    """Texts that share an id (or have none) keep their own spans."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    p, q = word(180), word(140)
+    rows = [(None, f"{word(90)}{p if i % 3 else q}{word(40)}") for i in range(30)] + [(4, p + word(50)), (4, word(130) + q), (4, q + word(9)), (9, p), (9, p), (2, word(30) + q)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({}, {"hot": 2, "shard": 500}):
+        assert got(repeated_spans(df, **how)) == brute(rows)
