@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._bytes import U, buffers, mix
-from ._spark import only, slabs, table, texts, trim
+from ._spark import only, slabs, table, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 3
@@ -424,7 +424,6 @@ def encode_texts(docs: DataFrame, model: str = MODEL, best: int = BEST, keep_ids
                     cols["ids"] = pa.ListArray.from_arrays(got.at.astype(np.int32), got.ids)
                 yield pa.record_batch(cols)
                 del rows, got, back, cols
-                trim()
 
     return only(docs, "doc_id", "text").mapInArrow(run, schema)
 

@@ -1,4 +1,8 @@
-"""URL filters: logistic regression on hashed character n-grams of host and path, under rules (operator 4)."""
+"""URL filters: logistic regression on hashed character n-grams of host and path, under rules (operator 4).
+
+The model learns from the labelled URLs of ``url_table``. Its classes weigh as ``PRIOR`` says, so that a URL whose n-grams
+tell nothing is allowed.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import U, buffers, mix
 from ._spark import map_arrow, only, slabs, table, texts
+from .url_table import UNWANTED, WANTED, urls
 
 #: Fixed values: (verdict, host and path) of the rules.
 RULES = (
@@ -21,36 +26,11 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: The small labelled table, by rule: each subject in some of the forms. Ends of hosts and paths go round, so that they tell nothing.
-UNWANTED_SUBJECTS = (
-    "pills meds viagra pharmacy casino poker slots jackpot bets betting adult xxx porn sexcams spam linkfarm "
-    "backlinks warez crack keygen malware phish replica payday loans lottery giveaway jackpotwin weightloss miracle"
-).split()
-UNWANTED_FORMS = ("cheap-{}", "{}-win", "free-{}", "{}-farm", "best-{}-online")
-WANTED_SUBJECTS = (
-    "library news docs university museum garden recipes weather school history science forum maps music hospital "
-    "travel cooking books cycling law astronomy python theatre harvest bridge river stone thread strand northern"
-).split()
-WANTED_FORMS = ("{}", "city-{}", "my{}", "{}-notes", "the{}")
-ENDS = tuple(f"{a}.example.{b}/{c}/{d}" for a, b, c, d in (("", "com", "en", "12"), ("", "org", "de", "345.html"), ("", "net", "fr", "67/"), ("", "com", "es", "890"), ("", "org", "en", "4")))
-STARTS = ("http://", "https://www.", "http://m.", "https://blog.")
-
-
-def labelled(subjects: list[str], forms: tuple[str, ...], every: int = 3) -> list[str]:
-    """URLs of one class: of each subject every third form, ends and starts in turn."""
-    return [
-        STARTS[n % len(STARTS)] + form.format(subject) + ENDS[(n + i) % len(ENDS)]
-        for i, subject in enumerate(subjects)
-        for n, form in enumerate(forms)
-        if (n + i) % every != 0
-    ]
-
-
-UNWANTED = labelled(UNWANTED_SUBJECTS, UNWANTED_FORMS)
-WANTED = labelled(WANTED_SUBJECTS, WANTED_FORMS)
-BUCKETS = 1 << 14
+BUCKETS = 1 << 15
 SIZES = (3, 4, 5)
-STEPS, RATE, DECAY = 800, 30.0, 1e-5
+#: Share of unwanted URLs that the classes' weights stand for.
+PRIOR = 0.3
+STEPS, RATE, DECAY = 600, 8.0, 2e-4
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -106,12 +86,11 @@ class Model:
     bias: float
 
     def score(self, host: pa.Array, path: pa.Array) -> np.ndarray:
-        """Probability that each is unwanted; n-grams of a URL share a weight of 1 over the root of their number."""
-        b1, r1 = buckets(host, 1)
-        b2, r2 = buckets(path, 2)
-        b, r = np.concatenate((b1, b2)), np.concatenate((r1, r2))
-        n = np.maximum(np.bincount(r, minlength=len(host)), 1)
-        z = np.bincount(r, self.weights[b], minlength=len(host)) / np.sqrt(n) + self.bias
+        """Probability that each is unwanted; n-grams of a host, and of a path, share a weight of 1 over the root of their number."""
+        z = np.full(len(host), self.bias)
+        for tag, part in ((1, host), (2, path)):
+            b, r = buckets(part, tag)
+            z += np.bincount(r, self.weights[b], minlength=len(host)) / np.sqrt(np.maximum(np.bincount(r, minlength=len(host)), 1))
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -124,16 +103,17 @@ def split(url: str) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
 
 
-def train(unwanted: list[str], wanted: list[str]) -> Model:
-    """Logistic regression by gradient descent with L2 decay, from the labelled table; both classes weigh the same."""
-    urls = [split(u) for u in [*unwanted, *wanted]]
+def train(unwanted: list[str], wanted: list[str], prior: float = PRIOR) -> Model:
+    """Logistic regression by gradient descent with L2 decay, from labelled URLs; unwanted ones weigh ``prior`` together."""
+    pairs = [split(u) for u in [*unwanted, *wanted]]
     y = np.array([1.0] * len(unwanted) + [0.0] * len(wanted))
-    x = np.zeros((len(urls), BUCKETS))
+    x = np.zeros((len(pairs), BUCKETS))
     for tag in (1, 2):
-        b, r = buckets(pa.array([u[tag - 1] for u in urls], pa.string()), tag)
-        np.add.at(x, (r, b), 1)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    share = np.where(y > 0, 0.5 / len(unwanted), 0.5 / len(wanted))
+        part = np.zeros_like(x)
+        b, r = buckets(pa.array([u[tag - 1] for u in pairs], pa.string()), tag)
+        np.add.at(part, (r, b), 1)
+        x += part / np.sqrt(np.maximum(part.sum(axis=1, keepdims=True), 1))
+    share = np.where(y > 0, prior / len(unwanted), (1 - prior) / len(wanted))
     used = np.flatnonzero(x.any(axis=0))
     x = x[:, used]
     w, bias = np.zeros(len(used)), 0.0
@@ -152,7 +132,7 @@ def judge(pages: DataFrame, model: Model | None = None, rules=RULES) -> DataFram
     ``score`` is the model's probability that the URL is unwanted, and decides (block from 0.5) where no rule fits. A null
     or unusable URL has an empty host and path, so it fits no rule. An empty table gives no rows.
     """
-    model = model or train(UNWANTED, WANTED)
+    model = model or train(urls(UNWANTED), urls(WANTED))
     shared = pages.sparkSession.sparkContext.broadcast(model)
     host, path = parts(F.col("url"))
     d = only(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
