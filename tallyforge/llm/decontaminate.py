@@ -1,28 +1,32 @@
-"""Benchmark decontamination by template windows (operator 6). DataFrame functions only.
-
-A text becomes a list of words in lower case, in which numbers, names (capitalised words inside a sentence) and units (after
-a number) are slots. A window is ``WINDOW`` words; its template has each slot's type in place of its word, so a
-question with other numbers or names keeps its templates. Windows of documents and benchmark join on the
-template's hash. The slots must then be consistent: two slots of a window are equal in the document just where they are
-in the benchmark, which the window's pattern of first occurrences says.
-
-With ``folded``, each window has up to three readings, and one in common is a hit: names as slots as above (as the SQL has it), names as plain
-words, so that a copy in other letter case is found, and every capitalised word as a name, so that names at the start of a
-text or sentence are slots too. Items under ``LEAST`` words are then searched as they are, without slots.
+r"""Benchmark decontamination by template windows (operator 6). DataFrame functions only.
+
+A text is read twice as a list of lower-case words with typed slots: as ``PLAIN``, numbers (digits and number words) and
+units after a number are slots, so that letter case does not matter; as ``NAMED``, each run of capitalised words is a slot
+too. A window is ``WINDOW`` words; its template has each slot's type in place of its word. A window of under ``LITERAL``
+words besides its slots says too little: there the slots count as the words they are.
+
+1. Any window holds one of the k-grams that start at every ``stride``-th word, so only those are hashed for a document, and
+   joined with all k-grams of the benchmark.
+2. Around each hit the windows are cut out and joined with the benchmark's by hash, then compared word by word.
+3. Slot consistency is checked over a whole item: the hits of a document and an item that lie on one diagonal fill the
+   item's slots. If one value of the item stands for two in the document, or the other way round, only windows without slots count.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import only, table
-from .quality_rules import let
+from ._spark import numbered, only, place, table
 
 WINDOW = 13
-#: Shorter items are searched as one window of all their words; items under this many words not at all (with ``folded``, without slots).
+#: Shorter items are searched as one window of all their words; items under this many words only as whole lines.
 LEAST = 5
-#: Benchmark windows up to which they are broadcast (about 40 bytes each).
+#: Words besides slots that a window needs for its slots to be open.
+LITERAL = 4
+#: Benchmark k-grams, and windows, up to which they are broadcast (about 20 and 200 bytes each).
 BROADCAST_ROWS = 200_000
 #: Words that are units after a number.
 UNITS = (
@@ -30,159 +34,217 @@ UNITS = (
     "grams gram liters liter hours hour days day weeks week months month years year dollars dollar euros euro percent pounds pound "
     "inches inch feet foot degrees km kg cm mm ml mg m g l s h"
 ).split()
-_NAME, _NUMBER, _UNIT, _START = "\x01", "\x02", "\x03", "\x04"
-_UNIT_PATTERN = rf"(\x02[0-9]+) *\x04?({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
+#: Number words, and what they stand for.
+NUMBERS = {
+    w: str(n)
+    for w, n in zip(
+        "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split(),
+        [*range(2, 21), *range(30, 100, 10), 100, 1000, 10**6],
+    )
+}
+PLAIN, NAMED = 0, 1
+_NAME, _NUMBER, _UNIT, _AND = "\x01", "\x02", "\x03", "\x04"
+_CAPITAL = r"\p{Lu}\p{Ll}+"
 
 
-def words(text: Column, starts: bool = False) -> Column:
-    """Words in lower case; those that are slots start with a mark of their type. With ``starts``, all other capitalised words have ``_START``."""
-    t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, r"[\x01-\x03]", " ")
-    t = F.regexp_replace(t, _START, "!") if starts else t  # no part of a word, as without ``starts``
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)(?!\p{L})", _NAME + "$1")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}\x01])(\p{Lu}\p{Ll}+)(?!\p{L})", _START + "$1") if starts else t
-    t = F.regexp_replace(t, r"([0-9])[.,](?=[0-9])", "$1")
-    t = F.regexp_replace(t, r"([0-9]+)", f" {_NUMBER}$1 ")
-    t = F.regexp_replace(F.lower(t), _UNIT_PATTERN, f"$1 {_UNIT}$2")
-    return F.filter(F.split(t, r"[^\p{L}\p{N}\x01-\x04]+" if starts else r"[^\p{L}\p{N}\x01-\x03]+"), lambda w: w != "")
+def gram(n: int) -> tuple[int, int]:
+    """(words, stride) of the k-grams that find windows of ``n`` words: each window holds one that starts at a multiple of the stride."""
+    k = n // 2 + 2
+    return k, n - k + 1
 
 
-def _marked(w: Column, *marks: str) -> Column:
-    return F.exists(w, lambda x: F.substring(x, 1, 1).isin(*marks))
+def marked(text: Column, reading: int) -> Column:
+    """The words of a reading, joined by spaces; a slot is its type's mark and its value."""
+    t = F.translate(F.coalesce(text, F.lit("")), _NAME + _NUMBER + _UNIT + _AND, "    ")
+    t = F.regexp_replace(t, r"([0-9])[.,](?=[0-9])", "$1")
+    t = F.regexp_replace(t, r"([0-9]+)", f" {_NUMBER}$1 ")
+    if reading == NAMED:
+        t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])({_CAPITAL}) (?={_CAPITAL}(?![\p{{L}}\p{{N}}]))", f"$1{_AND}")
+        t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])({_CAPITAL}(?:{_AND}{_CAPITAL})*)(?![\p{{L}}\p{{N}}])", f"{_NAME}$1")
+    t = F.lower(t)
+    starts = "".join(sorted({w[0] for w in NUMBERS}))
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{_NAME}{_NUMBER}{_AND}])(?=[{starts}])({'|'.join(NUMBERS)})(?![\p{{L}}\p{{N}}{_AND}])", f"{_NUMBER}$1")
+    t = F.regexp_replace(t, rf"({_NUMBER}[\p{{L}}0-9]+) +({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}{_AND}])", f"$1 {_UNIT}$2")
+    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}\x01-\x04]+", " "))
 
 
-def _without(w: Column, *marks: str) -> Column:
-    """The words without these marks."""
-    return F.transform(w, lambda x: F.when(F.substring(x, 1, 1).isin(*marks), F.substring(x, 2, 2**31 - 1)).otherwise(x))
+def _open(words: Column) -> Column:
+    """A joined list of words with slots as their types."""
+    return F.split(F.regexp_replace(words, r"([\x01-\x03])[\p{L}\p{N}\x04]+", "$1"), " ")
 
 
-def readings(found: Column, sizes: list[int]) -> Column:
-    """``windows`` of all readings of a list of ``words`` with starts; of sizes under ``LEAST``, of the plain words."""
-    sized = [n for n in sizes if n >= LEAST]
-    tiny = [n for n in sizes if n < LEAST]
+def _slot(w: Column) -> Column:
+    return w < "\x04"
 
-    def of(w: Column) -> Column:
-        none = F.array().cast("array<struct<h:bigint,p:bigint,at:int>>")
-        parts = []
-        if sized:
-            as_names = F.transform(w, lambda x: F.when(x.startswith(_START), F.concat(F.lit(_NAME), F.substring(x, 2, 2**31 - 1))).otherwise(x))
-            parts.append(windows(_without(w, _START), sized))
-            parts.append(F.when(_marked(w, _NAME), windows(_without(w, _NAME, _START), sized)).otherwise(none))
-            parts.append(F.when(_marked(w, _START), windows(as_names, sized)).otherwise(none))
-        if tiny:
-            parts.append(windows(_without(w, _NAME, _NUMBER, _UNIT, _START), tiny))
-        return F.concat(*parts)  # distinct would compare all pairs; places are counted once each later
 
-    return let(found, of)
+def template(words: Column) -> Column:
+    """A window's template."""
+    return F.when(
+        F.size(F.filter(words, lambda w: ~_slot(w))) >= LITERAL, F.transform(words, lambda w: F.when(_slot(w), F.substring(w, 1, 1)).otherwise(w))
+    ).otherwise(words)
 
 
-def windows(found: Column, sizes: list[int]) -> Column:
-    """(template hash, slot pattern, place) of all windows of the given sizes of a list of words."""
+def _spots(size: Column, n: int, step: int = 1) -> Column:
+    """0, step, ... as far as ``n`` words fit."""
+    return F.when(size >= n, F.sequence(F.lit(0), size - n, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
-    def of(w: Column) -> Column:
-        slot = lambda x: x < "\x04"
-        # words as hashes, since each is in up to ``n`` windows
-        template = F.transform(w, lambda x: F.when(slot(x), F.ascii(x).cast("long")).otherwise(F.xxhash64(x)))
-        values = F.transform(w, lambda x: F.when(slot(x), F.xxhash64(x)))
 
-        def pattern(v: Column, i: Column, n: int) -> Column:
-            slots = F.filter(F.slice(v, i + 1, F.lit(n)), lambda x: x.isNotNull())
-            firsts = lambda s: F.when(F.size(s) > 0, F.xxhash64(F.transform(s, lambda x: F.array_position(s, x)))).otherwise(F.lit(0).cast("long"))
-            return let(slots, firsts)
+def _grams(words: Column, reading: int, n: int, step: int) -> Column:
+    """(size, hash, place) of the k-grams for windows of ``n`` words, at every ``step``-th word."""
+    k, _ = gram(n)
+    one = lambda p: F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(reading), F.lit(n), F.slice(words, p + 1, F.lit(k))).alias("g"), p.alias("p"))
+    return F.transform(_spots(F.size(words), k, step), one)
 
-        def sized(t: Column, v: Column, any_slot: Column, n: int) -> Column:
-            at = F.sequence(F.lit(0), F.size(w) - n)
-            one = lambda i: F.struct(
-                F.xxhash64(F.lit(n), F.slice(t, i + 1, F.lit(n))).alias("h"), F.when(any_slot, pattern(v, i, n)).otherwise(F.lit(0).cast("long")).alias("p"), i.alias("at")
-            )
-            return F.when(F.size(w) >= n, F.transform(at, one)).otherwise(F.array().cast("array<struct<h:bigint,p:bigint,at:int>>"))
 
-        def every(t: Column) -> Column:
-            return let(values, lambda v: let(F.exists(w, slot), lambda a: F.concat(*[sized(t, v, a, n) for n in sizes])))
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
-        return let(template, every)
 
-    return let(found, of)
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, text_hash: bool = False, folded: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, text_hash: bool = False) -> DataFrame:
     """doc_id, n_windows, n_items, contaminated for every row of ``docs``, against all of ``benchmark`` (item_id, text).
 
-    n_windows counts the places in the document where a window of the benchmark begins, n_items the items they are from; a
-    document is contaminated if there is one. An item of fewer than ``window`` words is one window of all its words, if it has
-    ``least``. Null and empty texts have none. Rows of equal doc_id and text get equal results. Empty tables: of
-    documents no rows, of the benchmark no hits. With ``text_hash``, also th, the text's xxhash64. With ``folded``, all
-    readings count (``readings``), and items under ``LEAST`` words too; else what the SQL says.
+    n_windows counts the places in the document where a window of the benchmark begins, in the reading that has more of them,
+    and lines that are items of fewer than ``least`` words; n_items counts the items they are from; a document is contaminated if
+    there is one. An item of fewer than ``window`` words is one window of all its words. Null and empty texts have none.
+    Rows of equal doc_id and text get equal results. Empty tables: of documents no rows, of the benchmark no hits.
+    With ``text_hash``, also th, the text's xxhash64.
     """
-    seen = readings if folded else windows
-    least = 1 if folded else least
-    found = words(F.col("text"), folded)
-    items = only(benchmark, "item_id", "text").select("item_id", found.alias("w"), F.size(found).alias("n"))
-    short = [r.n for r in items.where((F.col("n") >= least) & (F.col("n") < window)).select("n").distinct().collect()]  # numbers below ``window``
-    sizes = sorted({window, *short})
-    wins = None
-    for n in sizes:
-        part = items.where(F.col("n") == n) if n < window else items.where(F.col("n") >= n)
-        one = part.select("item_id", F.explode(seen(F.col("w"), [n])).alias("x")).select("item_id", "x.h", "x.p")
-        wins = one if wins is None else wins.unionByName(one)
-    wins = wins.distinct().groupBy("h", "p").agg(F.collect_set("item_id").alias("items"))
-    wins = wins.select("h", F.col("p").alias("bp"), "items")
-    if wins.count() <= BROADCAST_ROWS:
-        wins = F.broadcast(wins)
-    d = only(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("th"))
-    dealt = d.select("doc_id", "th", F.explode(seen(found, sizes)).alias("x")).select("doc_id", "th", "x.h", "x.p", "x.at")
-    hits = dealt.join(wins, "h").where("p = bp")
-    got = hits.select("doc_id", "th", "at", F.explode("items").alias("item")).groupBy("doc_id", "th").agg(
-        F.count_distinct("at").alias("n_windows"), F.count_distinct("item").alias("n_items")
-    )
-    got = got.select(F.col("doc_id").alias("gk"), F.col("th").alias("gt"), "n_windows", "n_items")
-    out = d.select("doc_id", "th").join(got, F.col("doc_id").eqNullSafe(F.col("gk")) & (F.col("th") == F.col("gt")), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("doc_id", zero("n_windows"), zero("n_items"), F.col("n_windows").isNotNull().alias("contaminated"), *(["th"] if text_hash else []))
+    d = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    items = only(benchmark, "item_id", "text").where("text is not null").distinct()
+    found = []
+    for r in (PLAIN, NAMED):
+        mine = items.select("item_id", marked(F.col("text"), r).alias("m")).where("m <> ''")
+        mine = mine.select("item_id", "m", F.size(F.split("m", " ")).alias("size"))
+        sizes = sorted(x.size for x in mine.where(F.col("size") >= least).select(F.least("size", F.lit(window)).alias("size")).distinct().collect())  # ``window`` numbers at most
+        if not sizes:
+            continue
+        of = {n: mine.where(F.col("size") >= n if n == window else F.col("size") == n) for n in sizes}
+        grams = _union([of[n].select(F.explode(_grams(_open(F.col("m")), r, n, 1)).alias("x")).select("x.n", "x.g") for n in sizes]).distinct()
+        wins = _union(
+            [
+                of[n].select("item_id", F.lit(n).alias("n"), F.split("m", " ").alias("w")).select("item_id", "n", F.explode(_spots(F.size("w"), n)).alias("iat"), "w")
+                .select("item_id", "n", "iat", F.slice("w", F.col("iat") + 1, F.lit(n)).alias("bw"))
+                for n in sizes
+            ]
+        ).withColumn("bt", template(F.col("bw")))
+        wins = wins.select(F.col("n").alias("bn"), "item_id", "iat", "bw", "bt", F.xxhash64("bt").alias("h"))
+        rows = d.select("doc_id", "th", marked(F.col("text"), r).alias("m")).withColumn("t", _open(F.col("m")))
+        rows = rows.select("doc_id", "th", "m", F.explode(F.concat(*[_grams(F.col("t"), r, n, gram(n)[1]) for n in sizes])).alias("x")).select("doc_id", "th", "m", "x.*")
+        step = F.create_map(*[F.lit(x) for n in sizes for x in (n, gram(n)[1])])
+        grams, few = _small(grams), grams.count() <= BROADCAST_ROWS
+        around = lambda q: q.withColumn("from", F.greatest(F.col("p") - step[F.col("n")] + 1, F.lit(0))).withColumn("w", F.slice(F.split("m", " "), F.col("from") + 1, F.col("p") - F.col("from") + F.col("n"))).drop("m")
+        # with a broadcast the words are cut out for hits alone, else before they travel
+        hits = around(rows.join(grams, ["n", "g"])) if few else around(rows).join(grams, ["n", "g"])
+        hits = hits.select("doc_id", "th", "n", "p", "from", "w", F.explode(F.sequence(F.lit(0), F.col("p") - F.col("from"))).alias("o"))
+        hits = hits.where(F.size("w") >= F.col("o") + F.col("n")).select("doc_id", "th", "n", (F.col("from") + F.col("o")).alias("at"), F.slice("w", F.col("o") + 1, F.col("n")).alias("w"))
+        hits = hits.withColumn("t", template(F.col("w"))).withColumn("h", F.xxhash64("t"))
+        hits = hits.join(_small(wins), "h").where((F.col("n") == F.col("bn")) & (F.col("t") == F.col("bt")))
+        found.append(hits.select("doc_id", "th", F.lit(r).alias("r"), "n", "at", "item_id", "iat", _filled(F.col("bw"), F.col("w")).alias("slots")))
+    got = []
+    if found:
+        item = _union(found).groupBy("doc_id", "th", "r", "n", "item_id", (F.col("at") - F.col("iat")).alias("diagonal"))  # an item's words bound its slots and places
+        item = item.agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.collect_set(F.struct("at", (F.size("slots") == 0).alias("bare"))).alias("places"))
+        side = lambda x: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["t"], s[x]))))
+        same = (side("b") == F.size("slots")) & (side("d") == F.size("slots"))
+        places = F.when(same, F.col("places")).otherwise(F.filter("places", lambda x: x["bare"]))
+        got.append(item.select("doc_id", "th", "r", "item_id", F.explode(places).alias("x")).select("doc_id", "th", "r", F.col("x.at").alias("at"), "item_id"))
+    line = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    tiny = items.select("item_id", line(F.col("text")).alias("line")).where((F.col("line") != "") & (F.size(F.split("line", " ")) < least))
+    if not tiny.isEmpty():
+        lines = d.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", "th", "i", line(F.col("line")).alias("line"))
+        got.append(lines.join(_small(tiny), "line").select("doc_id", "th", F.lit(PLAIN).alias("r"), (-1 - F.col("i")).alias("at"), "item_id"))
+    out = d.select("doc_id", "th")
+    if not got:
+        out = out.select("doc_id", "th", F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("n_items"))
+    else:
+        per = [F.count_distinct(F.when(F.col("r") == r, F.col("at"))) for r in (PLAIN, NAMED)]
+        sums = _union(got).groupBy("doc_id", "th").agg(F.greatest(*per).alias("n_windows"), F.count_distinct("item_id").alias("n_items"))
+        sums = sums.select(F.col("doc_id").alias("gk"), F.col("th").alias("gt"), "n_windows", "n_items")
+        out = out.join(sums, F.col("doc_id").eqNullSafe(F.col("gk")) & (F.col("th") == F.col("gt")), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("doc_id", zero("n_windows"), zero("n_items"), (zero("n_windows") > 0).alias("contaminated"), *(["th"] if text_hash else []))
+
+
+def _filled(item: Column, doc: Column) -> Column:
+    """(type, the item's value, the document's value) of a window's open slots; number words count as their digits."""
+    digits = F.create_map(*[F.lit(_NUMBER + x) for w in NUMBERS.items() for x in w])
+    value = lambda w: F.coalesce(F.try_element_at(digits, w), w)
+    pairs = F.zip_with(item, doc, lambda b, x: F.struct(F.substring(b, 1, 1).alias("t"), value(b).alias("b"), value(x).alias("d")))
+    return F.filter(pairs, lambda s: s["t"] < "\x04")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    bad = contaminated(docs, benchmark, text_hash=True, **how).where("contaminated").select(F.col("doc_id").alias("bk"), F.col("th").alias("bt"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bk"]) & (F.xxhash64(docs["text"]) == bad["bt"]), "left_anti")
+    bad = contaminated(docs, benchmark, text_hash=True, **how).where("contaminated").select(F.col("doc_id").alias("bk"), F.col("th").alias("bt")).distinct()
+    plain = numbered(docs)
+    key, text = (F.col(f"c{place(docs, c)}") for c in ("doc_id", "text"))
+    return plain.join(bad, key.eqNullSafe(F.col("bk")) & (F.xxhash64(text) == F.col("bt")), "left_anti").toDF(*docs.columns)
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
-    """Operator 6: all documents against the whole benchmark; the rows are the contaminated documents."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).where("contaminated")
+    """Operator 6: a verdict for each document, against the whole benchmark."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def _sql() -> str:
-    def tokens(name: str, key: str) -> str:
-        t = "regexp_replace(coalesce(text, ''), '[\\x01-\\x03]', ' ', 'g')"
-        name_ = r"'([\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)($|[^\p{L}])'"
-        for _ in range(3):  # no look-behind here: neighbours need another turn
-            t = f"regexp_replace({t}, {name_}, '\\1' || chr(1) || '\\2\\3', 'g')"
-        for _ in range(2):
+    words = lambda x: "(" + ", ".join(f"'{w}'" for w in x) + ")"
+
+    def tokens(source: str, key: str) -> str:
+        """(key, r, i, w): words of both readings, slots with their mark."""
+        t = "translate(coalesce(text, ''), chr(1) || chr(2) || chr(3) || chr(4), '    ')"
+        for _ in range(2):  # neighbours need another turn
             t = rf"regexp_replace({t}, '([0-9])[.,]([0-9])', '\1\2', 'g')"
-        t = f"lower(regexp_replace({t}, '([0-9]+)', ' ' || chr(2) || '\\1 ', 'g'))"
-        t = rf"regexp_replace({t}, '(\x02[0-9]+) *({'|'.join(UNITS)})($|[^\p{{L}}\p{{N}}])', '\1 ' || chr(3) || '\2\3', 'g')"
-        return f"SELECT {key}, list_filter(regexp_split_to_array({t}, '[^\\p{{L}}\\p{{N}}\\x01-\\x03]+'), lambda x: x <> '') AS w FROM {name}"
+        t = f"regexp_replace({t}, '([0-9]+)', ' \\1 ', 'g')"
+        return rf"""
+{source}_t AS (SELECT {key}, r, unnest(w) AS w, unnest(s) AS s, generate_subscripts(w, 1) AS i FROM (
+    SELECT {key}, regexp_extract_all(t, '[\p{{L}}\p{{N}}]+') AS w, regexp_extract_all(t, '([^\p{{L}}\p{{N}}]*)[\p{{L}}\p{{N}}]+', 1) AS s
+    FROM (SELECT {key}, {t} AS t FROM {source})), (VALUES (0), (1)) AS v(r)),
+{source}_n AS (SELECT *, r = 1 AND regexp_full_match(w, '\p{{Lu}}\p{{Ll}}+') AS name FROM {source}_t),
+{source}_r AS (SELECT *, CASE WHEN name AND s = ' ' AND lag(name) OVER o THEN 0 ELSE 1 END AS fresh,
+    NOT name AND (regexp_full_match(w, '[0-9]+') OR lower(w) IN {words(NUMBERS)}) AS number FROM {source}_n WINDOW o AS (PARTITION BY {key}, r ORDER BY i)),
+{source}_u AS (SELECT *, sum(fresh) OVER o AS pos, NOT name AND lower(w) IN {words(UNITS)} AND regexp_full_match(s, ' +') AND lag(number) OVER o AS unit
+    FROM {source}_r WINDOW o AS (PARTITION BY {key}, r ORDER BY i)),
+{source}_w AS (SELECT {key}, r, list(w ORDER BY pos) AS w FROM (
+    SELECT {key}, r, pos, max(CASE WHEN name THEN chr(1) WHEN number THEN chr(2) WHEN unit THEN chr(3) ELSE '' END) || string_agg(lower(w), chr(4) ORDER BY i) AS w
+    FROM {source}_u GROUP BY {key}, r, pos) GROUP BY {key}, r)"""
 
     def wins(source: str, key: str, more: str = "") -> str:
         part = "w[i:i + z.n - 1]"
-        return f"""SELECT {key}, i, z.n,
-    list_transform({part}, lambda x: CASE WHEN x < chr(4) THEN x[1:1] ELSE x END) AS tpl,
-    list_transform(list_filter({part}, lambda x: x < chr(4)), lambda x: list_position(list_filter({part}, lambda y: y < chr(4)), x)) AS p
-    FROM {source}, z, unnest(range(1, len(w) - z.n + 2)) AS u(i) {more}"""
+        return f"""SELECT {key}, {source}.r, i, z.n, {part} AS p, CASE WHEN len(list_filter({part}, lambda x: x >= chr(4))) >= {LITERAL}
+    THEN list_transform({part}, lambda x: CASE WHEN x < chr(4) THEN x[1:1] ELSE x END) ELSE {part} END AS tpl
+    FROM {source} JOIN z ON z.r = {source}.r, unnest(range(1, len(w) - z.n + 2)) AS u(i) {more}"""
 
+    digit = "CASE x[2:] " + " ".join(f"WHEN '{w}' THEN chr(2) || '{n}'" for w, n in NUMBERS.items()) + " ELSE x END"
+    line = lambda x: f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     return f"""
-WITH b AS ({tokens("benchmark", "item_id")}),
-d AS ({tokens("documents", "row_number() OVER () AS rid, doc_id")}),
-z AS (SELECT {WINDOW} AS n UNION SELECT DISTINCT len(w)::INTEGER FROM b WHERE len(w) >= {LEAST} AND len(w) < {WINDOW}),
-bw AS ({wins("b", "item_id", f"WHERE z.n = {WINDOW} OR len(w) = z.n")}),
-dw AS ({wins("d", "rid")}),
-hit AS (SELECT rid, count(DISTINCT dw.i) AS n_windows, count(DISTINCT item_id) AS n_items FROM dw JOIN bw ON dw.n = bw.n AND dw.tpl = bw.tpl AND dw.p = bw.p GROUP BY rid)
-SELECT doc_id, coalesce(n_windows, 0)::BIGINT AS n_windows, coalesce(n_items, 0)::BIGINT AS n_items, n_windows IS NOT NULL AS contaminated
-FROM d LEFT JOIN hit USING (rid)
+WITH documents_k AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+benchmark_k AS (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL),
+{tokens("documents_k", "rid")},
+{tokens("benchmark_k", "item_id")},
+z AS (SELECT DISTINCT r, least(len(w), {WINDOW})::INTEGER AS n FROM benchmark_k_w WHERE len(w) >= {LEAST}),
+bw AS ({wins("benchmark_k_w", "item_id", f"WHERE z.n = {WINDOW} OR len(w) = z.n")}),
+dw AS ({wins("documents_k_w", "rid")}),
+hit AS (SELECT rid, item_id, dw.r, dw.n, dw.i AS pos, dw.i - bw.i AS diagonal, dw.p AS d, bw.p AS b
+    FROM dw JOIN bw ON dw.r = bw.r AND dw.n = bw.n AND dw.tpl = bw.tpl),
+slot AS (SELECT rid, item_id, r, n, pos, diagonal, x[1:1] AS t, {digit} AS b, {digit.replace("x[2:]", "y[2:]").replace("ELSE x", "ELSE y")} AS d
+    FROM (SELECT rid, item_id, r, n, pos, diagonal, unnest(b) AS x, unnest(d) AS y FROM hit) WHERE x < chr(4)),
+odd AS (SELECT rid, item_id, r, n, diagonal FROM slot GROUP BY ALL
+    HAVING count(DISTINCT (t, b, d)) <> count(DISTINCT (t, b)) OR count(DISTINCT (t, b, d)) <> count(DISTINCT (t, d))),
+good AS (SELECT rid, item_id, r, pos FROM hit WHERE NOT EXISTS (SELECT 1 FROM odd WHERE odd.rid = hit.rid AND odd.item_id IS NOT DISTINCT FROM hit.item_id
+        AND odd.r = hit.r AND odd.n = hit.n AND odd.diagonal = hit.diagonal)
+    OR len(list_filter(b, lambda x: x < chr(4))) = 0),
+tiny AS (SELECT item_id, {line("text")} AS line FROM benchmark_k WHERE {line("text")} <> '' AND len(string_split({line("text")}, ' ')) < {LEAST}),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents_k),
+every AS (SELECT * FROM good UNION ALL SELECT rid, item_id, 0, -i FROM lines JOIN tiny ON {line("lines.line")} = tiny.line),
+sums AS (SELECT rid, greatest(count(DISTINCT CASE WHEN r = 0 THEN pos END), count(DISTINCT CASE WHEN r = 1 THEN pos END)) AS n_windows, count(DISTINCT item_id) AS n_items
+    FROM every GROUP BY rid)
+SELECT doc_id, coalesce(n_windows, 0)::BIGINT AS n_windows, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(n_windows, 0) > 0 AS contaminated
+FROM documents_k LEFT JOIN sums USING (rid)
 """
 
 
-#: Of all documents, as ``contaminated`` gives them, and of the contaminated ones.
-SQL_ALL = _sql()
-SQL = f"SELECT * FROM ({SQL_ALL}) WHERE contaminated"
+SQL = _sql()

@@ -12,64 +12,72 @@ def frame(spark, data, key="doc_id"):
 
 def test_whole_table_against_sql(spark):
     docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
-    got = D.contaminated(docs, bench)
-    assert rows(got) == oracle(D.SQL_ALL, documents=docs, benchmark=bench)
-    assert rows(D.op6_decontamination(spark, DATA)) == oracle(D.SQL, documents=docs, benchmark=bench)
+    got = D.op6_decontamination(spark, DATA)
+    assert rows(got) == oracle(D.SQL, documents=docs, benchmark=bench)
     text = {r.doc_id: " ".join((r.text or "").lower().split()) for r in docs.collect()}
     items = [" ".join(r.text.lower().split()) for r in bench.collect()]
     whole = {k for k, t in text.items() if any(i in t for i in items)}
     bad = {r.doc_id for r in got.collect() if r.contaminated}
-    assert whole and whole <= bad
-
-
-def test_changed_parameters_and_consistency(spark):
-    bench = frame(spark, [(1, ITEM), (2, "too short to search"), (3, "six words make a short item"), (4, None)], "item_id")
-    docs = [
-        (1, "Intro. " + ITEM.replace("80", "95").replace("Oslo", "Rome").replace("Bergen", "Milan").replace("3", "7.5").replace("Anna", "Peter")),
-        (2, "Intro. " + ITEM.replace("80 other", "81 other")),  # the two equal numbers differ here
-        (3, "x y z " + ITEM.lower()),
-        (4, "we say: six words make a short item indeed"),
-        (5, None),
-        (6, ""),
-        (None, ITEM),
-        (1, "another row of the same id"),
-    ]
-    got = D.contaminated(frame(spark, docs), bench)
-    assert rows(got) == oracle(D.SQL_ALL, documents=frame(spark, docs), benchmark=bench)
-    flags = sorted(((r.doc_id, r.contaminated, r.n_windows) for r in got.collect()), key=str)
-    by = {k: (c, n) for k, c, n in flags if k != 1}
-    assert (1, False, 0) in flags and any(k == 1 and c for k, c, _ in flags)
-    assert by[None][0] and by[4] == (True, 1) and not by[5][0] and not by[6][0]
-    full = next(n for k, c, n in flags if k == 1 and c)
-    assert by[2][1] < full
-    kept = D.drop_contaminated(frame(spark, docs), bench)
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((k for k, c, _ in flags if not c), key=str)
-
-
-def test_empty_tables(spark):
+    assert whole and whole <= bad and len(bad) < len(text)
+
+
+START = "Anna has 5 red apples in a basket and gives 2 of them to each of her friends at school"
+COUNTS = "compute 12 34 56 78 90 11 13 17 19 23 29 31 37 41"
+BENCH = [(1, ITEM), (2, START), (3, "Define entropy"), (4, "What is 5 plus 7"), (5, None), (6, COUNTS), (7, "six words make a short item"), (8, "add 3 4 5 6"), (9, "Mary Ann Smith owes 3 dollars to Tom and Tom owes 3 dollars to a baker")]
+#: (doc_id, text, whether it is contaminated).
+DOCS = [
+    (1, "Intro. " + ITEM.replace("80", "95").replace("Oslo", "Rome").replace("Bergen", "Milan").replace("3", "7.5").replace("Anna", "Peter"), True),
+    (2, "x y z " + ITEM.lower(), True),
+    (3, ITEM.upper(), True),
+    (4, "So it goes. " + START.replace("Anna", "Peter").replace("5", "9"), True),
+    (5, "He said.\n DEFINE entropy!\nnow", True),
+    (6, "define an entropy", False),
+    (7, "what is five plus 7?", False),
+    (8, "what is 5 plus 7?\n", True),
+    (9, START.replace("red", "green").replace("gives", "sells"), False),
+    (10, ITEM.replace("3 hours", "three hours").replace("80", "two"), True),
+    (11, "1 2 3 4 5 6 7 8 9 10 11 12 13 14", False),
+    (12, "compute 1 2 3 4 5 6 7 8 9 10 11 12 13 14", False),
+    (13, "So " + COUNTS, True),
+    (14, "add 7 8 9 10", False),
+    (15, "now add 3 4 5 6 up", True),
+    (16, "we say: six words make a short item indeed", True),
+    (17, "John owes 4 dollars to Ann Lee Fox and Ann Lee Fox owes 4 dollars to a baker", True),
+    (18, "John owes 4 dollars to Ann and Ann owes 5 dollars to a baker", False),  # the item's equal numbers differ
+    (19, "Ann owes 4 dollars to Ann and Ann owes 4 dollars to a baker", False),  # the item's two people are one
+    (20, None, False),
+    (21, "", False),
+    (None, ITEM, True),
+    (1, "another row of the same id", False),
+    (22, ITEM, True),
+    (22, ITEM, True),
+]
+
+
+def test_cases(spark):
+    bench, docs = frame(spark, BENCH, "item_id"), frame(spark, [x[:2] for x in DOCS])
+    got = D.contaminated(docs, bench)
+    assert rows(got) == oracle(D.SQL, documents=docs, benchmark=bench)
+    assert sorted(((r.doc_id, r.contaminated) for r in got.collect()), key=str) == sorted(((k, c) for k, _, c in DOCS), key=str)
+    kept = D.drop_contaminated(docs, bench)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((k for k, _, c in DOCS if not c), key=str)
+
+
+def test_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    bench, docs = frame(spark, BENCH, "item_id"), frame(spark, [x[:2] for x in DOCS])
+    assert rows(D.contaminated(docs, bench)) == oracle(D.SQL, documents=docs, benchmark=bench)
+
+
+def test_every_window_holds_a_gram():
+    for n in range(D.LEAST, D.WINDOW + 1):
+        k, step = D.gram(n)
+        assert all(any(s <= p and p + k <= s + n for p in range(0, s + n, step)) for s in range(3 * step))
+
+
+def test_empty_tables_and_odd_names(spark):
     docs, bench = frame(spark, [(1, ITEM)]), frame(spark, [(1, ITEM)], "item_id")
     assert D.contaminated(docs.limit(0), bench).count() == 0
     assert [r.contaminated for r in D.contaminated(docs, bench.limit(0)).collect()] == [False]
-
-
-def test_folded_readings(spark):
-    start = "Anna has 5 red apples in a basket and gives 2 of them to each of her friends at school"
-    bench = frame(spark, [(1, ITEM), (2, start), (3, "Define entropy"), (4, "What is 5 plus 7"), (5, None)], "item_id")
-    docs = [
-        (1, "x y z " + ITEM.lower()),
-        (2, ITEM.upper()),
-        (3, start.replace("Anna", "Peter").replace("5", "9")),
-        (4, "So it goes. " + start.replace("Anna", "Peter")),
-        (5, "He said: please DEFINE entropy now"),
-        (6, "what is 5 plus 7?"),
-        (7, "define an entropy"),
-        (8, start.replace("red", "green").replace("gives", "sells")),
-        (9, ITEM.replace("80", "95").replace("Oslo", "Rome").replace("Anna", "Peter")),
-        (10, ITEM.lower().replace("3", "4")),
-        (None, None),
-    ]
-    got = {r.doc_id: r for r in D.contaminated(frame(spark, docs), bench, folded=True).collect()}
-    assert {k for k, r in got.items() if r.contaminated} == {1, 2, 3, 4, 5, 6, 9, 10}
-    assert got[1].n_windows == 11 and got[1].n_items == 1
-    kept = D.drop_contaminated(frame(spark, docs), bench, folded=True)
-    assert {r.doc_id for r in kept.collect()} == {7, 8, None}
+    odd = spark.createDataFrame([(1, ITEM, 1, 2), (2, "x", 3, 4)], "doc_id long, text string, `a.b` int, TEXT int")
+    assert [tuple(r) for r in D.drop_contaminated(odd, bench).collect()] == [(2, "x", 3, 4)]
