@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._bytes import U, buffers, mix
 from ._spark import map_arrow, only, slabs, table, texts
@@ -155,25 +156,32 @@ def learn(docs: DataFrame, sample: int = SAMPLE, top: int = GRAMS) -> Filters:
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """``docs`` with lang_pred and lang_score from the whole text alone.
+    """``docs`` with lang_pred and lang_score from the whole text alone; columns of these names in ``docs`` are left out.
 
     lang_pred is ``und`` with score 0 for a text that is null, empty or without a letter; a text with letters but
     none of the learned n-grams gets the most frequent language, with score 0. Equal counts: the first language by name.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(filters)
+    model = docs.sparkSession.sparkContext.broadcast(filters)
     fields = [x for x in docs.schema.fields if x.name not in ("lang_pred", "lang_score")]
-    d = docs.select(*[docs[f"`{x.name}`"] for x in fields])
+    names = [x.name for x in fields]
 
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        names, scores = model.value.predict(texts(batch))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "lang_score"]
-        )
+        langs, scores = model.value.predict(texts(batch))
+        cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "lang_score"])
 
-    from pyspark.sql import types as T
+    return map_arrow(docs, T.StructType(fields).add("lang_pred", "string").add("lang_score", "double"), f)
 
-    return map_arrow(d, T.StructType(fields).add("lang_pred", "string").add("lang_score", "double"), f)
+
+def of_known_language(docs: DataFrame, filters: Filters, least: float) -> DataFrame:
+    """``docs`` without texts that ``identify`` calls ``und`` or scores under ``least``; all columns stay as they are."""
+    model = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        langs, scores = model.value.predict(texts(batch))
+        yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)], pa.bool_()))
+
+    return map_arrow(docs, T.StructType(docs.schema.fields), f)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

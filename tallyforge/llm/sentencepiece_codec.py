@@ -9,7 +9,10 @@ and put together again.
   edges, the forward Viterbi pass runs over all chunks in lock step.
 - The n best segmentations come from a backward A-star search (``astar``), with the forward Viterbi scores as the exact
   heuristic, so it only expands what it returns. A second Viterbi pass from the right gives each chunk's loss for
-  leaving its best path; a text's n best can leave it only in its n - 1 chunks of least loss, so A-star runs on those.
+  leaving its best path; a text's n best can leave it only in its n - 1 chunks of least loss, so A-star runs on those, and its
+  paths take the places of these chunks' best ones.
+
+The driver reads the vocabulary file and ships its pieces with the job.
 
 Scores are whole micro-nats, so sums are exact. Of paths that tie, the best one ends with the longest pieces.
 The public vocabulary file has BPE ranks and no probabilities: a piece of rank r gets Zipf's ln p = -ln(r + 1) - ln H,
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._bytes import U, buffers, mix
-from ._spark import only, slabs, table, texts
+from ._spark import map_arrow, only, slabs, table, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 3
@@ -98,6 +101,11 @@ class Vocabulary:
     @classmethod
     def load(cls, model: str = MODEL) -> Vocabulary:
         """From a SentencePiece model file with byte pieces."""
+        return cls(*cls.read(model))
+
+    @staticmethod
+    def read(model: str = MODEL) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Pieces, scores and byte pieces of a model file."""
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -117,7 +125,7 @@ class Vocabulary:
         if len(bytes_) != 256:
             raise ValueError("the vocabulary needs its 256 byte pieces")
         total = sum(1 / (r + 1) for r in range(1, rank + 1))
-        return cls(pieces, np.round(-1e6 * (np.log(ranks + 1) + math.log(total))).astype(np.int64), np.array([bytes_[b] for b in range(256)]))
+        return pieces, np.round(-1e6 * (np.log(ranks + 1) + math.log(total))).astype(np.int64), np.array([bytes_[b] for b in range(256)])
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index among the keys, or -1."""
@@ -294,11 +302,24 @@ class Encoded:
     ids: np.ndarray
     at: np.ndarray
     score: np.ndarray
-    nbest: list[list[int]]
+    #: Of each text the n best segmentations, best first: (score, what replaces tokens a to b of the best one).
+    nbest: list[list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]
+
+    def best(self, row: int) -> list[np.ndarray]:
+        """The ids of the n best segmentations of a text."""
+        ids = self.ids[self.at[row] : self.at[row + 1]]
+        out = []
+        for _, changes in self.nbest[row]:
+            parts, end = [], 0
+            for a, b, new in sorted(changes):
+                parts += [ids[end:a], np.array(new, np.int32)]
+                end = b
+            out.append(np.concatenate([*parts, ids[end:]]) if parts else ids)
+        return out
 
 
 def encode(vocab: Vocabulary, rows: list[str], best: int = BEST, cache: dict | None = None) -> Encoded:
-    """Best ids of each text and the scores of its ``best`` best segmentations (fewer if there are no more).
+    """The ``best`` best segmentations of each text (fewer if there are no more).
 
     A text has a space put before it, as the vocabulary expects; an empty text has no ids and no segmentation.
     """
@@ -320,7 +341,7 @@ def encode(vocab: Vocabulary, rows: list[str], best: int = BEST, cache: dict | N
     cut[doc0] = True
     start = np.flatnonzero(cut)
     end = np.append(start[1:], n)
-    # distinct chunks, by two hashes
+    # distinct chunks, by hash; then each is compared with the one that stands for it
     width = end - start
     h = np.zeros(len(start), U)
     g = np.zeros(len(start), U)
@@ -332,6 +353,11 @@ def encode(vocab: Vocabulary, rows: list[str], best: int = BEST, cache: dict | N
         k += 1
         live = live[width[live] > k]
     _, first, inverse = np.unique(mix(h) ^ (g * U(0xC2B2AE3D27D4EB4F)), return_index=True, return_inverse=True)
+    like = first[inverse]
+    if (width[like] != width).any() or (cp[np.repeat(start[like] - start, width) + np.arange(n)] != cp).any():  # a collision: tell them apart by their letters
+        seen: dict[bytes, int] = {}
+        inverse = np.array([seen.setdefault(cp[a:b].tobytes(), len(seen)) for a, b in zip(start.tolist(), end.tolist())])
+        _, first = np.unique(inverse, return_index=True)
     us, ue = start[first], end[first]
     w = ue - us
     flat = np.repeat(us - (np.cumsum(w) - w), w) + np.arange(w.sum())
@@ -347,15 +373,17 @@ def encode(vocab: Vocabulary, rows: list[str], best: int = BEST, cache: dict | N
     out = Encoded(ids[pos], token_at, total[chunk_at[1:]] - total[chunk_at[:-1]], [])
     cache = {} if cache is None else cache
     chunk_loss = loss[inverse]
+    tokens = np.concatenate(([0], np.cumsum(many)))
     for r in range(len(rows)):
         a, b = chunk_at[r], chunk_at[r + 1]
         if a == b:
             out.nbest.append([])
             continue
         mine = chunk_loss[a:b]
-        chosen = np.argpartition(mine, best - 2)[: best - 1] if 1 < best <= b - a else np.arange(b - a) if best > 1 else []
-        losses = [0]
-        for c in chosen:
+        # of equal losses the first chunks, so that rows of a text agree
+        chosen = np.argsort(mine, kind="stable")[: best - 1] if b - a < 64 else _least(mine, best - 1)
+        paths: list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]] = [(0, [])]
+        for c in np.sort(chosen).tolist():
             if mine[c] == np.iinfo(np.int64).max:
                 continue
             u = first[inverse[a + c]]
@@ -363,13 +391,25 @@ def encode(vocab: Vocabulary, rows: list[str], best: int = BEST, cache: dict | N
             if key not in cache:
                 if len(cache) > 100_000:
                     cache.clear()
-                paths = vocab.astar(cp[start[u] : end[u]].tolist(), best)
-                cache[key] = [paths[0][0] - s for s, _ in paths]
-            losses = sorted(x + y for x in losses for y in cache[key])[:best]
-        out.nbest.append([int(out.score[r]) - x for x in losses])
+                found = vocab.astar(cp[start[u] : end[u]].tolist(), best)
+                own = tuple(out.ids[tokens[a + c] : tokens[a + c + 1]].tolist())  # of paths that tie with it, another may come first
+                cache[key] = [(0, own), *((found[0][0] - s, ids) for s, ids in found if ids != own)][:best]
+            x, y = int(tokens[a + c] - token_at[r]), int(tokens[a + c + 1] - token_at[r])
+            more = [(loss + t, [*changes, (x, y, ids)] if i else changes) for loss, changes in paths for i, (t, ids) in enumerate(cache[key])]
+            paths = sorted(more, key=lambda p: p[0])[:best]
+        out.nbest.append([(int(out.score[r]) - loss, changes) for loss, changes in paths])
     return out
 
 
+def _least(values: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` least values, the first of equals."""
+    if n < 1:
+        return np.zeros(0, np.int64)
+    top = np.partition(values, n - 1)[n - 1]
+    near = np.flatnonzero(values <= top)
+    return near[np.argsort(values[near], kind="stable")[:n]]
+
+
 def decode(vocab: Vocabulary, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
     """The UTF-8 text of each run of ids."""
     size = vocab.out_size[ids]
@@ -389,45 +429,80 @@ def nbest(vocab: Vocabulary, text: str, n: int) -> list[tuple[int, tuple[int, ..
 _LOADED: dict[str, Vocabulary] = {}
 
 
-def vocabulary(model: str) -> Vocabulary:
-    """The vocabulary, loaded once in a process."""
+def vocabulary(model: str = MODEL) -> Vocabulary:
+    """The vocabulary of a file that this process can read, loaded once."""
     if model not in _LOADED:
         _LOADED[model] = Vocabulary.load(model)
     return _LOADED[model]
 
 
+def _shipped(spark, model: str):
+    """A function that gives executors the vocabulary, which travels with the job (about 1 MB)."""
+    pieces = spark.sparkContext.broadcast(Vocabulary.read(model))
+
+    def get() -> Vocabulary:
+        if model not in _LOADED:
+            _LOADED[model] = Vocabulary(*pieces.value)
+        return _LOADED[model]
+
+    return get
+
+
 def encode_texts(docs: DataFrame, model: str = MODEL, best: int = BEST, keep_ids: bool = True) -> DataFrame:
-    """doc_id, n_ids, ids_sha256 (of little-endian int32), score (nats), nbest (scores), round_trip, and ids if asked.
+    """doc_id, n_ids, ids_sha256 (of little-endian int32), score (nats), nbest (scores), nbest_sha256, round_trip, and ids and nbest_ids if asked.
 
-    The whole text is encoded and decoded again; round_trip says that this gave the same bytes. Null and empty texts
-    have no ids, score 0, an empty nbest, and round_trip true. An empty table gives no rows.
+    The whole text is encoded and decoded again; round_trip says that this gave the same bytes. nbest_ids are the ids of the n best
+    segmentations, best first, and nbest_sha256 their digests. Null and empty texts have no ids, score 0, an empty nbest, and
+    round_trip true. An empty table gives no rows.
     """
-    schema = "doc_id long, n_ids long, ids_sha256 string, score double, nbest array<double>, round_trip boolean" + (", ids array<int>" if keep_ids else "")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, cache = vocabulary(model), {}
-        for batch in batches:
-            col = texts(batch)
-            for i, j in slabs(np.diff(buffers(col)[1]).tolist(), SLAB):
-                rows = col.slice(i, j - i).to_pylist()
-                got = encode(vocab, rows, best, cache)
-                back = decode(vocab, got.ids, got.at)
-                cols = {
-                    "doc_id": batch.column(0).slice(i, j - i),
-                    "n_ids": np.diff(got.at),
-                    "ids_sha256": pa.array([hashlib.sha256(got.ids[a:b].tobytes()).hexdigest() for a, b in zip(got.at[:-1], got.at[1:])], pa.string()),
-                    "score": got.score / 1e6,
-                    "nbest": pa.array([[x / 1e6 for x in s] for s in got.nbest], pa.list_(pa.float64())),
-                    "round_trip": pa.array([b == r.encode() for b, r in zip(back, rows)], pa.bool_()),
-                }
-                if keep_ids:
-                    cols["ids"] = pa.ListArray.from_arrays(got.at.astype(np.int32), got.ids)
-                yield pa.record_batch(cols)
-                del rows, got, back, cols
-
-    return only(docs, "doc_id", "text").mapInArrow(run, schema)
+    schema = "doc_id long, n_ids long, ids_sha256 string, score double, nbest array<double>, nbest_sha256 array<string>, round_trip boolean"
+    schema += ", ids array<int>, nbest_ids array<array<int>>" if keep_ids else ""
+    get, cache = _shipped(docs.sparkSession, model), {}
+    digest = lambda ids: hashlib.sha256(ids.tobytes()).hexdigest()
+
+    def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        vocab = get()
+        col = texts(batch)
+        for i, j in slabs(np.diff(buffers(col)[1]).tolist(), SLAB):
+            rows = col.slice(i, j - i).to_pylist()
+            got = encode(vocab, rows, best, cache)
+            back = decode(vocab, got.ids, got.at)
+            every = [got.best(r) for r in range(len(rows))]
+            cols = {
+                "doc_id": batch.column(0).slice(i, j - i),
+                "n_ids": np.diff(got.at),
+                "ids_sha256": pa.array([digest(got.ids[a:b]) for a, b in zip(got.at[:-1], got.at[1:])], pa.string()),
+                "score": got.score / 1e6,
+                "nbest": pa.array([[x / 1e6 for x, _ in s] for s in got.nbest], pa.list_(pa.float64())),
+                "nbest_sha256": pa.array([[digest(x) for x in s] for s in every], pa.list_(pa.string())),
+                "round_trip": pa.array([b == r.encode() for b, r in zip(back, rows)], pa.bool_()),
+            }
+            if keep_ids:
+                cols["ids"] = pa.ListArray.from_arrays(got.at.astype(np.int32), got.ids)
+                flat = [x for s in every for x in s]
+                inner = pa.ListArray.from_arrays(np.cumsum([0, *map(len, flat)]).astype(np.int32), np.concatenate([*flat, np.zeros(0, np.int32)]))
+                cols["nbest_ids"] = pa.ListArray.from_arrays(np.cumsum([0, *map(len, every)]).astype(np.int32), inner)
+            yield pa.record_batch(cols)
+
+    return map_arrow(only(docs, "doc_id", "text"), schema, f)
+
+
+def decode_ids(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
+    """doc_id, text for every row of ``encoded`` (doc_id, a column of ids); null and empty ids give an empty text.
+
+    Bytes that are no UTF-8, which only other ids than encoded ones give, become the replacement character.
+    """
+    get = _shipped(encoded.sparkSession, model)
+
+    def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        col = batch.column(1)
+        size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0)).astype(np.int64)
+        found = decode(get(), np.asarray(col.flatten()).astype(np.int64), np.concatenate(([0], np.cumsum(size))))
+        yield pa.record_batch({"doc_id": batch.column(0), "text": pa.array([x.decode(errors="replace") for x in found], pa.string())})
+
+    return map_arrow(only(encoded, "doc_id", ids), "doc_id long, text string", f)
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Operator 2 over all documents: best ids (as a digest), three best scores, and the round trip."""
+    """Operator 2 over all documents: the three best segmentations (scores, and ids as digests), and the round trip."""
     return encode_texts(table(spark, sf_dir, "documents"), keep_ids=False)

@@ -1,10 +1,11 @@
+import hashlib
 import itertools
 import random
 
 import numpy as np
 import pytest
 
-from tallyforge.llm.sentencepiece_codec import MODEL, Vocabulary, decode, encode, encode_texts, nbest, vocabulary
+from tallyforge.llm.sentencepiece_codec import MODEL, Vocabulary, decode, decode_ids, encode, encode_texts, nbest, vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +40,17 @@ def every(vocab, text):
     return sorted(out, reverse=True)
 
 
+def check_best(vocab, e, row, text):
+    """The n best are different segmentations of the text, each with its own score."""
+    found = e.best(row)
+    assert found[0].tolist() == e.ids[e.at[row] : e.at[row + 1]].tolist()
+    assert len({tuple(x.tolist()) for x in found}) == len(found) == len(e.nbest[row])
+    of_byte = {int(i): vocab.byte_score for i in vocab.byte_ids}
+    for ids, (score, _) in zip(found, e.nbest[row]):
+        assert decode(vocab, ids, np.array([0, len(ids)])) == [text.encode()]
+        assert sum(of_byte.get(i, int(vocab.scores[i])) for i in ids.tolist()) == score
+
+
 def test_nbest_against_all_segmentations(tiny):
     rng = random.Random(1)
     for _ in range(60):
@@ -48,9 +60,10 @@ def test_nbest_against_all_segmentations(tiny):
         assert [s for s, _ in got] == want[:6]
         assert len({ids for _, ids in got}) == len(got)
         e = encode(tiny, ["", text, "ab"], best=4)
-        assert e.nbest[1] == want[:4] and e.nbest[0] == [] and e.score[1] == want[0]
+        assert [s for s, _ in e.nbest[1]] == want[:4] and e.nbest[0] == [] == e.best(0) and e.score[1] == want[0]
         ids = e.ids[e.at[1] : e.at[2]]
         assert tuple(ids) in {x for s, x in nbest(tiny, text, 40) if s == want[0]}
+        check_best(tiny, e, 1, text)
         assert decode(tiny, e.ids, e.at) == [b"", text.encode(), b"ab"]
 
 
@@ -61,18 +74,38 @@ def test_round_trip_of_odd_texts():
     assert decode(v, e.ids, e.at) == [r.encode() for r in rows]
     for r, got, s in zip(rows, e.nbest, e.score):
         if 0 < len(r) < 40:
-            assert got == [x for x, _ in nbest(v, r, 3)] and got[0] == s
+            assert [x for x, _ in got] == [x for x, _ in nbest(v, r, 3)] and got[0][0] == s
+    for i, r in enumerate(rows):
+        if r:
+            check_best(v, e, i, r)
 
 
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = encode_texts(docs).collect()
+    coded = encode_texts(docs).cache()
+    got = coded.collect()
     assert len(got) == docs.count() and all(r.round_trip for r in got)
     v = vocabulary(MODEL)
     text = {r.doc_id: r.text for r in docs.collect()}
-    for r in sorted(got, key=lambda r: r.n_ids)[:25]:
+    got.sort(key=lambda r: r.n_ids)
+    for r in [*got[::12], got[-1]]:  # short and long ones, by search over the whole lattice
         want = [s / 1e6 for s, _ in nbest(v, text[r.doc_id], 3)]
         assert list(r.nbest) == want and r.score == want[0]
+    for r in got:
+        assert [hashlib.sha256(np.array(x, np.int32).tobytes()).hexdigest() for x in r.nbest_ids] == r.nbest_sha256 and r.nbest_ids[:1] == ([r.ids] if r.ids else [])
+    assert {r.doc_id: r.text for r in decode_ids(coded).collect()} == text
+
+
+def test_chunks_of_one_hash(tiny, monkeypatch):
+    """Chunks whose hashes collide are told apart."""
+    from tallyforge.llm import sentencepiece_codec as S
+
+    rows = ["ab ca bc", "cab abc", "ca"]
+    want = encode(tiny, rows)
+    real = np.unique
+    monkeypatch.setattr(S.np, "unique", lambda x, **k: real(x % S.U(3), **k) if x.dtype == S.U else real(x, **k))
+    got = encode(tiny, rows)
+    assert got.ids.tolist() == want.ids.tolist() and got.score.tolist() == want.score.tolist()
 
 
 def test_edges(spark):
