@@ -6,49 +6,36 @@ Each stage takes (spark, docs, sf_dir). All but the last return the columns of `
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, jaccard_join, language_id, secret_scan, sentencepiece_codec
 from tallyforge.llm._spark import cut, table
 
 #: Share of a text's n-grams that its predicted language must hold.
 LEAST_SCORE = 0.3
-#: Rows of an Arrow batch. Texts are long, and the JVM and the Python worker both hold a batch or two.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Let this session pass texts to Python in small batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those whose n-grams fit no learned language."""
-    small_batches(spark)
-    got = language_id.identify(docs, language_id.learn(docs))
-    return got.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    return language_id.of_known_language(docs, language_id.learn(docs), LEAST_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one of the least doc_id."""
-    small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a passage of the benchmark, in any letter case and with other names or numbers."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), folded=True)
+    """Drops documents with a passage of the benchmark, in any letter case, or with other names, numbers or units."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; n_chars follows."""
-    small_batches(spark)
     return secret_scan.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with their scores and the round trip."""
-    small_batches(spark)
     return sentencepiece_codec.encode_texts(docs)
 
 
