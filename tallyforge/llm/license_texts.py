@@ -1,4 +1,6 @@
-"""Texts of short public licences and of the notices that name longer ones."""
+"""Texts of short public licences, digests of the canonical forms of long ones, and notices that name licences."""
+
+import re
 
 _GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
@@ -52,23 +54,48 @@ _APACHE = (
 _UNLICENSE = (
     "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
     "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
-    "means."
+    "means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest "
+    "in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs "
+    "and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+    'software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+    "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE "
+    "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+    "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"
 )
 
 #: (licence, text).
 TEXTS = (
     ("MIT", f"{_GRANT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_MIT_END}"),
-    ("MIT", f"MIT License\n{_GRANT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_MIT_END}"),
     ("MIT-0", f"{_GRANT}. {_MIT_END}"),
     ("ISC", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_END}"),
     ("0BSD", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. {_ISC_END}"),
+    ("BSD-2-Clause", f"{_BSD_START}\n1. {_BSD_1}\n2. {_BSD_2}\n{_BSD_END}"),
     ("BSD-2-Clause", f"{_BSD_START} 1. {_BSD_1} 2. {_BSD_2} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD_START}\n1. {_BSD_1}\n2. {_BSD_2}\n3. {_BSD_3}\n{_BSD_END}"),
     ("BSD-3-Clause", f"{_BSD_START} 1. {_BSD_1} 2. {_BSD_2} 3. {_BSD_3} {_BSD_END}"),
     ("Zlib", _ZLIB),
-    ("Apache-2.0", _APACHE),
+    ("Zlib", re.sub(r" ([123]\. )", r"\n\1", _ZLIB)),
+    ("Apache-2.0-notice", _APACHE),
     ("Unlicense", _UNLICENSE),
 )
 
+#: (licence, SHA-256 of the canonical form of its whole text, as published by its steward).
+DIGESTS = (
+    ("Apache-2.0", "edfc970c22b44481afbf0a36a0701bb174240103013998cab19c81a1d10029fb"),
+    ("Artistic-1.0-Perl", "538e2e59281ba267abc1d1844748259521b4d2f0e90e9cca0ee2b8a86ffbe6fa"),
+    ("CC0-1.0", "2106cd4f7c9f6d4a9e5f54c911e4ff372736db5467794e4b89bcea996afde21c"),
+    ("GFDL-1.2", "b19848a8e68e8c2828682013311c3b224ffe4ba7b9e9f141540c50ab0e5cade7"),
+    ("GFDL-1.3", "df7c33d3191ae474469d65a619e0f3251eed625616e8d991f7554ac0343275d4"),
+    ("GPL-1.0", "ccb759ed9f97b19013bbb75be2c230355e8b3993d435c1885559ea0b715b8cca"),
+    ("GPL-2.0", "5ef1f5f0461a54997a170af5c87102900e651106207b80558de731fd1db30832"),
+    ("GPL-3.0", "6f2a4c66f265ab60e8d4a393a389cecbb6ee8beabd0f1e3a948312d6b01bb827"),
+    ("LGPL-2.0", "ffd8730789ab0fc5853425d608bf29d213379ce803c8549814e85648681ef32a"),
+    ("LGPL-2.1", "0af47c8da0e16365147be761910b2af02249ed8ea2f5dbed0a027d6f7639058a"),
+    ("LGPL-3.0", "26aeb5d3e16e4dee74aba841e3bb744f36eef8e902c291b36439a8a02441cb95"),
+    ("MPL-1.1", "569b10b3899a95d7d700de220751bf510e4bf86dda77c33c1f38f97544ee6a36"),
+    ("MPL-2.0", "d2954ecddd82787482d526252c2595f628a7e2ccd8c32b969382705b61c7ed8d"),
+)
+
 #: (licence, a line that gives it).
 NOTICES = (
     ("MIT", "Released under the MIT License."),

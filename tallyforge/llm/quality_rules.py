@@ -3,7 +3,8 @@
 Each text gets two histograms: of character classes, and of its language's most common words (with one bin for all
 others). The reference of a language is the sum of the histograms of all its documents that the base keeps. A document is
 rejected if the base fails it, or if it has at least ``MIN_WORDS`` words and the Jensen-Shannon distance (base 2)
-of either histogram from its language's reference is beyond the limit.
+of either histogram from its language's reference is beyond the limit. The limit of the words is set by the reference: a share
+of the distance that a text without any common word has.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ CHARS = ("c_lower", "c_upper", "c_digit", "c_space", "n_symbols", "c_wide", "c_o
 WORDS = tuple(f"w_{i}" for i in range(BINS)) + ("w_rest",)
 MIN_WORDS = 50
 CHAR_LIMIT = 0.27
-WORD_LIMIT = 0.45
+WORD_LIMIT = 0.9
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -114,9 +115,21 @@ def distance(columns: tuple[str, ...]) -> Column:
     return F.when((total > 0) & (ref > 0), found)
 
 
+def without_common_words() -> Column:
+    """The distance of a text without a common word from the reference, in which they have the share s."""
+    ref = reduce(lambda a, b: a + b, [F.col("r_" + c) for c in WORDS])
+
+    def of(s: Column) -> Column:
+        rest = 1 - s
+        return F.sqrt(0.5 * (F.log2(2 / (1 + rest)) + s + F.when(rest > 0, rest * F.log2(2 * rest / (1 + rest))).otherwise(0.0)))
+
+    return F.when(ref > 0, let(1 - F.col("r_w_rest") / ref, of))
+
+
 def judge(docs: DataFrame, min_words: int = MIN_WORDS, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_js, word_js of every row.
 
+    ``char_limit`` is a distance, ``word_limit`` a share of the distance of a text without common words.
     Null text is empty: 0 words, so the base fails it. A row whose lang is null or has no list of common words has
     null distances and is judged by the base alone, as are rows under ``min_words`` words. Repeated rows get equal
     results. An empty table gives no rows.
@@ -125,10 +138,8 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, char_limit: float = CHAR_
     fit = f.where(~F.col("base_failed") & F.col("lang").isin(*COMMON))
     ref = fit.groupBy(F.col("lang").alias("r_lang")).agg(*[F.sum(c).alias(f"r_{c}") for c in CHARS + WORDS])
     d = f.join(F.broadcast(ref), f["lang"] == ref["r_lang"], "left")  # a row for each language of COMMON at most
-    d = d.withColumn("char_js", distance(CHARS)).withColumn("word_js", distance(WORDS))
-    strange = (F.col("n_words") >= min_words) & (F.coalesce("char_js", F.lit(0.0)) > char_limit) | (F.col("n_words") >= min_words) & (
-        F.coalesce("word_js", F.lit(0.0)) > word_limit
-    )
+    d = d.withColumn("char_js", distance(CHARS)).withColumn("word_js", distance(WORDS)).withColumn("most", word_limit * without_common_words())
+    strange = (F.col("n_words") >= min_words) & (F.coalesce(F.col("char_js") > char_limit, F.lit(False)) | F.coalesce(F.col("word_js") > F.col("most"), F.lit(False)))
     return d.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~strange).alias("kept"), F.round("char_js", 6).alias("char_js"), F.round("word_js", 6).alias("word_js")
     )
@@ -155,6 +166,8 @@ def _sql() -> str:
             out.append(f"({half(p)} + {half(q)})")
         return f"CASE WHEN {total} > 0 AND {ref} > 0 THEN round(sqrt(greatest({' + '.join(out)}, 0.0)), 9) END"
 
+    total = "(" + " + ".join(f"r_{c}" for c in WORDS) + ")"
+    none = "sqrt(0.5 * (log2(2 / (2 - s)) + s + CASE WHEN s < 1 THEN (1 - s) * log2(2 * (1 - s) / (2 - s)) ELSE 0 END))"
     sums = ", ".join(f"sum({c})::DOUBLE AS r_{c}" for c in CHARS + WORDS)
     gone = lambda p: f"length(regexp_replace(t, '{p}', '', 'g'))::BIGINT"
     return f"""
@@ -171,9 +184,9 @@ f AS (SELECT rid, doc_id, lang, t, len(words)::BIGINT AS n_words, length(array_t
 g AS (SELECT *, length(t) - word_chars AS c_space, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {rest} AS w_rest FROM f),
 h AS (SELECT *, {other} AS c_other FROM g),
 r AS (SELECT lang AS r_lang, {sums} FROM h WHERE NOT base_failed AND lang IN ({", ".join(f"'{x}'" for x in COMMON)}) GROUP BY lang),
-j AS (SELECT h.*, {js(CHARS)} AS char_js, {js(WORDS)} AS word_js FROM h LEFT JOIN r ON h.lang = r.r_lang)
+j AS (SELECT h.*, {js(CHARS)} AS char_js, {js(WORDS)} AS word_js, CASE WHEN {total} > 0 THEN 1 - r_w_rest / {total} END AS s FROM h LEFT JOIN r ON h.lang = r.r_lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND NOT (n_words >= {MIN_WORDS} AND (coalesce(char_js, 0) > {CHAR_LIMIT} OR coalesce(word_js, 0) > {WORD_LIMIT})) AS kept,
+    NOT base_failed AND NOT (n_words >= {MIN_WORDS} AND (coalesce(char_js, 0) > {CHAR_LIMIT} OR coalesce(word_js > {WORD_LIMIT} * {none}, false))) AS kept,
     round(char_js, 6) AS char_js, round(word_js, 6) AS word_js
 FROM j
 """

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -48,3 +49,13 @@ def test_strange_characters_are_rejected(spark):
     data += [(100, " ".join(f"@~^={a}" for a in range(80)), "en"), (101, words[0], "xx")]
     got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
     assert not got[100].kept and got[101].kept and got[101].char_js is None
+
+
+def test_word_salad_and_wrong_language_are_rejected(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abdefglmnoprstu") for _ in range(rng.randint(3, 8)))
+    text = lambda common: " ".join(rng.choice(common) if rng.random() < 0.25 else word() for _ in range(160))
+    data = [(i, text(Q.COMMON[lang]), lang) for i, lang in enumerate(["en", "de"] * 40)]
+    data += [(100, " ".join(word() for _ in range(160)), "en"), (101, text(Q.COMMON["de"][:2]), "en"), (102, " ".join(word() for _ in range(40)), "en")]
+    got = {r.doc_id: r.kept for r in Q.judge(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert not got[100] and not got[101] and got[102] and all(got[i] for i in range(80))
