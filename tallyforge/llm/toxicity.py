@@ -4,8 +4,10 @@ A text is a bag of sentences. Sentence s has p(s) = sigmoid(b + sum of its words
 (noisy-or). Only texts have labels; the gradient through the noisy-or tells sentences apart, which then locates
 the offending ones.
 
-The fit takes a bounded sample of labelled rows (``SAMPLE`` a class, expected). Executors count words by class
-and keep ``WORDS`` of them, those that differ most; only those come to the driver.
+The fit takes a bounded sample of labelled rows: ``SAMPLE`` a class, expected, of texts up to ``LONGEST`` bytes, and ``SAMPLE_BYTES`` of
+text in all, expected. Executors count words by class and keep those whose shares differ beyond chance (``LEAST_Z``),
+``WORDS`` at most; only those come to the driver. The penalty on weights is the one of ``PENALTIES`` that predicts a
+fold of the sample best, so that wrong labels are not learned by heart.
 """
 
 from __future__ import annotations
@@ -24,7 +26,13 @@ from ._spark import map_arrow, only, slabs, table, texts
 from .language_id import held_out
 
 SAMPLE = 5000
+SAMPLE_BYTES = 64 << 20
+LONGEST = 1 << 20
 WORDS = 4096
+#: Documents that a word must be in, and standard errors that its shares in both classes must differ by.
+LEAST_DOCS, LEAST_Z = 8, 4.0
+PENALTIES = (1e-5, 1e-4, 1e-3, 1e-2)
+FOLDS = 5
 STEPS = 300
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
@@ -66,8 +74,11 @@ class Model:
         return np.where(self.words[i] == h, i, -1)
 
 
-def fit(own: np.ndarray, word: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray, n_words: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the noisy-or likelihood: entry e is word[e] of sentence own[e], sentence s is in bag[s]."""
+def fit(own: np.ndarray, word: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray, n_words: int, penalty: float = 1e-5, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the noisy-or likelihood less ``penalty`` times half the weights' squares.
+
+    Entry e is word[e] of sentence own[e], sentence s is in bag[s].
+    """
     w, b = np.zeros(n_words), -4.0
     m1, m2 = np.zeros(n_words + 1), np.zeros(n_words + 1)
     total = weight.sum()
@@ -78,7 +89,7 @@ def fit(own: np.ndarray, word: np.ndarray, bag: np.ndarray, y: np.ndarray, weigh
         s = np.maximum(np.bincount(bag, soft, minlength=len(y)), 1e-9)
         pull = np.where(y > 0, -1 / np.expm1(np.minimum(s, 50)), 1.0) * weight / total
         dz = p * pull[bag]
-        g = np.append(np.bincount(word, dz[own], minlength=n_words) + 1e-5 * w, dz.sum())
+        g = np.append(np.bincount(word, dz[own], minlength=n_words) + penalty * w, dz.sum())
         m1 = 0.9 * m1 + 0.1 * g
         m2 = 0.999 * m2 + 0.001 * g * g
         step = 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-10)
@@ -87,6 +98,33 @@ def fit(own: np.ndarray, word: np.ndarray, bag: np.ndarray, y: np.ndarray, weigh
     return w, float(b)
 
 
+def loss(w: np.ndarray, b: float, own: np.ndarray, word: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The weighted mean of the noisy-or's logarithmic loss."""
+    soft = np.logaddexp(0, b + np.bincount(own, w[word], minlength=len(bag)))
+    s = np.maximum(np.bincount(bag, soft, minlength=len(y)), 1e-9)
+    return float((np.where(y > 0, -np.log(-np.expm1(-s)), s) * weight).sum() / weight.sum())
+
+
+def _part(rows: np.ndarray, own: np.ndarray, word: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The entries, bags and labels of some rows (a mask), numbered anew."""
+    of = np.cumsum(rows) - 1
+    held = rows[bag]
+    number = np.cumsum(held) - 1
+    keep = held[own]
+    return number[own[keep]], word[keep], of[bag[held]], y[rows], weight[rows]
+
+
+def tuned(own: np.ndarray, word: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray, n_words: int, fold: np.ndarray) -> tuple[np.ndarray, float]:
+    """``fit`` with the penalty that predicts fold 0 best from the others (of equals the largest)."""
+    test = fold == 0
+    best = PENALTIES[-1]
+    if all((y[test] == c).any() and (y[~test] == c).any() for c in (0, 1)):
+        rest, held = (_part(m, own, word, bag, y, weight) for m in (~test, test))
+        found = {p: loss(*fit(*rest, n_words, p), *held) for p in PENALTIES}
+        best = min(reversed(PENALTIES), key=lambda p: found[p])
+    return fit(own, word, bag, y, weight, n_words, best)
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_words: int = WORDS) -> Model:
     """Fit on labelled rows that are not held out; a doc_id with several labels counts as toxic if any says so."""
     lab = only(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out(5, 0))
@@ -97,7 +135,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_words: int
     part = F.when(F.col("y") == 1, min(1.0, sample / many[1])).otherwise(min(1.0, sample / many[0]))
     chosen = lab.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < part * (1 << 30))
     bags = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about 2 * sample rows of two numbers
-    bags = bags.select("doc_id", "text", "y").persist()
+    size = F.octet_length("text")
+    bags = bags.select("doc_id", "text", "y", F.xxhash64("doc_id", "text", F.lit("fold")).alias("key")).where(size <= LONGEST)
+    held = bags.agg(F.sum(size)).first()[0] or 0
+    bags = bags.where(F.pmod("key", F.lit(1 << 30)) < min(1.0, SAMPLE_BYTES / max(held, 1)) * (1 << 30)).persist()
     seen = {r.y: r.n for r in bags.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not seen.get(0) or not seen.get(1):
         return Model(np.zeros(0, U), np.zeros(0), 20.0 if seen.get(1) else -20.0)
@@ -119,13 +160,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_words: int
     n1, n0 = F.lit(float(seen[1])), F.lit(float(seen[0]))
     p = (F.col("n1") + F.col("n0") + 1) / (n1 + n0 + 2)
     z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    top = c.where("n1 + n0 >= 3").select("h", z.alias("z")).orderBy(F.desc("z"), "h").limit(n_words).collect()
+    top = c.where(F.col("n1") + F.col("n0") >= LEAST_DOCS).select("h", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "h").limit(n_words).collect()
     words = np.sort(np.array([r.h for r in top], np.int64).view(U))
     model = Model(words, np.zeros(len(words)), 0.0)
 
     def entries(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Of each text: label, number of sentences, and (sentence, word) of the chosen words."""
-        y = np.asarray(batch.column(batch.schema.get_field_index("y")))
+        y, key = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("y", "key"))
         for i, n, h, own, row, _ in sentences(texts(batch)):
             size = np.bincount(row, minlength=n)
             w = model.place(h)
@@ -134,6 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_words: int
             edge = np.searchsorted(row[own[keep]], np.arange(n + 1)).astype(np.int32)
             yield pa.record_batch(
                 {
+                    "key": key[i : i + n],
                     "y": y[i : i + n].astype(np.int64),
                     "n": size.astype(np.int64),
                     "s": pa.ListArray.from_arrays(edge, local.astype(np.int32)),
@@ -141,15 +183,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_words: int
                 }
             )
 
-    rows = map_arrow(bags, "y long, n long, s array<int>, w array<int>", entries).toArrow()
+    rows = map_arrow(bags, "key long, y long, n long, s array<int>, w array<int>", entries).toArrow().sort_by("key")
     bags.unpersist()
+    fold = np.asarray(rows["key"].combine_chunks()) // FOLDS % FOLDS
     y, n = np.asarray(rows["y"].combine_chunks()), np.asarray(rows["n"].combine_chunks())
     bag = np.repeat(np.arange(len(y)), n)
     lists = rows["s"].combine_chunks()
     size = np.asarray(pc.list_value_length(lists))
     own = np.asarray(lists.flatten()).astype(np.int64) + np.repeat(np.cumsum(n) - n, size)
     word = np.asarray(rows["w"].combine_chunks().flatten()).astype(np.int64)
-    w, b = fit(own, word, bag, y, np.where(y > 0, many[1] / seen[1], many[0] / seen[0]), len(words))
+    w, b = tuned(own, word, bag, y, np.where(y > 0, many[1] / seen[1], many[0] / seen[0]), len(words), fold)
     return Model(words, w, b)
 
 

@@ -1,8 +1,11 @@
 import binascii
+import math
+import re
 
 import numpy as np
 import pyarrow as pa
 
+from tallyforge.llm._bytes import BASE, U, mix
 from tallyforge.llm import toxicity as T
 
 DATA = "/root/testdata/sf0.1"
@@ -30,18 +33,58 @@ def test_gradient_of_the_noisy_or():
     assert ((p >= 0.5) == (y > 0)).all()
 
 
+def slow_score(model, text):
+    """The noisy-or of a text, word by word in plain Python."""
+    weight = dict(zip(model.words.tolist(), model.weights.tolist()))
+    left = 1.0
+    for sentence in re.findall(rb"[^.!?\n]*[.!?\n]|[^.!?\n]+", text.lower().encode()):
+        found = re.findall(rb"[A-Za-z0-9_\x80-\xff]+", sentence)
+        if not found:
+            continue
+        z = model.bias
+        for w in found:
+            h = (sum((b + 1) * pow(BASE, i, 2**64) for i, b in enumerate(w)) + len(w)) % 2**64
+            z += weight.get(int(mix(np.array([h], U))[0]), 0.0)
+        left *= 1 / (1 + math.exp(z))
+    return 1 - left
+
+
+INSULT = " You are a worthless idiot, they said to the moron."
+
+
 def test_held_out(spark):
-    rows = T.op7_toxicity(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = T.learn(docs, labels)
+    rows = T.op7_toxicity(spark, DATA).join(labels.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
     for r in rows:
         assert r.held_out == (binascii.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
         assert (r.n_offending > 0) == (r.predicted == 1)
-    held = [r for r in rows if r.held_out]
-    bad, good = [r for r in held if r.toxic], [r for r in held if not r.toxic]
-    assert sum(r.predicted for r in bad) / len(bad) > 0.65 and sum(r.predicted for r in good) / len(good) < 0.02
-    order = np.argsort(np.argsort([r.score for r in held]))
-    rank = order[[bool(r.toxic) for r in held]]
-    auc = (rank.sum() - len(bad) * (len(bad) - 1) / 2) / (len(bad) * len(good))
-    assert auc > 0.85
+    for r in rows[::40]:
+        assert abs(r.score - slow_score(model, r.text)) < 1e-6
+    part = lambda held, toxic: [r for r in rows if r.held_out == held and bool(r.toxic) == toxic]
+    share = lambda x: sum(r.predicted for r in x) / len(x)
+    found = {h: (share(part(h, True)), share(part(h, False))) for h in (False, True)}
+    planted = spark.createDataFrame([(r.doc_id, r.text[: len(r.text) // 2] + "." + INSULT + r.text[len(r.text) // 2 :]) for r in part(True, False)], "doc_id long, text string")
+    caught = T.score(planted, model).agg({"predicted": "avg"}).first()[0]
+    print("recall and false positives, learned and held out:", found, "planted:", caught)
+    assert abs(found[True][0] - found[False][0]) <= 0.1 and found[True][0] >= 0.8
+    assert found[True][1] <= 0.01 and caught >= 0.95
+
+
+def test_penalty_is_chosen_on_a_fold():
+    """Labels that no word explains are not learned by heart."""
+    rng = np.random.default_rng(4)
+    n, words = 600, 300
+    y = (np.arange(n) % 3 == 0).astype(int)
+    own, word = np.repeat(np.arange(n), 3), rng.integers(1, words, 3 * n)
+    word[0 :: 9][: n // 5] = 0
+    fold = np.arange(n) // 7 % 5
+    parts = own, word, np.arange(n), y, np.ones(n)
+    w, b = T.tuned(*parts, words, fold)
+    by_heart, b0 = T.fit(*parts, words)
+    assert np.abs(w[1:]).mean() < 0.5 * np.abs(by_heart[1:]).mean()
+    rows, held = T._part(fold != 0, *parts), T._part(fold == 0, *parts)
+    assert len(rows[3]) + len(held[3]) == n and len(rows[0]) + len(held[0]) == len(own)
 
 
 def test_edges(spark):
