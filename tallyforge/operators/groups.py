@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,81 +49,85 @@ def positional(rewards: DataFrame, size: int) -> DataFrame:
     return rewards.withColumn("uid", F.floor(F.col("idx") / size))
 
 
+def short_number(value: Column) -> Column:
+    """A number with 12 significant digits and no more zeros than it needs; exponents from 1e-5 down and 1e12 up."""
+    text = F.format_string("%.11e", value)
+    power = F.regexp_extract(text, "e([+-][0-9]+)$", 1).cast("int")
+    digits = F.regexp_extract(text, "^-?([0-9.]+)e", 1)
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    trimmed = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    plain = F.concat(F.replace(digits, F.lit(".")), F.repeat(F.lit("0"), F.greatest(power - 11, F.lit(0))))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), plain)
+    large = F.concat(F.substr(plain, F.lit(1), power + 1), F.lit("."), F.substr(plain, power + 2))
+    tail = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    number = F.when((power < -4) | (power >= 12), F.concat(trimmed(digits), tail)).when(power < 0, trimmed(small)).otherwise(trimmed(large))
+    return F.when(value == 0, "0").otherwise(F.concat(sign, number))
+
+
 def reward_buckets(groups: DataFrame) -> DataFrame:
     """(reward, groups) of uniform groups, the reward as plain text."""
-    text = F.regexp_replace(F.regexp_replace(F.format_string("%.12f", "low"), r"0+$", ""), r"\.$", "")
-    return groups.where("uniform").groupBy(text.alias("reward")).agg(F.count("*").alias("groups"))
-
-
-class Exhausted(RuntimeError):
-    """The batches are used up before the quota is met."""
-
-    def __init__(self, summary: dict) -> None:
-        super().__init__("too few diverse groups in the batches allowed")
-        self.summary = summary
-
-
-@dataclass
-class FilterState:
-    """Gathers diverse groups over batches until one update has its quota. A batch is a list of (uid, rewards, indexes)."""
-
-    target: int
-    size: int
-    max_batches: int
-    batches: int = 0
-    generated: int = 0
-    diverse: int = 0
-    kept: int = 0
-    uniform: int = 0
-    surplus: int = 0
-    buckets: dict[str, int] = field(default_factory=dict)
-    seen: set[str] = field(default_factory=set)
-
-    @property
-    def ready(self) -> bool:
-        """Whether the quota is met."""
-        return self.kept == self.target
-
-    def register(self, batch: list[tuple[str, list[float], list[int]]]) -> tuple[list[int], list[str], list[str]]:
-        """Rows selected of a batch, groups selected, groups left over."""
-        if self.ready:
-            raise RuntimeError("this update is complete")
-        if again := self.seen & {uid for uid, _, _ in batch}:
-            raise ValueError(f"groups come again: {sorted(again)}")
-        for uid, rewards, _ in batch:
-            if len(rewards) != self.size or any(r is None or r != r or abs(r) == float("inf") for r in rewards):
-                raise ValueError(f"group {uid} needs {self.size} finite rewards")
-        self.seen |= {uid for uid, _, _ in batch}
-        self.batches += 1
-        self.generated += len(batch)
-        mixed = [g for g in batch if len(set(g[1])) > 1]
-        for _, rewards, _ in (g for g in batch if len(set(g[1])) == 1):
-            self.uniform += 1
-            key = format(rewards[0], ".12g")
-            self.buckets[key] = self.buckets.get(key, 0) + 1
-        take, rest = mixed[: self.target - self.kept], mixed[self.target - self.kept :]
-        self.diverse += len(mixed)
-        self.kept += len(take)
-        self.surplus += len(rest)
-        if not self.ready and self.batches >= self.max_batches:
-            raise Exhausted(self.summary("max_batches_exceeded"))
-        return sorted(i for g in take for i in g[2]), [g[0] for g in take], [g[0] for g in rest]
-
-    def summary(self, status: str) -> dict:
-        """Counters; nothing is retained unless the update is complete."""
-        groups = self.target if self.ready else 0
-        return {
-            "status": status,
-            "generation_batches": self.batches,
-            "generated_groups": self.generated,
-            "generated_rollouts": self.generated * self.size,
-            "diverse_groups_seen": self.diverse,
-            "buffered_diverse_groups": self.kept,
-            "retained_groups": groups,
-            "retained_rollouts": groups * self.size,
-            "discarded_uniform_groups": self.uniform,
-            "discarded_surplus_diverse_groups": self.surplus,
-            "uniform_reward_counts": dict(sorted(self.buckets.items())),
-            "effective_group_rate": groups / self.generated if self.generated else 0.0,
-            "extra_rollouts": max(0, (self.generated - groups) * self.size),
-        }
+    return groups.where("uniform").groupBy(short_number(F.col("low")).alias("reward")).agg(F.count("*").alias("groups"))
+
+
+def repeated_groups(rollouts: DataFrame) -> DataFrame:
+    """uid of groups that come in more than one batch (batch, uid)."""
+    return rollouts.groupBy("uid").agg(F.min("batch").alias("a"), F.max("batch").alias("b")).where("a <> b").select("uid")
+
+
+def batch_counts(groups: DataFrame) -> DataFrame:
+    """(batch, groups, mixed, flat) of judged groups (batch, uid, uniform): diverse and uniform ones."""
+    return groups.groupBy("batch").agg(F.count("*").alias("groups"), F.count_if(~F.col("uniform")).alias("mixed"), F.count_if("uniform").alias("flat"))
+
+
+def assigned(counts: list[tuple[int, int]], target: int, most: int) -> list[tuple[int, int]]:
+    """(batch, update) of batches (batch, diverse groups): an update takes batches until it has ``target`` diverse groups; after ``most`` batches in vain all ends."""
+    out, update, have, used = [], 1, 0, 0
+    for batch, mixed in sorted(counts):
+        if have >= target:
+            update, have, used = update + 1, 0, 0
+        elif used == most:
+            break
+        out.append((batch, update))
+        have, used = have + mixed, used + 1
+    return out
+
+
+#: The names of an update's counters.
+COUNTERS = (
+    "status generation_batches generated_groups generated_rollouts diverse_groups_seen buffered_diverse_groups retained_groups retained_rollouts "
+    "discarded_uniform_groups discarded_surplus_diverse_groups effective_group_rate extra_rollouts"
+).split()
+
+
+def updates(groups: DataFrame, target: int, size: int, most: int) -> DataFrame:
+    """One row an update, of judged groups (batch, uid, uniform): its counters (``COUNTERS``), and sums over all updates so far.
+
+    Batches are few and walked through on the driver; everything about groups is one aggregation. An update keeps ``target`` groups of ``size``
+    rollouts, or none if the batches allowed (``most``) or the data end before.
+    """
+    spark = groups.sparkSession
+    per = batch_counts(groups)
+    walk = assigned([(r.batch, r.mixed) for r in per.select("batch", "mixed").collect()], target, most)
+    own = per.join(F.broadcast(spark.createDataFrame(walk, "batch long, update long")), "batch").groupBy("update")
+    u = own.agg(F.count("*").alias("generation_batches"), *[F.sum(c).alias(c) for c in ("groups", "mixed", "flat")])
+    whole = F.col("mixed") >= target
+    kept = F.when(whole, F.lit(target)).otherwise(0).cast("long")
+    held = F.least(F.col("mixed"), F.lit(target).cast("long"))
+    u = u.select(
+        "update",
+        F.when(whole, "updated").when(F.col("generation_batches") >= most, "max_batches_exceeded").otherwise("data_exhausted").alias("status"),
+        "generation_batches",
+        F.col("groups").alias("generated_groups"),
+        (F.col("groups") * size).alias("generated_rollouts"),
+        F.col("mixed").alias("diverse_groups_seen"),
+        held.alias("buffered_diverse_groups"),
+        kept.alias("retained_groups"),
+        (kept * size).alias("retained_rollouts"),
+        F.col("flat").alias("discarded_uniform_groups"),
+        (F.col("mixed") - held).alias("discarded_surplus_diverse_groups"),
+        (kept / F.col("groups")).alias("effective_group_rate"),
+        F.greatest((F.col("groups") - kept) * size, F.lit(0)).alias("extra_rollouts"),
+    )
+    so_far = Window.orderBy("update").rowsBetween(Window.unboundedPreceding, 0)  # updates are no more than batches
+    total = [F.sum(c).over(so_far).alias(f"total_{c}") for c in ("generation_batches", "generated_groups", "retained_groups", "discarded_uniform_groups")]
+    return u.select("*", *total)

@@ -126,22 +126,37 @@ def quota_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("split").agg(F.count("*").alias("dbs"), F.sum("target").alias("total"), F.bool_and("fits").alias("within_capacity"), F.bool_and(F.col("target") >= 1).alias("covers_all"))
 
 
-@query("f13_f14_schedule", f"WITH {_CELL} SELECT 80::BIGINT AS handed_out, 80::BIGINT AS different, true AS complete")
+_STATE = f"""{_CELL}, x AS (SELECT split, db_id, complexity, least(count(*), 2 + count(*) % 5)::BIGINT AS target, count(*) FILTER (task_id % 7 = 0) AS tried,
+    count(*) FILTER (task_id % 14 = 0) AS accepted, count(*) FILTER (task_id % 7 <> 0) AS waiting FROM c GROUP BY split, db_id, complexity),
+i AS (SELECT x.*, nth, (tried + nth) / target AS own, (accepted + nth - 1) / target AS held, sha256('42:' || split || ':' || db_id || ':' || complexity) AS tie
+    FROM x, unnest(range(1, least(target - accepted, waiting) + 1)) AS u(nth)),
+k AS (SELECT i.*, ((SELECT sum(tried) FROM x WHERE x.split = i.split AND x.complexity = i.complexity) + row_number() OVER (PARTITION BY split, complexity ORDER BY own, held, tie))
+    / (SELECT sum(target) FROM x WHERE x.split = i.split AND x.complexity = i.complexity) AS of_class FROM i),
+s AS (SELECT k.*, ((SELECT sum(tried) FROM x WHERE x.split = k.split) + row_number() OVER (PARTITION BY split ORDER BY of_class, own, held, tie))
+    / (SELECT sum(target) FROM x WHERE x.split = k.split) AS of_split FROM k),
+o AS (SELECT *, row_number() OVER (ORDER BY of_split, of_class, own, held, tie) AS place FROM s),
+w AS (SELECT *, row_number() OVER (PARTITION BY split, db_id, complexity ORDER BY sha256('42:' || task_id)) AS nth FROM c WHERE task_id % 7 <> 0)"""
+
+
+@query("f13_schedule", f"WITH {_STATE} SELECT task_id, split, db_id, complexity, place FROM o JOIN w USING (split, db_id, complexity, nth)")
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks handed out until all targets are met."""
+    """The tasks to try next and their order, where a seventh of the tasks has been tried and half of those were accepted."""
     t = _cells(spark, sf_dir)
-    plan = sampling.plan(t, {"train": 60, "validation": 20})
-    ranked = sampling.ordered_cells(t).where("rank <= 60")  # a cell's target is no more than its split's
-    queues: dict = {}
-    for r in ranked.orderBy("split", "db_id", "complexity", "rank").collect():
-        queues.setdefault((r.split, r.db_id, r.complexity), []).append(str(r.task_id))
-    s = sampling.Scheduler(plan, queues)
-    out: list[str] = []
-    while not s.complete:
-        for task in s.take(8):
-            s.register(task, True)
-            out.append(task)
-    return spark.createDataFrame([(len(out), len(set(out)), s.complete)], "handed_out long, different long, complete boolean")
+    n = F.count("*")
+    targets = t.groupBy(*sampling.CELL).agg(F.least(n, 2 + n % 5).alias("target"))
+    log = t.where("task_id % 7 = 0").select("task_id", (F.col("task_id") % 14 == 0).alias("accepted"))
+    return sampling.handed_out(t, targets, log)
+
+
+@query(
+    "f14_reallocation",
+    "SELECT * FROM (VALUES ('a', 'simple', 4::BIGINT), ('b', 'simple', 6::BIGINT), ('c', 'simple', 5::BIGINT), ('a', 'moderate', 5::BIGINT), ('b', 'moderate', 5::BIGINT), ('c', 'moderate', 5::BIGINT)) AS v(db_id, complexity, target)",
+)
+def reallocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """database a can reach 2 of its 5 simple tasks; a fifth of its 10 may go: one unit to b, which alone has more, and b may take one; the SQL is the result by hand."""
+    targets = {("t", d, k): 5 for d in "abc" for k in ("simple", "moderate")}
+    out, _ = sampling.reallocated(targets, {c: 2 if c[1:] == ("a", "simple") else 6 if c[1:] == ("b", "simple") else 5 for c in targets})
+    return spark.createDataFrame([(d, k, n) for (_, d, k), n in out.items()], "db_id string, complexity string, target long")
 
 
 @query("e22_plan_hash_order")
