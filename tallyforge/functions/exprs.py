@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: 97.5 % point of the normal distribution; bytes of size classes; rewards; ratio steps.
 Z = 1.959963984540054
@@ -55,9 +58,20 @@ def fingerprint(*columns: str) -> Column:
     return F.sha2(stable_json(*columns), 256)
 
 
+@F.pandas_udf(T.StringType())
+def compatible(text: pd.Series) -> pd.Series:
+    """NFKC form with full case folding; null stays null."""
+    return text.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+
+
 def normalized(text: Column) -> Column:
-    """Question text for comparison: lower case, punctuation to spaces, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    """Question text for comparison: compatibility form, case folded, punctuation to spaces, single spaces.
+
+    ASCII texts need no more than lower case, so only the others go to Python.
+    """
+    wide = text.rlike(r"[^\x00-\x7F]")
+    folded = F.when(wide, compatible(F.when(wide, text))).otherwise(F.lower(text))
+    return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
 def features(text: Column, size: int = 3) -> Column:

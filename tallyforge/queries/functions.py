@@ -17,7 +17,7 @@ def seeded_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.seeded(F.col("doc_id")).alias("h"))
 
 
-@query("fn_normalized_text", r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents")
+@query("fn_normalized_text", r"SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents")
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions in the form in which they are compared."""
     return table(spark, sf_dir, "documents").select("doc_id", X.normalized(F.col("text")).alias("t"))
@@ -25,12 +25,12 @@ def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fn_word_shingles",
-    r"""WITH w AS (SELECT item_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM benchmark)
-SELECT item_id, array_to_string(CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END, '|') AS shingles FROM w""",
+    r"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, array_to_string(CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END, '|') AS shingles FROM w""",
 )
 def word_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word 3-grams."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(X.features(X.normalized(F.col("text"))), "|").alias("shingles"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.features(X.normalized(F.col("text"))), "|").alias("shingles"))
 
 
 @query("fn_buckets", "SELECT event_id, CASE WHEN value * 3000000 < 10485760 THEN 'small_lt_10_mib' WHEN value * 3000000 < 104857600 THEN 'medium_lt_100_mib' ELSE 'large_ge_100_mib' END AS size_class, CASE WHEN event_id % 6 <= 1 THEN 'simple' WHEN event_id % 6 <= 3 THEN 'moderate' ELSE 'challenging' END AS class, CASE WHEN value / 40 <= 0 THEN 0 WHEN value / 40 >= 2 THEN 1.25 WHEN value / 40 >= 1 THEN 1 WHEN value / 40 >= 0.5 THEN 0.75 WHEN value / 40 >= 0.25 THEN 0.5 ELSE 0.25 END::DOUBLE AS reward FROM events")

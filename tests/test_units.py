@@ -1,8 +1,12 @@
 """Single operators on small fixtures."""
 
+import hashlib
 import math
 import os
+import re
 import sys
+import unicodedata
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +150,53 @@ def test_handing_out_goes_on_from_the_log(spark):
     assert len(again) == 1 and again[0].task_id not in got
 
 
+def slow_simhash(text):
+    w = text.split()
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else w
+    out = 0
+    for bit in range(64):
+        votes = [int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") >> bit & 1 for g in grams]
+        out |= (2 * sum(votes) >= len(votes)) << bit
+    return out
+
+
+def slow_norm(text):
+    return " ".join(re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKC", text).casefold()).split())
+
+
+QUESTIONS = [
+    "Wie heißt die Straße am Fluß?", "WIE HEISST DIE STRASSE AM FLUSS", "Ｗｉｅ heißt die Straße am Fluß", "How many ships are in the harbour of Bergen today?", "How many ships are in the harbours of Bergen today?",
+    "how many ships are in the harbour of bergen today", "cafe\u0301 au lait", "café au lait!", "x", "", "?!", "ﬁne weather in the north sea is rare in the month of may", "fine weather in the north sea is rare in the month of may.",
+    "fine weather in the north sea is rare in the month of june", "a b", "b a",
+]
+
+
+def test_leaks_between_splits(spark):
+    long = " ".join(f"w{i}" for i in range(45))
+    rows = [(i, q) for i, q in enumerate(QUESTIONS)] + [(50, QUESTIONS[3]), (51, QUESTIONS[4]), (60, long), (61, long + "s"), (62, long), (63, "x" + long), (64, long + " tail of another length that is far too long to be near")]
+    df = spark.createDataFrame(rows, "task_id long, question string")
+    norm = {k: slow_norm(q) for k, q in rows}
+    assert {r.task_id: r.t for r in df.select("task_id", X.normalized(F.col("question")).alias("t")).collect()} == norm
+    bands = {}
+    for r in split.simhash_bands(df).collect():
+        bands.setdefault(r.task_id, {})[r.band] = r.value
+    assert bands == {k: {b: slow_simhash(q) >> 16 * b & 0xFFFF for b in range(4)} for k, q in norm.items()}
+    train, dev = df.where("task_id % 2 = 0"), df.where("task_id % 2 = 1")
+    a, b = ({k: q for k, q in norm.items() if k % 2 == x} for x in (0, 1))
+    shared = {q for q in a.values() if q and q in b.values()}
+    least = {q: min(k for k in a if a[k] == q) for q in shared}
+    got = {(r.side, r.task_id, r.class_id) for r in split.exact_overlap(train, dev).collect()}
+    assert got == {(s, k, least[q]) for s, d in (("train", a), ("dev", b)) for k, q in d.items() if q in shared} and got
+    want = []
+    for i, x in a.items():
+        for j, y in b.items():
+            ratio = SequenceMatcher(None, x, y).ratio()
+            if x != y and ratio >= 0.95 and any(slow_simhash(x) >> 16 * k & 0xFFFF == slow_simhash(y) >> 16 * k & 0xFFFF for k in range(4)):
+                want.append((i, j, round(ratio, 6)))
+    found = [tuple(r) for r in split.near_pairs(train, dev).collect()]
+    assert found == sorted(want, key=lambda r: (-r[2], r[0], r[1])) and found
+
+
 def test_plan_does_not_depend_on_order(spark):
     rows = [(f"{s}{d}{i}", s, d, "simple" if i < 2 else "moderate" if i < 4 else "challenging") for s in ("train", "validation") for d in "ab" for i in range(5)]
     df = spark.createDataFrame(rows, "task_id string, split string, db_id string, complexity string")
