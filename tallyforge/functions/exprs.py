@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,6 +138,25 @@ def set_digest(rows: Column) -> Column:
     return F.sha2(F.unhex(F.array_join(F.transform(F.array_sort(F.array_distinct(rows)), framed), "")), 256)
 
 
+def content_hash(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, content_hash) of rows with a digest f, in whatever order: SHA-256 by the digests' first four letters, then over those parts."""
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
+    parts = df.groupBy(*keys, F.substring("f", 1, 4).alias("p")).agg(joined("f").alias("h"))
+    return parts.groupBy(*keys).agg(joined(F.concat("p", "h")).alias("content_hash"))
+
+
+def ranked(df: DataFrame, column: str, keys: list[str], times: Column | None = None, **shares: float) -> DataFrame:
+    """Nearest-rank percentiles of a column by ``keys`` (null counts as a key), each named as its share is; ranks are rounded half to even.
+
+    Values are counted first (a row counts ``times``), so a group is as large as its distinct values.
+    """
+    w = Window.partitionBy(*keys)
+    c = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("value")).agg((F.count("*") if times is None else F.sum(times)).alias("many"))
+    c = c.withColumn("upto", F.sum("many").over(w.orderBy("value"))).withColumn("all", F.sum("many").over(w))
+    at = lambda p: F.min(F.when(F.col("upto") > F.bround((F.col("all") - 1) * F.lit(float(p)), 0), F.col("value")))
+    return c.groupBy(*keys).agg(*[at(p).alias(name) for name, p in shares.items()])
+
+
 def pad(values: Column, width: Column, fill: int) -> Column:
     """An array filled up on the right."""
     return F.concat(values, F.array_repeat(F.lit(fill), F.greatest(width - F.size(values), F.lit(0))))

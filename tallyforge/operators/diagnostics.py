@@ -47,8 +47,6 @@ def metrics() -> list:
         F.sum("unverified").alias("unverified_submissions"),
         F.round(F.count_if(F.col("terminal_reason").isin("loop", "max_actions")) / n, 6).alias("loop_or_max_actions_rate"),
         F.round(F.avg("actions"), 6).alias("actions_mean"),
-        X.nearest_rank(F.collect_list("actions"), 0.5).alias("actions_p50"),
-        X.nearest_rank(F.collect_list("actions"), 0.95).alias("actions_p95"),
     ]
 
 
@@ -57,18 +55,25 @@ def by_groups(attempts: DataFrame) -> DataFrame:
     a = attempts.withColumn("size_class", X.size_class(F.col("database_size_bytes")))
     sets = [("split", "db_id"), ("split", "complexity"), ("split", "db_id", "complexity"), ("size_class",)]
     keys = ("split", "db_id", "complexity", "size_class")
-    g = a.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in keys])
-    out = g.agg(F.grouping_id().alias("gid"), *metrics())
     label = F.when(F.col("size_class").isNotNull(), "database_size").when(F.col("db_id").isNotNull() & F.col("complexity").isNotNull(), "sampling_cell")
     label = label.when(F.col("db_id").isNotNull(), "database").otherwise("complexity")
-    value = F.concat_ws(":", *keys)
-    return out.select(label.alias("grouping_name"), value.alias("group_value"), *[c for c in out.columns if c not in (*keys, "gid")])
+    names = [label.alias("grouping_name"), F.concat_ws(":", *keys).alias("group_value")]
+
+    def grouped(*more: str):
+        return a.groupingSets([[F.col(c) for c in (*s, *more)] for s in sets], *[F.col(c) for c in (*keys, *more)])
+
+    out = grouped().agg(*metrics())
+    out = out.select(*names, *[c for c in out.columns if c not in keys])
+    counts = grouped("actions").agg(F.count("*").alias("n")).select(*names, "actions", "n")
+    ranks = X.ranked(counts, "actions", ["grouping_name", "group_value"], F.col("n"), actions_p50=0.5, actions_p95=0.95)
+    return out.join(ranks, ["grouping_name", "group_value"])
 
 
 def usage(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """Mean, median and 95th percentile by nearest rank."""
-    v = F.collect_list(F.col(column).cast("double"))
-    return df.groupBy(*keys).agg(F.round(F.avg(column), 4).alias("mean"), X.nearest_rank(v, 0.5).alias("p50"), X.nearest_rank(v, 0.95).alias("p95"))
+    mean = df.groupBy(*keys).agg(F.round(F.avg(column), 4).alias("mean"))
+    out = mean.join(X.ranked(df, column, list(keys), p50=0.5, p95=0.95), list(keys), "left")
+    return out.select(*keys, "mean", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p50", "p95")])
 
 
 def totals(attempts: DataFrame, cell_rates: DataFrame | None = None) -> DataFrame:

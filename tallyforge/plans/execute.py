@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import threading
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,21 +55,37 @@ def classify_failure(message: str, timed_out: bool = False) -> str:
     return "engine_error"
 
 
+def canonical(df: DataFrame) -> DataFrame:
+    """Canonical rows."""
+    named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return named.select(X.canonical_row(named.dtypes, [F.col(c) for c in named.columns]).alias("row"))
+
+
 def capped(df: DataFrame, max_rows: int) -> DataFrame:
     """Canonical rows, one more than allowed."""
-    named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    row = X.canonical_row(named.dtypes, [F.col(c) for c in named.columns])
-    return named.limit(max_rows + 1).select(row.alias("row"))
+    return canonical(df.limit(max_rows + 1))
 
 
 def digest_of(rows: DataFrame) -> DataFrame:
-    """One row: digest, row_count, unique_row_count, result_bytes of canonical rows (a result under the byte cap)."""
-    return rows.agg(
-        X.set_digest(F.collect_set("row")).alias("digest"),
-        F.count("*").alias("row_count"),
-        F.count_distinct("row").alias("unique_row_count"),
-        F.coalesce(F.sum(F.octet_length("row")), F.lit(0)).cast("long").alias("result_bytes"),
-    )
+    """One row: digest, row_count, unique_row_count, result_bytes of canonical rows.
+
+    A digest is one stream over sorted rows, so one task reads them all; they are sorted before, on disk where needed, and only counters stay in memory.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, last, n, unique, size = hashlib.sha256(), None, 0, 0, 0
+        for batch in batches:
+            for r in batch.column(0).to_pylist():
+                b = r.encode()
+                n, size = n + 1, size + len(b)
+                if b != last:
+                    unique, last = unique + 1, b
+                    h.update(len(b).to_bytes(8, "big") + b)
+        yield pa.record_batch({"digest": [h.hexdigest()], "row_count": [n], "unique_row_count": [unique], "result_bytes": [size]})
+
+    one = rows.repartition(1).sortWithinPartitions("row").mapInArrow(hashed, "digest string, row_count long, unique_row_count long, result_bytes long")
+    count = lambda c: F.coalesce(F.max(c), F.lit(0).cast("long")).alias(c)
+    return one.agg(F.coalesce(F.max("digest"), F.lit(hashlib.sha256().hexdigest())).alias("digest"), count("row_count"), count("unique_row_count"), count("result_bytes"))
 
 
 def run_sql(spark: SparkSession, sql: str, timeout: float = TIMEOUT, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, preview: int = 0, keep_rows: bool = False) -> Execution:
@@ -127,8 +146,6 @@ def run_sql(spark: SparkSession, sql: str, timeout: float = TIMEOUT, max_rows: i
 
 def python_digest(rows: set[str]) -> str:
     """``exprs.set_digest`` of a set on the driver."""
-    import hashlib
-
     h = hashlib.sha256()
     for r in sorted(rows, key=str.encode):
         b = r.encode()

@@ -254,15 +254,15 @@ def episode_task_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("d17_hash_stability", "SELECT false AS unchanged")
 def hash_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes of databases before and after."""
-    h = adapters.tasks(spark, sf_dir).groupBy("db_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("question", 256))), ""), 256).alias("sha256"))
+    h = X.content_hash(adapters.tasks(spark, sf_dir).select("db_id", F.sha2("question", 256).alias("f")), "db_id").withColumnRenamed("content_hash", "sha256")
     return audit.unchanged(h, h.withColumn("sha256", F.when(F.col("db_id") == "src3", "x").otherwise(F.col("sha256"))))
 
 
-@query("e23_content_hash", "SELECT source, sha256(string_agg(f, ',' ORDER BY f)) AS content_hash FROM (SELECT source, sha256(to_json({'doc_id': doc_id, 'lang': lang})) AS f FROM documents) GROUP BY source")
+@query("e23_content_hash", """SELECT source, sha256(string_agg(p || h, ',' ORDER BY p || h)) AS content_hash FROM (SELECT source, f[1:4] AS p, sha256(string_agg(f, ',' ORDER BY f)) AS h
+FROM (SELECT source, sha256(to_json({'doc_id': doc_id, 'lang': lang})) AS f FROM documents) GROUP BY ALL) GROUP BY source""")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hash of rows whatever their order."""
-    d = table(spark, sf_dir, "documents").select("source", X.fingerprint("doc_id", "lang").alias("f"))
-    return d.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("f")), ","), 256).alias("content_hash"))
+    return X.content_hash(table(spark, sf_dir, "documents").select("source", X.fingerprint("doc_id", "lang").alias("f")), "source")
 
 
 @query("e24_preflight_counts", f"WITH {EV}, {EP} SELECT split, complexity, terminal_reason, count(*) AS n FROM ep GROUP BY GROUPING SETS ((split), (complexity), (terminal_reason))")

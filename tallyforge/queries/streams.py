@@ -33,7 +33,7 @@ def stream_group_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H6, H7: groups judged as soon as they are whole."""
     e = _events(spark, sf_dir)
     r = e.select(F.col("event_id").alias("idx"), F.floor(F.col("event_id") / 4).alias("uid"), adapters.case("event_type", adapters.REWARD).cast("double").alias("reward"))
-    got = ingest.result(spark, group_filter.complete_groups(r, 4))
+    got = ingest.result(spark, group_filter.gathered(r, 4), "update", group_filter.refused)
     bad = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 10 = 9").select(F.floor(F.col("event_id") / 4).alias("uid"))
     return got.join(bad, "uid", "left_anti").select("uid", "size", "first", "uniform")
 

@@ -55,10 +55,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{where}"
 
 
+def removed_later(spark: SparkSession, path: str) -> None:
+    """Let the file system that holds ``path`` remove it when the driver's JVM ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a written table, whose rows and partitions stay as they are."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    removed_later(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,46 +1,30 @@
-"""Groups gathered from a stream until they are whole, then judged: a stateful operator keyed by group."""
+"""Groups gathered from a stream until they are whole, then judged; running totals of accounts. Both are stateful aggregations, in update mode."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
-SCHEMA = "uid long, size long, first long, low double, high double, uniform boolean"
-STATE = "n long, first long, low double, high double"
 
+def gathered(stream: DataFrame, size: int) -> DataFrame:
+    """One row for each group (uid, idx, reward) once ``size`` rollouts have come, in whatever batches.
 
-def complete_groups(stream: DataFrame, size: int) -> DataFrame:
-    """One row for each group (uid, idx, reward) once all its rollouts have come, in whatever batches; rewards that are null make
-    a group neither uniform nor diverse and are left out by the caller."""
+    ``late`` says that more came than a group has: the group comes again, which the caller refuses. Rewards that are null make a group neither uniform nor
+    diverse and are left out by the caller. The state keeps whole groups too, so that a late rollout does not begin a new group.
+    """
+    low, high = F.min("reward"), F.max("reward")
+    g = stream.groupBy("uid").agg(F.count("*").alias("size"), F.min("idx").alias("first"), low.alias("low"), high.alias("high"), (low == high).alias("uniform"))
+    return g.where(F.col("size") >= size).withColumn("late", F.col("size") > size)
 
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, first, low, high = state.get if state.exists else (0, None, None, None)
-        for pdf in rows:
-            n += len(pdf)
-            first = int(pdf.idx.min()) if first is None else min(first, int(pdf.idx.min()))
-            if pdf.reward.notna().any():
-                a, b = float(pdf.reward.min()), float(pdf.reward.max())
-                low, high = (a, b) if low is None else (min(low, a), max(high, b))
-        if n < size:
-            state.update((n, first, low, high))
-            return
-        state.remove()
-        yield pd.DataFrame({"uid": [key[0]], "size": [n], "first": [first], "low": [low], "high": [high], "uniform": [low == high]})
 
-    return stream.groupBy("uid").applyInPandasWithState(step, SCHEMA, STATE, "append", GroupStateTimeout.NoTimeout)
+def refused(df: DataFrame, number: int) -> DataFrame:
+    """A batch's whole groups; an error if one of them has come before."""
+    again = [r.uid for r in df.where("late").select("uid").limit(5).collect()]
+    if again:
+        raise ValueError(f"groups come again in batch {number}: {again}")
+    return df.drop("late")
 
 
 def ledger(stream: DataFrame, key: str, amount: str) -> DataFrame:
     """Running totals of each account after each batch (key, n, total), as updates."""
-
-    def step(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0)
-        for pdf in rows:
-            n, total = n + len(pdf), total + int(pdf[amount].sum())
-        state.update((n, total))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "total": [total]})
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, n long, total long", "n long, total long", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).agg(F.count("*").alias("n"), F.sum(amount).alias("total"))

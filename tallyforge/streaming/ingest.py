@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import removed_later, shared_dir
 
 
 def source(spark: SparkSession, path: str, pattern: str = "*", max_files: int = 100) -> DataFrame:
@@ -39,6 +39,7 @@ def result(spark: SparkSession, stream: DataFrame, mode: str = "append", prepare
     """What a stream gives over what is there now, as a table in the shared folder."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     drain(stream, f"{base}/out", f"{base}/checkpoint", mode, prepare)
+    removed_later(spark, base)
     return spark.read.parquet(f"{base}/out")
 
 
