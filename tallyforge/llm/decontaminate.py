@@ -1,7 +1,7 @@
 r"""Benchmark decontamination by template windows (operator 6). DataFrame functions only.
 
 A text is read twice as a list of lower-case words with typed slots: as ``PLAIN``, numbers (digits and number words) and
-units after a number are slots, so that letter case does not matter; as ``NAMED``, each run of capitalised words is a slot
+units (the word after a number) are slots, so that letter case does not matter; as ``NAMED``, each run of capitalised words is a slot
 too. A window is ``WINDOW`` words; its template has each slot's type in place of its word. A window of under ``LITERAL``
 words besides its slots says too little: there the slots count as the words they are.
 
@@ -43,8 +43,7 @@ NUMBERS = {
     )
 }
 PLAIN, NAMED = 0, 1
-_NAME, _NUMBER, _UNIT, _AND = "\x01", "\x02", "\x03", "\x04"
-_CAPITAL = r"\p{Lu}\p{Ll}+"
+_NAME, _NUMBER, _UNIT, _AND, _END = "\x01", "\x02", "\x03", "\x04", "\x05"
 
 
 def gram(n: int) -> tuple[int, int]:
@@ -54,18 +53,20 @@ def gram(n: int) -> tuple[int, int]:
 
 
 def marked(text: Column, reading: int) -> Column:
-    """The words of a reading, joined by spaces; a slot is its type's mark and its value."""
-    t = F.translate(F.coalesce(text, F.lit("")), _NAME + _NUMBER + _UNIT + _AND, "    ")
+    """The words of a reading, joined by spaces; a slot is its type's mark and its value.
+
+    Each pattern begins with what is rare, so that most letters cost one look.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x05]", " ")
     t = F.regexp_replace(t, r"([0-9])[.,](?=[0-9])", "$1")
     t = F.regexp_replace(t, r"([0-9]+)", f" {_NUMBER}$1 ")
     if reading == NAMED:
-        t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])({_CAPITAL}) (?={_CAPITAL}(?![\p{{L}}\p{{N}}]))", f"$1{_AND}")
-        t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])({_CAPITAL}(?:{_AND}{_CAPITAL})*)(?![\p{{L}}\p{{N}}])", f"{_NAME}$1")
-    t = F.lower(t)
-    starts = "".join(sorted({w[0] for w in NUMBERS}))
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{_NAME}{_NUMBER}{_AND}])(?=[{starts}])({'|'.join(NUMBERS)})(?![\p{{L}}\p{{N}}{_AND}])", f"{_NUMBER}$1")
-    t = F.regexp_replace(t, rf"({_NUMBER}[\p{{L}}0-9]+) +({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}{_AND}])", f"$1 {_UNIT}$2")
-    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}\x01-\x04]+", " "))
+        t = F.regexp_replace(t, r"(?=\p{Lu})(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", f"{_NAME}$1{_END}")
+        t = F.replace(F.replace(t, F.lit(f"{_END} {_NAME}"), F.lit(_AND)), F.lit(_END), F.lit(""))
+    t = F.concat(F.lit(" "), F.regexp_replace(F.lower(t), r"[^a-z0-9\x01-\x04\p{L}\p{N}]+", " "), F.lit(" "))
+    t = F.regexp_replace(t, rf" ({'|'.join(NUMBERS)})(?= )", f" {_NUMBER}$1")
+    t = F.regexp_replace(t, rf"({_NUMBER}[\p{{L}}0-9]+) +({'|'.join(UNITS)})(?= )", f"$1 {_UNIT}$2")
+    return F.trim(t)
 
 
 def _open(words: Column) -> Column:
@@ -90,9 +91,9 @@ def _spots(size: Column, n: int, step: int = 1) -> Column:
 
 
 def _grams(words: Column, reading: int, n: int, step: int) -> Column:
-    """(size, hash, place) of the k-grams for windows of ``n`` words, at every ``step``-th word."""
+    """(reading, size, hash, place) of the k-grams for windows of ``n`` words, at every ``step``-th word."""
     k, _ = gram(n)
-    one = lambda p: F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(reading), F.lit(n), F.slice(words, p + 1, F.lit(k))).alias("g"), p.alias("p"))
+    one = lambda p: F.struct(F.lit(reading).alias("r"), F.lit(n).alias("n"), F.xxhash64(F.slice(words, p + 1, F.lit(k))).alias("g"), p.alias("p"))
     return F.transform(_spots(F.size(words), k, step), one)
 
 
@@ -115,38 +116,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     """
     d = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("th"), "text")
     items = only(benchmark, "item_id", "text").where("text is not null").distinct()
-    found = []
+    sides, sizes = [], {}
     for r in (PLAIN, NAMED):
         mine = items.select("item_id", marked(F.col("text"), r).alias("m")).where("m <> ''")
-        mine = mine.select("item_id", "m", F.size(F.split("m", " ")).alias("size"))
-        sizes = sorted(x.size for x in mine.where(F.col("size") >= least).select(F.least("size", F.lit(window)).alias("size")).distinct().collect())  # ``window`` numbers at most
-        if not sizes:
-            continue
-        of = {n: mine.where(F.col("size") >= n if n == window else F.col("size") == n) for n in sizes}
-        grams = _union([of[n].select(F.explode(_grams(_open(F.col("m")), r, n, 1)).alias("x")).select("x.n", "x.g") for n in sizes]).distinct()
-        wins = _union(
-            [
-                of[n].select("item_id", F.lit(n).alias("n"), F.split("m", " ").alias("w")).select("item_id", "n", F.explode(_spots(F.size("w"), n)).alias("iat"), "w")
-                .select("item_id", "n", "iat", F.slice("w", F.col("iat") + 1, F.lit(n)).alias("bw"))
-                for n in sizes
-            ]
-        ).withColumn("bt", template(F.col("bw")))
-        wins = wins.select(F.col("n").alias("bn"), "item_id", "iat", "bw", "bt", F.xxhash64("bt").alias("h"))
-        rows = d.select("doc_id", "th", marked(F.col("text"), r).alias("m")).withColumn("t", _open(F.col("m")))
-        rows = rows.select("doc_id", "th", "m", F.explode(F.concat(*[_grams(F.col("t"), r, n, gram(n)[1]) for n in sizes])).alias("x")).select("doc_id", "th", "m", "x.*")
-        step = F.create_map(*[F.lit(x) for n in sizes for x in (n, gram(n)[1])])
-        grams, few = _small(grams), grams.count() <= BROADCAST_ROWS
-        around = lambda q: q.withColumn("from", F.greatest(F.col("p") - step[F.col("n")] + 1, F.lit(0))).withColumn("w", F.slice(F.split("m", " "), F.col("from") + 1, F.col("p") - F.col("from") + F.col("n"))).drop("m")
+        mine = mine.select("item_id", "m", F.size(F.split("m", " ")).alias("size")).where(F.col("size") >= least)
+        sizes[r] = sorted(x.size for x in mine.select(F.least("size", F.lit(window)).alias("size")).distinct().collect())  # ``window`` numbers at most
+        for n in sizes[r]:
+            of = mine.where(F.col("size") >= n if n == window else F.col("size") == n).select("item_id", "m", F.split("m", " ").alias("w"))
+            grams = of.select(F.explode(_grams(_open(F.col("m")), r, n, 1)).alias("x")).select("x.r", "x.n", "x.g")
+            wins = of.select("item_id", F.explode(_spots(F.size("w"), n)).alias("iat"), "w")
+            sides.append((grams, wins.select(F.lit(r).alias("br"), F.lit(n).alias("bn"), "item_id", "iat", F.slice("w", F.col("iat") + 1, F.lit(n)).alias("bw"))))
+    found = None
+    if sides:
+        grams = _union([x for x, _ in sides]).distinct()
+        wins = _union([x for _, x in sides]).withColumn("bt", template(F.col("bw"))).withColumn("h", F.xxhash64("br", "bt"))
+        read = [r for r in sizes if sizes[r]]
+        rows = d.select("doc_id", "th", *[marked(F.col("text"), r).alias(f"m{r}") for r in read]).select("*", *[_open(F.col(f"m{r}")).alias(f"t{r}") for r in read])
+        every = F.concat(*[_grams(F.col(f"t{r}"), r, n, gram(n)[1]) for r in read for n in sizes[r]])
+        rows = rows.select("doc_id", "th", *[f"m{r}" for r in read], F.explode(every).alias("x")).select("*", "x.*").drop("x")
+        step = F.create_map(*[F.lit(x) for n in sorted({n for r in read for n in sizes[r]}) for x in (n, gram(n)[1])])
+
+        def around(q: DataFrame) -> DataFrame:
+            """The words of all windows that a k-gram may lie in first."""
+            m = F.coalesce(*[F.when(F.col("r") == r, F.col(f"m{r}")) for r in read])
+            q = q.withColumn("from", F.greatest(F.col("p") - step[F.col("n")] + 1, F.lit(0)))
+            return q.withColumn("w", F.slice(F.split(m, " "), F.col("from") + 1, F.col("p") - F.col("from") + F.col("n"))).drop(*[f"m{r}" for r in read])
+
         # with a broadcast the words are cut out for hits alone, else before they travel
-        hits = around(rows.join(grams, ["n", "g"])) if few else around(rows).join(grams, ["n", "g"])
-        hits = hits.select("doc_id", "th", "n", "p", "from", "w", F.explode(F.sequence(F.lit(0), F.col("p") - F.col("from"))).alias("o"))
-        hits = hits.where(F.size("w") >= F.col("o") + F.col("n")).select("doc_id", "th", "n", (F.col("from") + F.col("o")).alias("at"), F.slice("w", F.col("o") + 1, F.col("n")).alias("w"))
-        hits = hits.withColumn("t", template(F.col("w"))).withColumn("h", F.xxhash64("t"))
-        hits = hits.join(_small(wins), "h").where((F.col("n") == F.col("bn")) & (F.col("t") == F.col("bt")))
-        found.append(hits.select("doc_id", "th", F.lit(r).alias("r"), "n", "at", "item_id", "iat", _filled(F.col("bw"), F.col("w")).alias("slots")))
+        hits = around(rows.join(F.broadcast(grams), ["r", "n", "g"])) if grams.count() <= BROADCAST_ROWS else around(rows).join(grams, ["r", "n", "g"])
+        hits = hits.select("doc_id", "th", "r", "n", "from", "w", F.explode(F.sequence(F.lit(0), F.col("p") - F.col("from"))).alias("o"))
+        hits = hits.where(F.size("w") >= F.col("o") + F.col("n")).select("doc_id", "th", "r", "n", (F.col("from") + F.col("o")).alias("at"), F.slice("w", F.col("o") + 1, F.col("n")).alias("w"))
+        hits = hits.withColumn("t", template(F.col("w"))).withColumn("h", F.xxhash64("r", "t"))
+        hits = hits.join(_small(wins), "h").where((F.col("r") == F.col("br")) & (F.col("n") == F.col("bn")) & (F.col("t") == F.col("bt")))
+        found = hits.select("doc_id", "th", "r", "n", "at", "item_id", "iat", _filled(F.col("bw"), F.col("w")).alias("slots"))
     got = []
-    if found:
-        item = _union(found).groupBy("doc_id", "th", "r", "n", "item_id", (F.col("at") - F.col("iat")).alias("diagonal"))  # an item's words bound its slots and places
+    if found is not None:
+        item = found.groupBy("doc_id", "th", "r", "n", "item_id", (F.col("at") - F.col("iat")).alias("diagonal"))  # an item's words bound its slots and places
         item = item.agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.collect_set(F.struct("at", (F.size("slots") == 0).alias("bare"))).alias("places"))
         side = lambda x: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["t"], s[x]))))
         same = (side("b") == F.size("slots")) & (side("d") == F.size("slots"))
@@ -195,7 +200,7 @@ def _sql() -> str:
 
     def tokens(source: str, key: str) -> str:
         """(key, r, i, w): words of both readings, slots with their mark."""
-        t = "translate(coalesce(text, ''), chr(1) || chr(2) || chr(3) || chr(4), '    ')"
+        t = "translate(coalesce(text, ''), chr(1) || chr(2) || chr(3) || chr(4) || chr(5), '     ')"
         for _ in range(2):  # neighbours need another turn
             t = rf"regexp_replace({t}, '([0-9])[.,]([0-9])', '\1\2', 'g')"
         t = f"regexp_replace({t}, '([0-9]+)', ' \\1 ', 'g')"
@@ -206,7 +211,7 @@ def _sql() -> str:
 {source}_n AS (SELECT *, r = 1 AND regexp_full_match(w, '\p{{Lu}}\p{{Ll}}+') AS name FROM {source}_t),
 {source}_r AS (SELECT *, CASE WHEN name AND s = ' ' AND lag(name) OVER o THEN 0 ELSE 1 END AS fresh,
     NOT name AND (regexp_full_match(w, '[0-9]+') OR lower(w) IN {words(NUMBERS)}) AS number FROM {source}_n WINDOW o AS (PARTITION BY {key}, r ORDER BY i)),
-{source}_u AS (SELECT *, sum(fresh) OVER o AS pos, NOT name AND lower(w) IN {words(UNITS)} AND regexp_full_match(s, ' +') AND lag(number) OVER o AS unit
+{source}_u AS (SELECT *, sum(fresh) OVER o AS pos, NOT name AND lower(w) IN {words(UNITS)} AND lag(number) OVER o AS unit
     FROM {source}_r WINDOW o AS (PARTITION BY {key}, r ORDER BY i)),
 {source}_w AS (SELECT {key}, r, list(w ORDER BY pos) AS w FROM (
     SELECT {key}, r, pos, max(CASE WHEN name THEN chr(1) WHEN number THEN chr(2) WHEN unit THEN chr(3) ELSE '' END) || string_agg(lower(w), chr(4) ORDER BY i) AS w
