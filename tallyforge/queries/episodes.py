@@ -107,23 +107,33 @@ def step_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episodes.numbered(_ev(spark, sf_dir)).select("event_id", "event_name")
 
 
-_ATT = """att AS (SELECT ep.*, x.*, (user_id + n_events) % 3 = 0 AS accepted FROM ep JOIN (SELECT episode_id AS k, count(*) AS actions, bool_or(tool = 'protocol') AS protocol,
-  coalesce(bool_or(error_code = 'invalid_arguments'), false) AS invalid_arguments, bool_or(NOT ok OR error_code IS NOT NULL) AS tool_error, count(*) FILTER (tool = 'execute_sql') AS execute_calls,
-  count(*) FILTER (tool = 'execute_sql' AND error_code = 'timeout') AS execute_timeouts, count(*) FILTER (tool = 'describe_schema') AS schema_calls,
-  count(*) FILTER (error_code IN ('submission_not_executed', 'submission_sql_mismatch', 'undescribed_table')) AS unverified, sum(tokens)::BIGINT AS context_tokens FROM ev GROUP BY episode_id) x ON x.k = ep.episode_id)"""
+_OBS = """ob AS (SELECT *, tool <> 'protocol' AS is_call, tool || ':' || tokens % 2 AS action FROM ev),
+oc AS (SELECT *, coalesce(is_call AND action = last_value(CASE WHEN is_call THEN action END IGNORE NULLS) OVER (PARTITION BY episode_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS again,
+  ok AND coalesce(lead(is_call) OVER (PARTITION BY episode_id ORDER BY step), false) AS followed, lead(action) OVER (PARTITION BY episode_id ORDER BY step) AS next_action FROM ob)"""
+_ATT = f"""{_OBS}, pa AS (SELECT episode_id AS k, count(*) AS actions, bool_or(tool = 'protocol') AS protocol,
+  coalesce(bool_or(error_code = 'invalid_arguments'), false) AS invalid_arguments, bool_or(NOT ok OR error_code IS NOT NULL) AS tool_error, bool_or(error_code IS NOT NULL) AS coded_error, count(*) FILTER (tool = 'execute_sql') AS execute_calls,
+  count(*) FILTER (tool = 'execute_sql' AND error_code = 'timeout') AS execute_timeouts, count(*) FILTER (tool = 'execute_sql' AND error_code = 'syntax_error') AS execute_errors, count(*) FILTER (tool = 'describe_schema') AS schema_calls,
+  count(*) FILTER (tool = 'describe_schema' AND ok AND tokens % 13 = 0) AS schema_without_columns, count(*) FILTER (tool = 'describe_schema' AND tokens % 11 = 0) AS schema_truncated,
+  count(*) FILTER (tool = 'describe_schema' AND tokens % 17 = 0) AS schema_omitted, count(*) FILTER (tool = 'search_values' AND (NOT ok OR tokens % 4 = 0)) AS ineffective_searches,
+  count(*) FILTER (tool = 'protocol' AND tokens % 3 = 0) AS several_calls, count(*) FILTER (tool = 'protocol' AND tokens % 3 = 1) AS bad_json,
+  count(*) FILTER (error_code IN ('submission_not_executed', 'submission_sql_mismatch', 'undescribed_table')) AS unverified, count(*) FILTER (again) AS repeated_calls, count(*) FILTER (followed) AS followed,
+  count(*) FILTER (followed AND (NOT is_call OR action <> next_action)) AS followed_by_other, sum(tokens)::BIGINT AS context_tokens FROM oc GROUP BY episode_id),
+att AS (SELECT ep.*, pa.* EXCLUDE (k), (user_id + n_events) % 3 = 0 AS accepted, CASE user_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 END AS reward,
+  CASE WHEN (user_id + n_events) % 3 <> 0 AND user_id % 2 = 0 THEN terminal_reason END AS rejection_reason, 10 * n_events + user_id % 3 AS latency_ms, user_id % 97 AS cost_micro_usd,
+  CASE WHEN terminal_reason = 'infrastructure_error' THEN CASE WHEN user_id % 2 = 0 THEN 'api_transport_error' ELSE 'context_overflow' END END AS infrastructure_code,
+  user_id % 2 AS reasoning_present, CASE WHEN user_id % 5 = 0 THEN 0 ELSE 1 END AS reasoning_tokens_reported FROM ep JOIN pa ON pa.k = ep.episode_id)"""
 
 
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _ev(spark, sf_dir)
-    a = adapters.episodes(ev).join(diagnostics.per_attempt(ev), "episode_id")
-    return a.withColumn("accepted", (F.col("user_id") + F.col("n_events")) % 3 == 0)
+    return adapters.judged(adapters.episodes(ev)).join(diagnostics.per_attempt(adapters.observed(ev)), "episode_id")
 
 
 _GROUPS = f"""count(*) AS attempts, count(*) FILTER (accepted) AS accepted, round(count(*) FILTER (accepted) / count(*), 6) AS acceptance_rate, sum(execute_calls)::BIGINT AS execute_calls,
   round(CASE WHEN sum(execute_calls) = 0 THEN 0.0 ELSE sum(execute_timeouts)::DOUBLE / sum(execute_calls) END, 6) AS execute_timeout_rate, round(count(*) FILTER (protocol) / count(*), 6) AS protocol_attempt_rate,
   round(count(*) FILTER (invalid_arguments) / count(*), 6) AS invalid_argument_attempt_rate, round(count(*) FILTER (tool_error) / count(*), 6) AS tool_error_attempt_rate, sum(schema_calls)::BIGINT AS schema_calls,
-  sum(unverified)::BIGINT AS unverified_submissions, round(count(*) FILTER (terminal_reason IN ('loop', 'max_actions')) / count(*), 6) AS loop_or_max_actions_rate, round(avg(actions), 6) AS actions_mean,
-  {RANK.format(x="actions", p="0.5")} AS actions_p50, {RANK.format(x="actions", p="0.95")} AS actions_p95"""
+  round(CASE WHEN sum(schema_calls) = 0 THEN 0.0 ELSE sum(schema_truncated)::DOUBLE / sum(schema_calls) END, 6) AS schema_truncation_rate, sum(unverified)::BIGINT AS unverified_submissions, round(count(*) FILTER (terminal_reason IN ('loop', 'max_actions')) / count(*), 6) AS loop_or_max_actions_rate, {", ".join(f"round(avg({c}), 6) AS {c}_mean, {RANK.format(x=c, p='0.5')} AS {c}_p50, {RANK.format(x=c, p='0.95')} AS {c}_p95" for c in ("actions", "context_tokens", "latency_ms", "cost_micro_usd"))},
+  list_sort(list_distinct(list(coalesce(rejection_reason, 'accepted')) FILTER (NOT accepted))) AS reasons, count(*) FILTER (NOT accepted) AS refused"""
 _SIZE = "CASE WHEN database_size_bytes < 10485760 THEN 'small_lt_10_mib' WHEN database_size_bytes < 104857600 THEN 'medium_lt_100_mib' ELSE 'large_ge_100_mib' END"
 
 
@@ -137,32 +147,92 @@ UNION ALL SELECT 'database_size', {_SIZE}, {_GROUPS} FROM att GROUP BY {_SIZE}""
 )
 def diagnostics_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E7."""
-    return diagnostics.by_groups(_attempts(spark, sf_dir))
+    g = diagnostics.by_groups(_attempts(spark, sf_dir))
+    many = F.aggregate(F.map_values("rejection_reasons"), F.lit(0).cast("long"), lambda a, b: a + b)
+    return g.select("*", F.array_sort(F.map_keys("rejection_reasons")).alias("reasons"), many.alias("refused")).drop("rejection_reasons")
 
 
-_SEQ = "sq AS (SELECT *, row_number() OVER (ORDER BY episode_id) AS seq, CASE WHEN terminal_reason = 'infrastructure_error' THEN CASE WHEN user_id % 2 = 0 THEN 'api_transport_error' ELSE 'context_overflow' END END AS infrastructure_code FROM att)"
+_SEQ = "sq AS (SELECT *, row_number() OVER (ORDER BY episode_id) AS seq FROM att)"
 
 
 def _sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = diagnostics.sequence(_attempts(spark, sf_dir), "episode_id")
-    code = F.when(F.col("user_id") % 2 == 0, "api_transport_error").otherwise("context_overflow")
-    return a.withColumn("infrastructure_code", F.when(F.col("terminal_reason") == "infrastructure_error", code)).withColumn("rejection_reason", F.lit(None).cast("string"))
+    return diagnostics.sequence(_attempts(spark, sf_dir), "episode_id")
+
+
+_RULES = {
+    "first_20_without_accepted": "n >= 20 AND first = 0",
+    "protocol_or_argument_error_rate_gt_5pct": "n >= 20 AND form / n > 0.05",
+    "pilot_acceptance_upper_bound_lt_75pct": f"n >= 20 AND {WILSON.format(s='acc', n='n')} < 0.75",
+    "schema_without_columns": "nocol > 0",
+    "schema_truncation_rate_gt_5pct": "n >= 20 AND sc > 0 AND trunc::DOUBLE / sc > 0.05",
+    "execute_timeout_rate_gt_2pct": "n >= 20 AND ec > 0 AND et::DOUBLE / ec > 0.02",
+    "stratum_execute_timeout_rate_gt_5pct": "n >= 20 AND worst > 0.05",
+    "context_overflow_rate_gt_1pct": "n > 0 AND ov / n > 0.01",
+    "loop_or_max_actions_rate_gt_5pct": "n >= 20 AND loops / n > 0.05",
+    "replay_or_database_sha_mismatch": "replay > 0",
+    "accepted_trajectory_invariant_violation": "viol > 0",
+    "systemic_api_or_budget_error": "sys >= 2 OR (n >= 20 AND sys / n > 0.05)",
+    "reasoning_token_breakdown_missing": "nobreak > 0",
+    "campaign_cost_limit_exceeded": "true",
+    "campaign_token_limit_exceeded": "false",
+}
 
 
 @query(
     "e6_pause_rules",
     f"""{WE}, {_ATT}, {_SEQ}, t AS (SELECT count(*) AS n, count(*) FILTER (accepted) AS acc, count(*) FILTER (accepted AND seq <= 20) AS first, count(*) FILTER (protocol OR invalid_arguments) AS form,
-  sum(execute_calls) AS ec, sum(execute_timeouts) AS et, count(*) FILTER (terminal_reason IN ('loop', 'max_actions')) AS loops, count(*) FILTER (infrastructure_code = 'context_overflow') AS ov,
-  count(*) FILTER (infrastructure_code = 'api_transport_error') AS sys FROM sq),
+  sum(execute_calls) AS ec, sum(execute_timeouts) AS et, sum(schema_calls) AS sc, sum(schema_truncated) AS trunc, sum(schema_without_columns) AS nocol, count(*) FILTER (terminal_reason IN ('loop', 'max_actions')) AS loops,
+  count(*) FILTER (infrastructure_code = 'context_overflow') AS ov, count(*) FILTER (infrastructure_code = 'api_transport_error') AS sys, count(*) FILTER (accepted AND (user_id % 31 = 0 OR user_id % 37 = 0)) AS replay,
+  count(*) FILTER (accepted AND user_id % 41 = 0) AS viol, count(*) FILTER (reasoning_present > 0 AND reasoning_tokens_reported = 0) AS nobreak FROM sq),
 c AS (SELECT max(CASE WHEN ec = 0 THEN 0.0 ELSE et::DOUBLE / ec END) AS worst FROM (SELECT sum(execute_calls) AS ec, sum(execute_timeouts) AS et FROM sq GROUP BY split, db_id, complexity))
-SELECT reason FROM (SELECT unnest([CASE WHEN n >= 20 AND first = 0 THEN 'first_20_without_accepted' END, CASE WHEN n >= 20 AND form / n > 0.05 THEN 'protocol_or_argument_error_rate_gt_5pct' END,
-  CASE WHEN n >= 20 AND {WILSON.format(s="acc", n="n")} < 0.75 THEN 'pilot_acceptance_upper_bound_lt_75pct' END, CASE WHEN n >= 20 AND ec > 0 AND et::DOUBLE / ec > 0.02 THEN 'execute_timeout_rate_gt_2pct' END,
-  CASE WHEN n >= 20 AND worst > 0.05 THEN 'stratum_execute_timeout_rate_gt_5pct' END, CASE WHEN n > 0 AND ov / n > 0.01 THEN 'context_overflow_rate_gt_1pct' END,
-  CASE WHEN n >= 20 AND loops / n > 0.05 THEN 'loop_or_max_actions_rate_gt_5pct' END, CASE WHEN sys >= 2 OR (n >= 20 AND sys / n > 0.05) THEN 'systemic_api_or_budget_error' END]) AS reason FROM t, c) WHERE reason IS NOT NULL""",
+{" UNION ALL ".join(f"SELECT '{name}' AS reason, ({rule}) AS holds FROM t, c" for name, rule in _RULES.items())}""",
 )
 def pause_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which rules would pause a collection."""
-    return diagnostics.pause_reasons(diagnostics.totals(_sequenced(spark, sf_dir)))
+    """Every rule, and whether it would pause a collection that has spent 5.2 of 5 dollars and 10 of 10 tokens."""
+    return diagnostics.pause_rules(diagnostics.totals(_sequenced(spark, sf_dir), 5.0, 5.2, 10, 10))
+
+
+def _counters() -> str:
+    zero = lambda x: f"coalesce({x}, 0)"
+    share = lambda a, b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE {a}::DOUBLE / {b} END"
+    count = lambda x: f"count(*) FILTER ({x})"
+    fixed = count("coded_error AND reward = 1")
+    flat = [
+        ("", "attempts", "count(*)"), ("", "accepted", count("accepted")), ("", "acceptance_rate", f"{count('accepted')} / count(*)"), ("", "protocol_attempts", count("protocol")), ("", "invalid_argument_attempts", count("invalid_arguments")),
+        ("", "protocol_or_argument_attempts", count("protocol OR invalid_arguments")), ("", "multiple_native_tool_call_responses", "sum(several_calls)"), ("", "invalid_text_action_responses", "sum(bad_json)"),
+        ("", "normalization_failures", "sum(user_id % 3)"), ("", "native_tool_calls", "sum(n_events - 1)"), ("", "text_json_calls", "sum(user_id % 2)"), ("", "response_calls", "sum(n_events)"),
+        ("", "normalization_failure_rate", share("sum(user_id % 3)", "sum(n_events)")), ("", "native_tool_call_rate", share("sum(n_events - 1)", "sum(n_events)")),
+        ("", "missing_reasoning_breakdown", count("reasoning_present > 0 AND reasoning_tokens_reported = 0")), ("", "systemic_api_error_attempts", count("infrastructure_code = 'api_transport_error'")),
+        ("", "provider_data_inspection_failures", count("user_id % 29 = 0")), ("", "accepted_invariant_violations", count("accepted AND user_id % 41 = 0")),
+        ("schema", "calls", "sum(schema_calls)"), ("schema", "without_columns", "sum(schema_without_columns)"), ("schema", "truncated", "sum(schema_truncated)"), ("schema", "with_omitted_tables", "sum(schema_omitted)"),
+        ("execute_sql", "calls", "sum(execute_calls)"), ("execute_sql", "timeouts", "sum(execute_timeouts)"), ("execute_sql", "sqlite_errors", "sum(execute_errors)"), ("submissions", "unverified", "sum(unverified)"),
+        ("actions", "repeated_calls", "sum(repeated_calls)"), ("actions", "ineffective_searches", "sum(ineffective_searches)"), ("actions", "attempts_with_tool_error", count("coded_error")), ("actions", "corrected_final_results", fixed),
+        ("actions", "correction_success_rate", share(fixed, count("coded_error"))), ("actions", "loop_or_max_actions", count("terminal_reason IN ('loop', 'max_actions')")), ("actions", "observations_followed_by_action", "sum(followed)"),
+        ("actions", "observations_followed_by_distinct_action", "sum(followed_by_other)"), ("actions", "observation_utilization_rate", share("sum(followed_by_other)", "sum(followed)")),
+        ("replay", "checked", count("accepted")), ("replay", "mismatches", count("accepted AND user_id % 31 = 0")), ("replay", "database_sha_mismatches", count("accepted AND user_id % 37 = 0")),
+        ("finish_reasons", "missing_or_legacy", "sum(greatest(n_events - 1 - user_id % 2, 0))"), ("finish_reasons", "stop", "count(*)"), ("finish_reasons", "tool_calls", "sum(0)"), ("finish_reasons", "length", "sum(user_id % 2)"), ("finish_reasons", "other", "sum(0)"),
+    ]
+    parts = [f"SELECT '{s}' AS section, '{x}' AS name, {zero(v)}::DOUBLE AS value FROM att" for s, x, v in flat]
+    maps = [("rejection_reasons", "coalesce(rejection_reason, 'unknown')", "att WHERE NOT accepted"), ("infrastructure_codes", "infrastructure_code", "att WHERE infrastructure_code IS NOT NULL"),
+        ("infrastructure_details", "'{\"retry\":3}'", "att WHERE terminal_reason = 'infrastructure_error' AND user_id % 7 = 0"), ("tool_distribution", "tool", "ev WHERE tool <> 'protocol'"),
+        ("gate_errors", "error_code", "ev WHERE error_code IN ('submission_not_executed', 'submission_sql_mismatch', 'undescribed_table')")]
+    parts += [f"SELECT '{s}', {x}, count(*)::DOUBLE FROM {source} GROUP BY 2" for s, x, source in maps]
+    summed = {
+        "usage.input_tokens": "tokens", "usage.billed_output_tokens": "7 * n_events", "usage.reasoning_tokens": "0", "usage.reasoning_tokens_reported": "reasoning_tokens_reported", "usage.reasoning_present": "reasoning_present",
+        "usage.action_tokens": "0", "usage.latency_ms": "latency_ms", "usage.cost_micro_usd": "cost_micro_usd", "usage.context_tokens": "context_tokens", "actions.count": "actions",
+    }
+    for s, x in summed.items():
+        parts.append(f"SELECT '{s}', unnest(['mean', 'p50', 'p95']), unnest([round(avg({x}), 4), {RANK.format(x=x, p='0.5')}, {RANK.format(x=x, p='0.95')}]) FROM att")
+    x = "(100 + 10 * (tokens % 50))"
+    parts.append(f"SELECT 'schema.bytes', unnest(['mean', 'p50', 'p95']), unnest([round(avg({x}), 4), {RANK.format(x=x, p='0.5')}, {RANK.format(x=x, p='0.95')}]) FROM ev WHERE tool = 'describe_schema'")
+    return f"{WE}, {_ATT}, r AS ({' UNION ALL '.join(parts)}) SELECT section, name, round(value, 6) AS value FROM r"
+
+
+@query("e6_counters", _counters())
+def attempt_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counters of a batch of attempts."""
+    ev = adapters.observed(_ev(spark, sf_dir))
+    return diagnostics.counters(ev, _attempts(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
 @query("f11_h8_count_windows", f"{WE}, {_ATT}, {_SEQ} SELECT ((seq - 1) // 100)::BIGINT AS \"window\", count(*) AS attempts, count(*) FILTER (accepted) AS accepted, count(*) < 100 AS partial FROM sq GROUP BY 1")

@@ -71,6 +71,37 @@ def episodes(ev: DataFrame) -> DataFrame:
     )
 
 
+def observed(ev: DataFrame) -> DataFrame:
+    """Events with what diagnostics look at, made from their numbers."""
+    k = F.col("tokens")
+    reply = F.when(F.col("tool") == "protocol", F.when(k % 3 == 0, "several_calls").when(k % 3 == 1, "bad_json"))
+    return ev.withColumns(
+        {
+            "action": F.concat("tool", F.lit(":"), (k % 2).cast("string")), "truncated": k % 11 == 0, "payload_bytes": 100 + 10 * (k % 50), "has_columns": k % 13 != 0,
+            "omitted": k % 17 == 0, "returned_rows": k % 4, "reply": reply,
+        }
+    )
+
+
+def judged(ep: DataFrame) -> DataFrame:
+    """Attempts with outcome and usage, made from their numbers."""
+    u, n = F.col("user_id"), F.col("n_events")
+    usage = {
+        "input_tokens": F.col("tokens"), "billed_output_tokens": 7 * n, "reasoning_present": u % 2, "reasoning_tokens_reported": F.when(u % 5 == 0, 0).otherwise(1), "latency_ms": 10 * n + u % 3, "cost_micro_usd": u % 97,
+        "response_count": n, "native_tool_call": n - 1, "text_json": u % 2, "normalization_failed": u % 3, "finish_reason_stop": F.lit(1), "finish_reason_length": u % 2,
+    }
+    failed = F.col("terminal_reason") == "infrastructure_error"
+    accepted = (u + n) % 3 == 0
+    return ep.withColumns(
+        {
+            "accepted": accepted, "reward": F.when(u % 4 == 0, 1.0).when(u % 4 == 1, 0.0), "rejection_reason": F.when(~accepted & (u % 2 == 0), F.col("terminal_reason")),
+            "infrastructure_code": F.when(failed, F.when(u % 2 == 0, "api_transport_error").otherwise("context_overflow")), "infrastructure_detail": F.when(failed & (u % 7 == 0), F.lit('{"retry":3}')),
+            "provider_code": F.when(u % 29 == 0, "data_inspection_failed"), "replay_exact": u % 31 != 0, "same_database": u % 37 != 0, "violation": accepted & (u % 41 == 0),
+            "usage": F.create_map(*[x for c, v in usage.items() for x in (F.lit(c), v.cast("long"))]),
+        }
+    )
+
+
 def rewards(spark: SparkSession, sf_dir: str, size: int = 4) -> DataFrame:
     """Rollouts in groups: idx, uid, reward (null for a tenth of them)."""
     e = table(spark, sf_dir, "events")
