@@ -97,6 +97,17 @@ def diagnose(spark: SparkSession, a: argparse.Namespace) -> None:
     _show({"pause_reasons": [r["reason"] for r in _rows(diagnostics.pause_reasons(diagnostics.totals(t)))]})
 
 
+def next_tasks(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Tasks to try next, by a plan's cells (split, db_id, complexity, target) and the log of attempts (task_id, accepted)."""
+    out = sampling.handed_out(_read(spark, a.tasks), _read(spark, a.cells), _read(spark, a.log), a.limit, a.seed)
+    _show([r.asDict() for r in out.orderBy("place").collect()])
+
+
+def tools(spark: SparkSession | None, a: argparse.Namespace) -> None:
+    """The agent's tools and its system prompt."""
+    _show({"tools": agent.tool_specs(), "system_prompt": agent.system_prompt()})
+
+
 def sft(spark: SparkSession, a: argparse.Namespace) -> None:
     """Token ids and labels of conversations (conv_id, turn, role, text)."""
     training.action_only(training.conversations(_read(spark, a.messages)), max_length=CONFIG.max_context_tokens).write.mode("overwrite").parquet(a.out)
@@ -139,6 +150,8 @@ COMMANDS = {
     "compare": (compare, [("runs", {"nargs": "+"})]),
     "plan": (plan, [("tasks", {}), ("targets", {}), ("--seed", {"type": int, "default": 42})]),
     "diagnose": (diagnose, [("attempts", {})]),
+    "next": (next_tasks, [("tasks", {}), ("cells", {}), ("log", {}), ("--limit", {"type": int, "default": 20}), ("--seed", {"type": int, "default": 42})]),
+    "tools": (tools, []),
     "sft": (sft, [("messages", {}), ("out", {})]),
     "groups": (filter_groups, [("rollouts", {}), ("out", {}), ("--quota", {"type": int, "default": 2})]),
     "run": (run_agent, [("answers", {}), ("gold", {}), ("--question", {"default": ""}), ("--table", {"action": "append", "default": []})]),
@@ -158,4 +171,4 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             p.add_argument(flag, **how)
         p.set_defaults(run=f)
     got = parser.parse_args(sys.argv[1:] if args is None else args)
-    got.run(spark or (None if got.run is show_config else local_session()), got)
+    got.run(spark or (None if got.run in (show_config, tools) else local_session()), got)

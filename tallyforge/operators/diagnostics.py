@@ -11,7 +11,7 @@ from ..functions import exprs as X
 from ..session import stored
 from .episodes import by_step
 
-#: Attempts from which rates count, and error codes.
+#: Attempts from which rates count, and names of error codes.
 READY = 20
 FATAL = ("authentication_error", "api_empty_response", "api_invalid_response", "cost_limit_exceeded", "token_limit_exceeded")
 SYSTEMIC = ("model_or_request_error", "api_client_error", "api_transport_error", "api_retry_exhausted", "provider_data_inspection_failed")

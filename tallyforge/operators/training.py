@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 IGNORED = -100
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
-HIDDEN = ("gold_sql", '"reward"', "correctness")
+HIDDEN = ("gold_sql", "reward", "correctness")
 
 
 def rewritten(role: Column, content: Column) -> tuple[Column, Column]:
@@ -78,12 +78,14 @@ def collate(batch: DataFrame, key: str, pad_id: int = 0) -> DataFrame:
     return b.select(*[c for c in batch.columns if c not in fills], *[pad(F.col(c), F.col("width"), f).alias(c) for c, f in fills.items()])
 
 
-def hidden_fields(df: DataFrame, column: str, words: tuple[str, ...] = HIDDEN) -> DataFrame:
-    """Rows whose text has a field that an actor may not see."""
-    test = F.lit(False)
-    for w in words:
-        test = test | F.contains(F.col(column), F.lit(w))
-    return df.where(test)
+def hidden_fields(df: DataFrame, column: str, keys: tuple[str, ...] = HIDDEN) -> DataFrame:
+    """Rows whose JSON text has a field that an actor may not see, with hidden: its names, sorted.
+
+    Fields count at any depth, and inside strings that hold JSON themselves, where quotes are escaped.
+    """
+    found = F.regexp_extract_all(F.col(column), F.lit(r'"([A-Za-z0-9_]+)\\*"\s*:'), F.lit(1))
+    hidden = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isin(*keys))))
+    return df.withColumn("hidden", hidden).where(F.size("hidden") > 0)
 
 
 def inspect(conv: DataFrame) -> DataFrame:

@@ -72,12 +72,46 @@ def canonical_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", X.canonical_row(n.dtypes, [F.col("n_nationkey"), F.col("n_name")]).alias("row"))
 
 
+_RUNS = """r AS (SELECT label, event_id AS task_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE ['simple', 'moderate', 'challenging'][event_id % 3 + 1] END AS complexity,
+  ((event_id + m) % 4 <> 0)::INT::DOUBLE AS ex, ((event_id * m) % 10) / 10.0 AS soft_f1, CASE WHEN event_id % 6 = 0 THEN NULL ELSE (event_id % 100 + m)::DOUBLE END AS r_ves,
+  CASE WHEN event_type = 'error' AND (event_id + m) % 2 = 0 THEN 'syntax' END AS error_type FROM events, (VALUES ('base', 1), ('sft', 2), ('grpo', 3)) AS v(label, m))"""
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over the same tasks."""
+    i = F.col("event_id")
+    level = F.when(i % 7 != 0, F.get(F.array(F.lit("simple"), F.lit("moderate"), F.lit("challenging")), (i % 3).cast("int")))
+    e = table(spark, sf_dir, "events").withColumn("x", F.explode(F.array(*[F.struct(F.lit(n).alias("label"), F.lit(m).alias("m")) for n, m in (("base", 1), ("sft", 2), ("grpo", 3))])))
+    e = e.withColumn("label", F.col("x.label")).withColumn("m", F.col("x.m"))
+    m = F.col("m")
+    return e.select(
+        "label", i.alias("task_id"), level.alias("complexity"), ((i + m) % 4 != 0).cast("double").alias("ex"), ((i * m) % 10 / 10.0).alias("soft_f1"),
+        F.when(i % 6 != 0, (i % 100 + m).cast("double")).alias("r_ves"), F.when((F.col("event_type") == "error") & ((i + m) % 2 == 0), "syntax").alias("error_type"),
+    )
+
+
+@query(
+    "b16_comparison",
+    f"""WITH {_RUNS}, g AS (SELECT label, NULL AS complexity, count(*) AS tasks, count(ex) AS scored, round(avg(ex), 6) AS ex, round(avg(soft_f1), 6) AS soft_f1, round(avg(r_ves), 6) AS r_ves FROM r GROUP BY label
+UNION ALL SELECT label, coalesce(complexity, 'unknown'), count(*), count(ex), round(avg(ex), 6), round(avg(soft_f1), 6), round(avg(r_ves), 6) FROM r GROUP BY label, complexity)
+SELECT g.*, round(g.ex - b.ex, 6) AS delta_ex FROM g LEFT JOIN g b ON b.label = 'base' AND b.complexity IS NOT DISTINCT FROM g.complexity""",
+)
+def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs as a whole and by difficulty, against the first."""
+    return report.by_run(_runs(spark, sf_dir))
+
+
+@query("b16_errors", f"WITH {_RUNS} SELECT label, error_type, count(*) AS tasks FROM r WHERE error_type IS NOT NULL GROUP BY ALL")
+def run_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of runs by kind."""
+    return report.error_counts(_runs(spark, sf_dir))
+
+
 @query("b16_reports")
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown reports, from aggregated rows."""
-    e = table(spark, sf_dir, "events")
-    r = e.select(F.when(F.col("event_id") % 5 != 0, (F.col("event_id") % 2).cast("double")).alias("ex"), F.lit(0.5).alias("soft_f1"), F.lit(None).cast("double").alias("r_ves"), F.when(F.col("event_type") == "error", "syntax").alias("error_type"))
-    return spark.createDataFrame([("run", report.run_report(r, "base")), ("compare", report.compare_report(r.withColumn("label", F.lit("base"))))], "report string, markdown string")
+    r = _runs(spark, sf_dir)
+    return spark.createDataFrame([("run", report.run_report(r.where("label = 'base'"), "base")), ("compare", report.compare_report(r))], "report string, markdown string")
 
 
 @query("b17_tokenizer")

@@ -98,10 +98,23 @@ def role_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(spark, sf_dir).select("conv_id", "turn", role.alias("role"), content.alias("content"))
 
 
-@query("c4_hidden_fields", "SELECT conv_id, turn FROM conversations WHERE contains(text, 'gold_sql') OR contains(text, '\"reward\"') OR contains(text, 'correctness')")
+@query(
+    "c4_hidden_fields",
+    """SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'gold_sql' WHEN 1 THEN 'reward' ELSE 'correctness,reward' END AS hidden FROM conversations WHERE (conv_id + turn) % 5 < 3""",
+)
 def hidden_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C4: messages with what an actor may not see."""
-    return training.hidden_fields(adapters.messages(spark, sf_dir), "text").select("conv_id", "turn")
+    """C4: payloads with what an actor may not see: one level down, in a list, or in JSON inside a string; words that are no fields may stay."""
+    n = (F.col("conv_id") + F.col("turn")) % 5
+    text = F.struct(F.col("text").alias("said"))
+    payload = (
+        F.when(n == 0, F.to_json(F.struct(F.struct(F.lit("SELECT 1").alias("gold_sql"), text.alias("more")).alias("task"))))
+        .when(n == 1, F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("reward"))).alias("events"))))
+        .when(n == 2, F.to_json(F.struct(F.to_json(F.struct(F.lit(1).alias("reward"), F.lit("x").alias("correctness"))).alias("inner"))))
+        .when(n == 3, F.to_json(F.struct(F.lit("the reward of gold_sql is its correctness").alias("note"))))
+        .otherwise(F.to_json(text))
+    )
+    m = adapters.messages(spark, sf_dir).select("conv_id", "turn", payload.alias("payload"))
+    return training.hidden_fields(m, "payload").select("conv_id", "turn", F.array_join("hidden", ",").alias("hidden"))
 
 
 @query("fn_sft_messages", f"WITH {_C} SELECT conv_id, string_agg(role || ':' || length(text), ',' ORDER BY turn) AS shape FROM m GROUP BY conv_id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyforge import config, schemas
 from tallyforge.functions import exprs as X
-from tallyforge.operators import checks, diagnostics, episodes, groups, ledger, metrics, sampling, split, training
+from tallyforge.operators import checks, diagnostics, episodes, groups, ledger, metrics, report, sampling, split, training
 from tallyforge.plans import execute, guard
 from tallyforge.session import stored
 from tallyforge.sources import catalog, jsonl
@@ -306,3 +306,18 @@ def test_entry_without_the_corpus_operators(tmp_path):
     shutil.copytree(HERE, tmp_path / "r", ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_reports(spark):
+    rows = [(label, i, ["simple", "challenging"][i % 2], float((i + m) % 2), 0.5, 100.0 * m, "syntax" if i == m else None) for m, label in enumerate(("base", "sft")) for i in range(4)]
+    schema = "label string, task_id int, complexity string, ex double, soft_f1 double, r_ves double, error_type string"
+    r = spark.createDataFrame(rows, schema)
+    text = report.compare_report(r, ("base", "sft"), {"base": "h", "sft": "h"})
+    assert "| base | 4 | 50.00% | 50.00% | 0.00 | +0.00 |" in text and "| challenging | sft | 2 | 0.00% | 50.00% | 100.00 | -100.00 |" in text and "| sft | syntax | 1 |" in text
+    for bad, why in ((r.where("label = 'base' OR task_id > 0"), "missing"), (r.unionByName(r.limit(1)), "twice"), (r.withColumn("ex", F.when(F.col("task_id") > 1, F.col("ex"))), "no score"), (r.where("label = 'base'"), "run is missing")):
+        with pytest.raises(ValueError, match=why):
+            report.compare_report(bad, ("base", "sft"))
+    with pytest.raises(ValueError, match="conditions"):
+        report.compare_report(r, ("base", "sft"), {"base": "h", "sft": "other"})
+    one = report.run_report(r.where("label = 'sft'"), "sft", source={"seed": "42"})
+    assert "| R-VES | 100.00 |" in one and "| simple | 2 | 100.00% |" in one and "| seed | 42 |" in one
