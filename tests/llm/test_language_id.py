@@ -63,3 +63,38 @@ def test_edges(spark):
     assert identify(df.limit(0), learn(df)).count() == 0
     none = identify(df, learn(df.withColumn("lang", F.lit(None).cast("string"))))
     assert {r.lang_pred for r in none.collect()} == {"und"}
+
+
+def test_predictions_against_exact_sets(spark):
+    """The filters answer as exact sets of n-grams do, but for texts whose two best languages are as good as even."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    filters = learn(docs)
+    seen = {}
+    keep = Filters.build
+    try:
+        Filters.build = classmethod(lambda cls, found, common: seen.update(found=found) or keep(found, common))
+        learn(docs)
+    finally:
+        Filters.build = keep
+    sets = {lang: {g for x, g in seen["found"] if x == lang} for lang in filters.langs}
+    rows = docs.select("text").collect()[::7]
+    names, scores = filters.predict(pa.array([r.text or "" for r in rows]))
+    for r, name, score in zip(rows, names, scores):
+        g = slow_grams(r.text or "")
+        if not any(c.isalpha() for c in r.text or ""):
+            assert name == "und" and score == 0
+            continue
+        share = {lang: sum(x in s for x in g) / max(len(g), 1) for lang, s in sets.items()}
+        best = max(sorted(share), key=lambda x: share[x])
+        assert abs(share[best] - score) < 0.02
+        assert name == best or share[best] - share[name] < 0.02
+
+
+def test_columns_stay(spark):
+    from tallyforge.llm.language_id import of_known_language
+
+    base = [(i, t * 20, lang, "MINE", i) for i, (t, lang) in enumerate([("the cat and the dog ", "en"), ("le chat et le chien ", "fr")] * 12)] + [(99, "12 34", None, "MINE", 1)]
+    df = spark.createDataFrame(base, "doc_id long, text string, lang string, lang_pred string, `a.b` int")
+    got = of_known_language(df, learn(df), 0.3)
+    assert got.columns == df.columns and got.count() == 24 and {r.lang_pred for r in got.collect()} == {"MINE"}
+    assert identify(df, learn(df)).columns == ["doc_id", "text", "lang", "a.b", "lang_pred", "lang_score"]

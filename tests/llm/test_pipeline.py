@@ -48,3 +48,18 @@ def test_run_and_empty(spark, tmp_path):
         df = spark.read.parquet(f"{DATA}/{t}.parquet")
         df.limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_any_columns(spark):
+    """Names with dots, and names that stages use themselves; the session keeps its settings."""
+    text = lambda x: " ".join(f"the {x} house and the garden of the {x}{i}" for i in range(12))
+    rows = [(i, text(f"w{i}"), "en", "s", 1, "MINE", 0.5, i) for i in range(20)] + [(50, text("w3"), "en", "s", 1, "MINE", 0.5, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, lang_score double, `a.b` int")
+    before = {r.key: r.value for r in spark.sql("SET").collect()}
+    got = docs
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, got, DATA)
+        assert got.columns == docs.columns, name
+    assert sorted((r.doc_id, r.lang_pred, r["a.b"]) for r in got.collect()) == [(i, "MINE", i) for i in range(20)]
+    after = {r.key: r.value for r in spark.sql("SET").collect()}
+    assert {k: v for k, v in after.items() if k != "spark.checkpoint.dir"} == {k: v for k, v in before.items() if k != "spark.checkpoint.dir"}
