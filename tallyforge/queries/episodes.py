@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import acceptance, checks, diagnostics, episodes
+from ..operators import acceptance, checks, diagnostics, episodes, migration
 from ..sources import adapters, catalog
 from . import EP, EV, query
 
@@ -235,6 +235,25 @@ def attempt_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.counters(ev, _attempts(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
+@query(
+    "e25_migration_report",
+    f"""{WE}, {_ATT}, x AS (SELECT *, CASE WHEN user_id % 13 = 0 OR user_id % 19 = 0 THEN 'missing_task_or_answer' WHEN user_id % 11 = 5 THEN 'initial_actor_messages_changed' WHEN n_events % 7 = 3 THEN 'visible_prompt_or_tools_changed'
+  WHEN tokens % 5 = 0 THEN 'event_replay_mismatch' WHEN tokens % 7 = 0 THEN 'new_acceptance:' || CASE WHEN tokens % 2 = 0 THEN 'loop' ELSE 'unknown' END END AS reason FROM att WHERE accepted AND user_id % 17 <> 0),
+f AS (SELECT *, min(CASE WHEN reason IS NULL THEN episode_id END) OVER (PARTITION BY user_id) AS first FROM x)
+SELECT 'eligible_accepted' AS name, count(*) FILTER (accepted) AS n FROM att UNION ALL SELECT coalesce(reason, 'migrated'), count(*) FROM f WHERE first IS NULL OR episode_id <= first GROUP BY 1""",
+)
+def migration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted attempts taken over into new settings; users stand for tasks."""
+    a = _attempts(spark, sf_dir)
+    u, k = F.col("user_id"), F.col("tokens")
+    attempts = a.select(u.alias("task_id"), "episode_id", "accepted", (u % 11).cast("string").alias("actor_hash"), F.when(F.col("n_events") % 7 == 3, "old").otherwise("now").alias("protocol_hash"))
+    users = a.select(u.alias("task_id")).distinct()
+    tasks = users.where("task_id % 13 <> 0").select("task_id", F.when(F.col("task_id") % 11 == 5, "other").otherwise((F.col("task_id") % 11).cast("string")).alias("actor_hash"))
+    replays = a.select("episode_id", (k % 5 != 0).alias("exact"), (k % 7 != 0).alias("still_accepted"), F.when(k % 2 == 0, "loop").alias("refusal"))
+    found = migration.outcomes(attempts, users.where("task_id % 17 = 0"), tasks, users.where("task_id % 19 <> 0"), replays, "now")
+    return migration.report(attempts, found)
+
+
 @query("f11_h8_count_windows", f"{WE}, {_ATT}, {_SEQ} SELECT ((seq - 1) // 100)::BIGINT AS \"window\", count(*) AS attempts, count(*) FILTER (accepted) AS accepted, count(*) < 100 AS partial FROM sq GROUP BY 1")
 def count_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 100 attempts."""

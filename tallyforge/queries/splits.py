@@ -108,17 +108,19 @@ def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "e11_e13_quota_plan",
-    f"WITH {_CELL}, k AS (SELECT split, count(DISTINCT db_id) AS dbs FROM c GROUP BY split) SELECT split, dbs, CASE split WHEN 'train' THEN 60 ELSE 20 END::BIGINT AS total, true AS within_capacity, true AS covers_all FROM k",
+    f"""WITH {_CELL}, n AS (SELECT split, db_id, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT split, CASE split WHEN 'train' THEN 60 ELSE 20 END AS total FROM (SELECT DISTINCT split FROM n)),
+s AS (SELECT n.*, (total - count(*) OVER w) * sqrt(n) / sum(sqrt(n)) OVER w AS raw, total - count(*) OVER w AS rest FROM n JOIN t USING (split) WINDOW w AS (PARTITION BY split)),
+p AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY floor(raw) - raw, sha256('42:' || db_id)) AS place, rest - sum(floor(raw)) OVER (PARTITION BY split) AS short FROM s)
+SELECT split, 'database' AS kind, db_id AS name, (1 + floor(raw) + (place <= short)::INT)::BIGINT AS target, true AS fits FROM p
+UNION ALL SELECT split, 'class', unnest(['simple', 'moderate', 'challenging']), unnest([3 * total // 10, 5 * total // 10, 2 * total // 10])::BIGINT, true FROM t""",
 )
 def quota_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets of all cells; here their sums, and that no cell is over its candidates and no database is left out."""
+    """The targets' sums by database, which follow the root of its candidates, and by class; and whether no cell is over its candidates."""
     t = _cells(spark, sf_dir)
-    plan = sampling.plan(t, {"train": 60, "validation": 20})
-    p = spark.createDataFrame([(*k, n) for k, n in plan.items()], "split string, db_id string, complexity string, target long")
-    have = t.groupBy("split", "db_id", "complexity").agg(F.count("*").alias("n"))
-    j = p.join(have, ["split", "db_id", "complexity"], "left")
-    per = j.groupBy("split", "db_id").agg(F.sum("target").alias("target"), F.bool_and(F.col("target") <= F.coalesce("n", F.lit(0))).alias("fits"))
-    return per.groupBy("split").agg(F.count("*").alias("dbs"), F.sum("target").alias("total"), F.bool_and("fits").alias("within_capacity"), F.bool_and(F.col("target") >= 1).alias("covers_all"))
+    p = spark.createDataFrame([(*k, n) for k, n in sampling.plan(t, {"train": 60, "validation": 20}).items()], "split string, db_id string, complexity string, target long")
+    j = p.join(t.groupBy("split", "db_id", "complexity").agg(F.count("*").alias("n")), ["split", "db_id", "complexity"], "left")
+    out = lambda kind, c: j.groupBy("split", F.col(c).alias("name")).agg(F.sum("target").alias("target"), F.bool_and(F.col("target") <= F.coalesce("n", F.lit(0))).alias("fits")).select("split", F.lit(kind).alias("kind"), "name", "target", "fits")
+    return out("database", "db_id").unionByName(out("class", "complexity"))
 
 
 _STATE = f"""{_CELL}, x AS (SELECT split, db_id, complexity, least(count(*), 2 + count(*) % 5)::BIGINT AS target, count(*) FILTER (task_id % 7 = 0) AS tried,
