@@ -40,7 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """SQL settings for the plans that are run inside (dots as double underscores); afterwards the session has its own again."""
     names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
+    own = spark.conf.getAll
+    before = {k: own.get(k) for k in names}
     try:
         for k, v in names.items():
             spark.conf.set(k, v)

@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import connected_components
-from tallyforge.llm.jaccard_join import choose_bands, keep_one, near_duplicates
+from tallyforge.llm.jaccard_join import choose_bands, keep_one, near_duplicates, units
 
 DATA = "/root/testdata/sf0.001"
 
@@ -90,33 +90,24 @@ def test_classes_of_one_class_id_each_keep_a_row(spark):
     assert sorted(left, key=str) == [(1, "c"), (1, "d"), (None, "a"), (None, "b")]
 
 
-def test_long_chain_and_dense_group_by_buckets(spark):
-    """A chain is one component of many classes, whose units grow with the classes and not with their square."""
-    from tallyforge.llm import jaccard_join as J
-
-    def chain(n):
-        w = [f"c{i}" for i in range(60 + 4 * n)]
-        return [(i, " ".join(w[4 * i : 4 * i + 60])) for i in range(n)]
-
+def test_chain_and_dense_group_by_buckets(spark):
+    """Components beyond a block are verified by their buckets."""
     rng = random.Random(3)
-    base = [f"w{i}" for i in range(200)]
-    dense = [(10_000 + i, " ".join([*base[:150], *(f"y{rng.randrange(30)}" for _ in range(8)), *base[150:]])) for i in range(60)]
-    sums = []
-    for n in (150, 300):
-        rows = chain(n) + dense
-        docs = spark.createDataFrame(rows, "doc_id long, text string")
-        seen = {}
-        real = J.units
-        J.units = lambda cls, comp, block: seen.setdefault("u", real(cls, comp, block))
-        try:
-            assert got(near_duplicates(docs, block=16)) == brute(rows)
-        finally:
-            J.units = real
-        bands, _ = choose_bands()
-        big = seen["u"].where("b >= 0").groupBy("b", "unit").agg(F.count("*").alias("n"), F.first("blocks").alias("blocks"))
-        sums.append(big.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0])
-        assert big.count() and big.agg(F.max("b")).first()[0] < bands
-    assert sums[1] < 2.5 * sums[0]
+    w, base = [f"c{i}" for i in range(400)], [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(w[4 * i : 4 * i + 60])) for i in range(60)]
+    rows += [(1000 + i, " ".join([*base[:150], *(f"y{rng.randrange(30)}" for _ in range(8)), *base[150:]])) for i in range(40)]
+    assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8)) == brute(rows)
+
+
+def test_units_of_a_long_chain(spark):
+    """One component of 50,000 classes that hang together in pairs only: units grow with the classes, not with their square."""
+    n = 50_000
+    i = F.col("id")
+    cls = spark.range(n).select(i.alias("node"), F.lit(100).cast("long").alias("n"), F.array(F.floor(i / 2), n + F.floor((i + 1) / 2), 3 * n + i, n * 5 + F.floor(i / 2)).alias("bands"))
+    got = units(cls, spark.range(n).select(i.alias("node"), F.lit(0).cast("long").alias("component")), 128)
+    sizes = got.groupBy("b", "unit").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks")).cache()
+    assert sizes.agg(F.max("n"), F.max("blocks")).first() == (2, 1)
+    assert {r.b: r["sum(n)"] for r in sizes.groupBy("b").agg(F.sum("n")).collect()} == {0: n, 1: n - 2}  # the last band has the members of the first
 
 
 def test_rows_of_one_id_and_text(spark):
