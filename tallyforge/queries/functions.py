@@ -114,7 +114,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("run", report.run_report(r.where("label = 'base'"), "base")), ("compare", report.compare_report(r))], "report string, markdown string")
 
 
-@query("b17_tokenizer")
+@query("b17_tokenizer", r"SELECT conv_id, turn, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> ''))::INTEGER AS n FROM conversations")
 def tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tokenizer behind a column function, in Arrow batches."""
     from ..operators.training import tokenizer as make
