@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, license_scan, quality_rules, suffix_dedup
+from . import centroid_clusters, decontaminate, jaccard_join, license_scan, quality_rules, suffix_dedup, vector_codes
+from .centroid_clusters import op12_centroid_clusters
 from .decontaminate import op6_decontamination
 from .jaccard_join import op5_jaccard_join
 from .language_id import op3_language_id
@@ -17,6 +18,7 @@ from .sentencepiece_codec import op2_sentencepiece
 from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op7_toxicity
 from .url_filter import op4_url_filter
+from .vector_codes import op11_vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
@@ -29,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }
 
 ORACLES: dict[str, str] = {
@@ -37,4 +41,6 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": decontaminate.SQL,
     "op8_suffix_dedup": suffix_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op12_centroid_clusters": centroid_clusters.SQL,
 }
