@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroid_clusters, decontaminate, jaccard_join, license_scan, quality_rules, suffix_dedup, vector_codes
+from . import centroid_clusters, decontaminate, jaccard_join, license_scan, quality_rules, suffix_dedup, tensor_minhash, vector_codes
 from .centroid_clusters import op12_centroid_clusters
 from .decontaminate import op6_decontamination
 from .jaccard_join import op5_jaccard_join
@@ -16,6 +16,7 @@ from .quality_rules import op9_quality_rules
 from .secret_scan import op10_secret_scan
 from .sentencepiece_codec import op2_sentencepiece
 from .suffix_dedup import op8_suffix_dedup
+from .tensor_minhash import op13_minhash_dedup
 from .toxicity import op7_toxicity
 from .url_filter import op4_url_filter
 from .vector_codes import op11_vector_codes
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_vector_codes": op11_vector_codes,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -43,4 +45,5 @@ ORACLES: dict[str, str] = {
     "op9_quality_rules": quality_rules.SQL,
     "op11_vector_codes": vector_codes.SQL,
     "op12_centroid_clusters": centroid_clusters.SQL,
+    "op13_minhash_dedup": tensor_minhash.SQL,
 }
