@@ -12,7 +12,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,6 +96,28 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return numbered(df).select(*[F.col(f"c{place(df, c)}").alias(c) for c in columns])
 
 
+def typed(df: DataFrame, column: str, more: str) -> T.StructType:
+    """A schema of one column with the type that ``df`` gives it, and more columns."""
+    return T.StructType([T.StructField(column, df.schema[place(df, column)].dataType), *T.StructType.fromDDL(more).fields])
+
+
+def ordinal(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with a long column that sorts as ``column`` does; null where that is null.
+
+    Whole numbers are taken as they are. Other values are ranked: each range of the distinct values by itself, then shifted by the ranges before.
+    """
+    if isinstance(df.schema[place(df, column)].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return df.withColumn(name, F.col(column).cast("long"))
+    ids = df.select(F.col(column).alias("id")).where("id is not null").distinct()
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ids = cut(ids.repartitionByRange(ranges, "id").withColumn("part", F.spark_partition_id()))
+    sizes = ids.groupBy("part").agg(F.count("*").alias("many"))
+    before = sizes.select("part", (F.sum("many").over(Window.orderBy("part")) - F.col("many")).alias("before"))  # a row for each range
+    at = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    ranks = ids.withColumn("at", at).join(before, "part").select("id", (F.col("before") + F.col("at")).alias(name))
+    return df.join(ranks, df[column] == ranks["id"], "left").drop("id")
+
+
 def map_arrow(df: DataFrame, schema: "str | T.StructType", f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``mapInArrow`` with a function of one batch; any column names."""
     names = df.columns

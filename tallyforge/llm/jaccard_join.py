@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U, bounds, buffers, hash_spans, mix, owners, shingles
-from ._spark import cut, dealt_anew, map_arrow, only, slabs, table, texts
+from ._spark import cut, dealt_anew, map_arrow, only, slabs, table, texts, typed
 from .components import connected_components
 
 THRESHOLD = 0.8
@@ -204,7 +204,7 @@ def units(cls: DataFrame, comp: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, recall: float = RECALL, block: int = BLOCK, nodes: bool = False) -> DataFrame:
-    """doc_id, class_id, n_links, and th (the text's xxhash64) for every row of ``docs`` (doc_id long, text; others are left alone).
+    """doc_id, class_id, n_links, and th (the text's xxhash64) for every row of ``docs`` (doc_id of any type that sorts, text; others are left alone).
 
     n_links counts the other rows of n-gram Jaccard similarity ``threshold`` or more; class_id is the least doc_id
     that links lead to. Texts without words (null and empty ones too) have no n-grams: no links, and their own doc_id
@@ -212,12 +212,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     rows link to each other. An empty table gives no rows. With ``nodes``, also component, which tells classes of one class_id
     apart (null for texts without words).
     """
-    top = 2**63 - 1
-    d = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(top)).alias("k"), F.xxhash64("text").alias("th"), "text")
-    sig = cut(map_arrow(d, "k long, th long, c1 long, c2 long, n long, bands array<long>", _signed(*choose_bands(threshold, recall), size)))
+    d = only(docs, "doc_id", "text").select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("th"), "text")
+    sig = cut(map_arrow(d, typed(d, "k", "th long, c1 long, c2 long, n long, bands array<long>"), _signed(*choose_bands(threshold, recall), size)))
     some = sig.where("n > 0")
-    cls = some.groupBy("c1", "c2", "n").agg(F.min(F.struct("k", "th", "bands")).alias("rep"), F.count("*").alias("w"))
-    cls = cut(cls.select("c1", "c2", "n", "w", "rep.*").withColumn("node", F.monotonically_increasing_id()))
+    cls = some.groupBy("c1", "c2", "n").agg(F.min("k").alias("least"), F.min(F.struct("k", "th", "bands")).alias("rep"), F.count("*").alias("w"))
+    cls = cut(cls.select("c1", "c2", "n", "w", "least", "rep.*").withColumn("node", F.monotonically_increasing_id()))
     dealt = cls.select("node", F.explode("bands").alias("band"))
     low = dealt.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("many")).where("many > 1")
     stars = dealt.join(dealt_anew(low, "band"), "band").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
@@ -225,8 +224,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     mine = units(cls, comp, block).groupBy("node").agg(F.collect_list(F.struct("b", "unit", "blocks")).alias("units"))  # as many as there are bands at most
     members = mine.join(cls.select("node", "k", "th", "w", "bands"), "node")
     members = members.withColumn("bands", F.when(F.exists("units", lambda u: u["b"] > 0), F.col("bands")))
+    members = members.withColumnsRenamed({"k": "mk", "th": "mh"})
     sets = map_arrow(
-        d.join(members, ["k", "th"]).select("node", "units", "w", "bands", "text"),
+        d.join(members, d["k"].eqNullSafe(members["mk"]) & (d["th"] == members["mh"])).select("node", "units", "w", "bands", "text"),
         "node long, units array<struct<b:int,unit:bigint,blocks:bigint>>, w long, bands array<long>, grams binary",
         _with_sets(size),
     )
@@ -239,14 +239,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     hung = connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = near.groupBy("node").agg(F.sum("links").alias("links"))
     found = cls.join(counts, "node", "left").join(hung, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    found = cut(found.select("c1", "c2", "n", "w", "k", "component", F.coalesce("links", F.lit(0)).alias("links")))
-    least = dealt_anew(found.groupBy("component").agg(F.min("k").alias("class_id")), "component")
+    found = cut(found.select("c1", "c2", "n", "w", "least", "component", F.coalesce("links", F.lit(0)).alias("links")))
+    least = dealt_anew(found.groupBy("component").agg(F.min("least").alias("class_id")), "component")
     found = found.join(least, "component").select("c1", "c2", "n", "component", "class_id", (F.col("w") - 1 + F.col("links")).alias("n_links"))
     out = sig.select("k", "th", "c1", "c2", "n").join(found, ["c1", "c2", "n"], "left")
-    empty = lambda c: F.nullif(c, F.lit(top))
-    return out.select(
-        empty(F.col("k")).alias("doc_id"), empty(F.coalesce("class_id", "k")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "th", *(["component"] if nodes else [])
-    )
+    class_id = F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("k"))
+    return out.select(F.col("k").alias("doc_id"), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "th", *(["component"] if nodes else []))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
@@ -255,16 +253,15 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     Texts without words all stay. Of rows that repeat a doc_id and text one stays, if its text has words: the first by all its columns as JSON.
     """
     found = cut(near_duplicates(docs, nodes=True, **how))
-    top = F.lit(2**63 - 1)
-    key = F.coalesce("doc_id", top)
-    classed = found.select(key.alias("k"), "th", F.col("component").alias("c"), "n_links")
-    chosen = classed.where("n_links > 0").groupBy("c").agg(F.min(F.struct("k", "th")).alias("m")).select("m.k", "m.th", F.lit(True).alias("chosen"))
-    lost = classed.where("n_links > 0").select("k", "th").distinct().join(chosen, ["k", "th"], "left").where("chosen is null").select("k", "th", F.lit(True).alias("lost"))
-    twice = classed.where("n_links > 0").groupBy("k", "th").agg(F.count("*").alias("many")).where("many > 1")
-    k, th = F.coalesce(docs["doc_id"], top), F.xxhash64(docs["text"])
+    classed = found.select(F.col("doc_id").alias("k"), "th", F.col("component").alias("c"), F.col("doc_id").isNull().alias("none")).where(found["n_links"] > 0)
+    chosen = classed.groupBy("c").agg(F.min(F.struct("none", "k", "th")).alias("m")).select(F.col("m.k").alias("ck"), F.col("m.th").alias("ch"))
+    is_chosen = F.col("k").eqNullSafe(F.col("ck")) & (F.col("th") == F.col("ch"))
+    lost = classed.select("k", "th").distinct().join(chosen, is_chosen, "left_anti")
+    twice = classed.groupBy("k", "th").agg(F.count("*").alias("many")).where("many > 1")
+    k, th = docs["doc_id"], F.xxhash64(docs["text"])
     out = docs.join(lost, k.eqNullSafe(lost["k"]) & th.eqNullSafe(lost["th"]), "left_anti")
     if twice.limit(1).count():
-        twice = twice.join(chosen, ["k", "th"]).select("k", "th")
+        twice = twice.join(chosen, is_chosen, "left_semi").select("k", "th")
         hit = out.join(twice, k.eqNullSafe(twice["k"]) & th.eqNullSafe(twice["th"]), "left_semi")
         rest = out.join(twice, k.eqNullSafe(twice["k"]) & th.eqNullSafe(twice["th"]), "left_anti")
         row = F.struct(*[hit[f"`{c}`"] for c in hit.columns])

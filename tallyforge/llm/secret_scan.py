@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._spark import map_arrow, only, table
+from ._spark import map_arrow, only, table, typed
 
 #: The patterns of the base, in the order of their kinds.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -236,7 +236,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_confirmed for every row of ``docs``.
 
     Null text is empty; without spans, spans is empty and base_sha256 the hash of the empty string. Offsets are code
-    points, ends exclusive; the span of ``assign`` is its whole match. An empty table gives no rows.
+    points, ends exclusive; the span of ``assign`` is its whole match. doc_id can have any type. An empty table gives no rows.
     """
 
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -251,7 +251,8 @@ def scan(docs: DataFrame) -> DataFrame:
         names = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed")
         yield pa.record_batch({"doc_id": batch.column(0), **{c: pa.array(v, k) for c, v, k in zip(names, cols, kinds)}})
 
-    return map_arrow(only(docs, "doc_id", "text"), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long", f)
+    rows = only(docs, "doc_id", "text")
+    return map_arrow(rows, typed(rows, "doc_id", "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"), f)
 
 
 def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:

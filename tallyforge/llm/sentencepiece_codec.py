@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._bytes import U, buffers, mix
-from ._spark import map_arrow, only, slabs, table, texts
+from ._spark import map_arrow, only, slabs, table, texts, typed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 3
@@ -453,10 +453,11 @@ def encode_texts(docs: DataFrame, model: str = MODEL, best: int = BEST, keep_ids
 
     The whole text is encoded and decoded again; round_trip says that this gave the same bytes. nbest_ids are the ids of the n best
     segmentations, best first, and nbest_sha256 their digests. Null and empty texts have no ids, score 0, an empty nbest, and
-    round_trip true. An empty table gives no rows.
+    round_trip true. doc_id can have any type. An empty table gives no rows.
     """
-    schema = "doc_id long, n_ids long, ids_sha256 string, score double, nbest array<double>, nbest_sha256 array<string>, round_trip boolean"
-    schema += ", ids array<int>, nbest_ids array<array<int>>" if keep_ids else ""
+    docs = only(docs, "doc_id", "text")
+    more = "n_ids long, ids_sha256 string, score double, nbest array<double>, nbest_sha256 array<string>, round_trip boolean"
+    more += ", ids array<int>, nbest_ids array<array<int>>" if keep_ids else ""
     get, cache = _shipped(docs.sparkSession, model), {}
     digest = lambda ids: hashlib.sha256(ids.tobytes()).hexdigest()
 
@@ -484,7 +485,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL, best: int = BEST, keep_ids
                 cols["nbest_ids"] = pa.ListArray.from_arrays(np.cumsum([0, *map(len, every)]).astype(np.int32), inner)
             yield pa.record_batch(cols)
 
-    return map_arrow(only(docs, "doc_id", "text"), schema, f)
+    return map_arrow(docs, typed(docs, "doc_id", more), f)
 
 
 def decode_ids(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
@@ -500,7 +501,8 @@ def decode_ids(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> Data
         found = decode(get(), np.asarray(col.flatten()).astype(np.int64), np.concatenate(([0], np.cumsum(size))))
         yield pa.record_batch({"doc_id": batch.column(0), "text": pa.array([x.decode(errors="replace") for x in found], pa.string())})
 
-    return map_arrow(only(encoded, "doc_id", ids), "doc_id long, text string", f)
+    rows = only(encoded, "doc_id", ids)
+    return map_arrow(rows, typed(rows, "doc_id", "text string"), f)
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:

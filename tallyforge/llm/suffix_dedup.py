@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import INVERSE, U, buffers, mix, powers
-from ._spark import cut, map_arrow, only, slabs, table, texts
+from ._spark import cut, map_arrow, only, ordinal, slabs, table, texts, typed
 from .suffix import common_prefixes, find, packed, suffix_array
 
 LENGTH = 100
@@ -329,11 +329,11 @@ def _finished(length: int):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges to remove) for every row of ``docs``.
 
-    ``docs`` needs doc_id (long) and text; further columns are left alone. Null text is empty. Rows with a null
+    ``docs`` needs doc_id (of any type that sorts) and text; further columns are left alone. Null text is empty. Rows with a null
     doc_id come before all others and count as one document, as do rows that repeat a doc_id: of those, text from an earlier
     byte is earlier, and none of them is earlier than another at the same byte. Texts under ``length`` bytes have no span. An empty table gives no rows.
     """
-    d = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("th"), "doc_id", "text")
+    d = ordinal(only(docs, "doc_id", "text"), "doc_id", "k").select(F.coalesce("k", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("th"), "doc_id", "text")
     counts = map_arrow(d.select("text"), "h long, n long", _counted(length, gram)).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     counts = cut(counts)
     # the hash of the text in the key tells the texts of one id (or of none) apart, so that no id gathers many
@@ -345,7 +345,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     gone = cut(gone.groupBy("k", "th").agg(F.collect_set(F.struct("a", "b")).alias("gone")))
     return map_arrow(
         d.join(gone, ["k", "th"], "left").select("doc_id", "text", "gone"),
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>",
+        typed(d, "doc_id", "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"),
         _finished(length),
     )
 

@@ -7,8 +7,8 @@
    Half keys that no other text has are left out before they are combined: they cannot be part of a shared table key.
 3. A bucket gives a star around its least node, not its pairs. The stars' components say which texts can be linked at all.
 4. In a component beyond one block, each text is first verified against the few nodes that lead most of its buckets; in a group of copies
-   this joins nearly all of it. What is still apart is verified exactly: the texts outside of the largest joined part against all texts of
-   the component, in blocks, or bucket by bucket where that is less. No link between the classes of a bucket is left unverified unless
+   this joins most of it. What is still apart is verified exactly: the texts outside of the largest joined part against all texts of
+   the component, in blocks, or bucket by bucket where less travels for that. No link between the classes of a bucket is left unverified unless
    they are joined already, so components are as if every candidate were verified.
 5. Links are confirmed on the full sets. Components of the links are the groups of near duplicates.
 """
@@ -32,7 +32,9 @@ from .jaccard_join import links
 
 THRESHOLD, SIZE, RECALL = 0.8, 4, 0.9999
 #: Texts compared with a chunk of others in one task, and bytes of their sets.
-BLOCK, CHUNK, BLOCK_BYTES = 256, 1024, 1 << 26
+BLOCK, CHUNK, BLOCK_BYTES = 512, 1024, 1 << 26
+#: Bytes that it takes to look at one table key of a text again; a set's hash has 8.
+KEY_BYTES = 100
 #: Leading nodes that a text is verified against first, and orders in which a bucket's leaders are drawn.
 LEADERS, DRAWS = 4, 3
 #: Words are runs of other bytes than space and \\t \\n \\v \\f \\r.
@@ -102,13 +104,14 @@ def _signed(halves: int, rows: int, size: int):
 
 
 def shared_tables(cls: DataFrame, halves: int) -> DataFrame:
-    """(node, key, low) for the table keys that more than one class has; low is the bucket's least node."""
+    """(node, key, low, even) for the table keys that more than one class has; low is the bucket's least node, and even says that both halves have the same place."""
     half = cls.select("node", F.posexplode("half").alias("pos", "v"))
     many = dealt_anew(half.groupBy("v").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("v"), "v")
     kept = half.join(many, "v", "left_semi").groupBy("node").agg(F.collect_list(F.struct("pos", "v")).alias("x"))  # 2 * halves at most
-    side = lambda first: F.transform(F.filter("x", lambda x: (x["pos"] < halves) if first else (x["pos"] >= halves)), lambda x: x["v"])
+    side = lambda first: F.filter("x", lambda x: (x["pos"] < halves) if first else (x["pos"] >= halves))
     dealt = cut(kept.select("node", side(True).alias("a"), side(False).alias("b")).where((F.size("a") > 0) & (F.size("b") > 0)))
-    keys = dealt.select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b")).select("node", F.xxhash64("a", "b").alias("key"))
+    keys = dealt.select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b"))
+    keys = keys.select("node", F.xxhash64("a.v", "b.v").alias("key"), (F.col("a.pos") + halves == F.col("b.pos")).alias("even"))
     low = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
     return cut(keys.join(dealt_anew(low, "key"), "key"))
 
@@ -191,12 +194,12 @@ def _blocks(many: F.Column, bytes_: F.Column, most: int) -> F.Column:
 
 
 def led(shared: DataFrame, large: DataFrame) -> DataFrame:
-    """``place`` rows that verify each node of ``large`` (node, n) against the nodes that lead most of its buckets."""
-    rows = shared.join(large.select("node"), "node").select("node", "key")
+    """``place`` rows that verify each node of ``large`` (node, n) against the nodes that lead most of its buckets (those of even keys are enough to tell)."""
+    rows = shared.where("even").join(large.select("node"), "node").select("node", "key")
     drawn = rows.groupBy("key").agg(*[F.min_by("node", F.xxhash64("node", F.lit(s))).alias(f"l{s}") for s in range(DRAWS)])
     drawn = drawn.select("key", F.array_distinct(F.array(*[f"l{s}" for s in range(DRAWS)])).alias("leads"))
     pairs = rows.join(dealt_anew(drawn, "key"), "key").select("node", F.explode("leads").alias("lead")).where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("often"))
-    best = pairs.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("often")).alias("o"), "lead"))), 1, LEADERS).alias("x"))  # tables times draws at most
+    best = pairs.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("often")).alias("o"), "lead"))), 1, LEADERS).alias("x"))  # half keys times draws at most
     best = best.select("node", F.explode("x").alias("x")).select("node", F.col("x.lead").alias("unit"))
     best = cut(best.join(large, "node"))
     sized = best.groupBy("unit").agg(_blocks(F.count("*"), F.sum("n") * 8, CHUNK).alias("chunks"))
@@ -209,22 +212,29 @@ def _units(rows: DataFrame, unit: str) -> DataFrame:
     parts = rows.groupBy(unit, "c").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
     u = parts.groupBy(unit).agg(F.max(F.struct("many", "n", "c")).alias("top"), F.sum("many").alias("many"), F.sum("n").alias("n")).where("top.many < many")
     k, b = F.col("many") - F.col("top.many"), F.col("n") - F.col("top.n")
-    u = u.select(unit, F.col("top.c").alias("top"), _blocks(k, b * 8, BLOCK).alias("blocks"), _blocks(F.col("many"), F.col("n") * 8, CHUNK).alias("chunks"), F.col("many"), k.alias("k"))
+    u = u.select(unit, F.col("top.c").alias("top"), _blocks(k, b * 8, BLOCK).alias("blocks"), _blocks(F.col("many"), F.col("n") * 8, CHUNK).alias("chunks"), F.col("many"), k.alias("k"), F.col("n").alias("size"))
     return u.withColumn("cost", F.col("many") * F.col("blocks") + F.col("k") * (F.col("chunks") - 1))
 
 
 def apart(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``place`` rows for what is still apart in ``nodes`` (node, component, n, c): by component, or by its buckets where fewer texts travel for that."""
+    """``place`` rows for what is still apart in ``nodes`` (node, component, n, c, keys): by component, or by its buckets where less travels for that.
+
+    Buckets are looked at only in components for which more bytes would travel than it takes to read their table keys again.
+    """
     whole = cut(_units(nodes, "component"))
     mine = nodes.join(dealt_anew(whole, "component"), "component")
-    inside = shared.join(mine.where(F.col("blocks") > 1).select("node", "component", "n", "c"), "node")
+    out = ["node", "unit", (F.col("c") != F.col("top")).alias("minor"), "c", "blocks", "chunks"]
+    keys = nodes.groupBy("component").agg(F.sum("keys").alias("keys"))
+    dear = cut(whole.where("blocks > 1").join(keys, "component").where(F.col("size") * 8 * F.col("blocks") > F.col("keys") * KEY_BYTES).select("component", "cost"))
+    if not dear.limit(1).count():
+        return mine.withColumn("unit", F.col("component")).select(*out)
+    inside = shared.join(nodes.join(dealt_anew(dear.select("component"), "component"), "component", "left_semi"), "node")
     prints = [F.count("*").alias("many"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")]
     once = inside.groupBy("key", "low", "component").agg(*prints).groupBy("component", "low", "many", "s1", "s2").agg(F.min("key").alias("key")).select("key")
     inside = inside.join(dealt_anew(once, "key"), "key").select("key", "node", "component", "n", "c")  # of buckets with the same members, one
     buckets = _units(inside, "key")
-    dear = inside.select("key", "component").distinct().join(buckets, "key").groupBy("component").agg(F.sum("cost").alias("by_bucket"))
-    split = cut(dear.join(whole.select("component", "cost"), "component").where("by_bucket < cost").select("component"))
-    out = ["node", "unit", (F.col("c") != F.col("top")).alias("minor"), "c", "blocks", "chunks"]
+    costs = inside.select("key", "component").distinct().join(buckets, "key").groupBy("component").agg(F.sum("cost").alias("by_bucket"))
+    split = cut(costs.join(dear, "component").where("by_bucket < cost").select("component"))
     first = mine.join(dealt_anew(split, "component"), "component", "left_anti").withColumn("unit", F.col("component")).select(*out)
     then = inside.join(dealt_anew(split, "component"), "component", "left_semi").join(dealt_anew(buckets, "key"), "key").withColumn("unit", F.col("key")).select(*out)
     return first.unionByName(then)
@@ -246,17 +256,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     cls = cut(cls.select("c1", "c2", "n", "least", "rep.*").withColumn("node", F.monotonically_increasing_id()))
     shared = shared_tables(cls, halves)
     stars = shared.where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    comp = connected_components(stars).join(cls.select("node", "n", "k", "th"), "node")
+    comp = connected_components(stars).join(cls.select("node", "n", "k", "th"), "node").join(shared.groupBy("node").agg(F.count("*").alias("keys")), "node")
     sizes = dealt_anew(comp.groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("size")), "component")
     comp = cut(comp.join(sizes, "component").withColumn("large", (F.col("many") > block) | (F.col("size") * 8 > BLOCK_BYTES)))
     of = comp.select(F.col("k").alias("mk"), F.col("th").alias("mh"), "node")
-    held = cut(d.join(of, d["k"].eqNullSafe(of["mk"]) & (d["th"] == of["mh"])).select("node", "text"))
-    nodes, found = comp.select("node", "component", "n", F.col("node").alias("c")), []
+    held = cut(d.join(of.hint("merge"), d["k"].eqNullSafe(of["mk"]) & (d["th"] == of["mh"])).select("node", "text"))
+    nodes, found = comp.select("node", "component", "n", "keys", F.col("node").alias("c")), []
     large = comp.where("large").select("node", "n")
     if large.limit(1).count():
         found.append(cut(confirmed(held, led(shared, large), threshold, size)))
-        joined = connected_components(found[0]).withColumnRenamed("component", "j")
-        nodes = cut(nodes.join(joined, "node", "left").select("node", "component", "n", F.coalesce("j", "c").alias("c")))
+        followed = found[0].groupBy("b").agg(F.count("*").alias("many"))
+        leader = found[0].join(dealt_anew(followed, "b"), "b").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("many", "b")).alias("lead"))
+        nodes = nodes.join(leader, "node", "left").join(followed.withColumnsRenamed({"b": "node", "many": "own"}), "node", "left")
+        c = F.when(F.col("lead.many") > F.coalesce("own", F.lit(0)), F.col("lead.b")).otherwise(F.col("node"))  # texts of one c hang on one leader
+        nodes = cut(nodes.select("node", "component", "n", "keys", c.alias("c")))
     found.append(cut(confirmed(held, apart(shared, nodes), threshold, size)))
     tied = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     hung = connected_components(tied)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U, bounds, buffers, hash_spans
-from ._spark import map_arrow, only, slabs, table, texts
+from ._spark import map_arrow, only, slabs, table, texts, typed
 from .language_id import held_out
 
 SAMPLE = 5000
@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, score, predicted, and offending: the byte ranges of sentences of p >= ``threshold``, or of the worst one
     where the text is predicted toxic and none reaches it.
 
-    Null, empty and word-less texts have no sentence: score 0. An empty table gives no rows.
+    Null, empty and word-less texts have no sentence: score 0. doc_id can have any type. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -222,7 +222,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 {"doc_id": batch.column(0).slice(i, n), "score": total, "predicted": (total >= 0.5).astype(np.int32), "offending": pa.array(bad, pa.list_(pa.list_(pa.int64())))}
             )
 
-    return map_arrow(only(docs, "doc_id", "text"), "doc_id long, score double, predicted int, offending array<array<long>>", f)
+    rows = only(docs, "doc_id", "text")
+    return map_arrow(rows, typed(rows, "doc_id", "score double, predicted int, offending array<array<long>>"), f)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm import tensor_minhash
@@ -129,10 +130,23 @@ def test_dense_group_travels_in_proportion(spark):
     """In a group of near copies, texts that are placed for verification grow with the group, not with its square."""
     placed = {}
     for n in (600, 2400):
-        shared = spark.range(n).select(F.col("id").alias("node"), F.explode(F.sequence(F.lit(1), F.lit(20))).alias("t"))
-        shared = shared.select("node", F.xxhash64("t", F.col("node") % (F.col("t") % 3 + 1)).alias("key"), F.lit(0).cast("long").alias("low"))
-        led = tensor_minhash.led(shared, spark.range(n).select(F.col("id").alias("node"), F.lit(100).cast("long").alias("n")))
-        nodes = spark.range(n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"), F.lit(100).cast("long").alias("n"), F.when(F.col("id") % 100 == 7, F.col("id")).otherwise(F.lit(0)).alias("c"))
+        one = spark.range(n).select(F.col("id").alias("node"), F.lit(100).cast("long").alias("n"))
+        shared = one.select("node", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("t"))
+        shared = shared.select("node", F.xxhash64("t", F.col("node") % (F.col("t") % 3 + 1)).alias("key"), F.lit(0).cast("long").alias("low"), F.lit(True).alias("even"))
+        led = tensor_minhash.led(shared, one)
+        c = F.when(F.col("node") % 100 == 7, F.col("node")).otherwise(F.lit(0))
+        nodes = one.select("node", F.lit(0).cast("long").alias("component"), "n", F.lit(20).cast("long").alias("keys"), c.alias("c"))
         apart = tensor_minhash.apart(shared, nodes).withColumn("x", F.col("blocks") + F.when(F.col("minor"), F.col("chunks") - 1).otherwise(0))
         placed[n] = led.count() + apart.agg(F.sum("x")).first()[0]
     assert placed[2400] < 4.5 * placed[600]
+
+
+def test_long_chain_goes_by_buckets(spark):
+    """20,000 texts that hang together in pairs only: what travels follows the buckets, not the component."""
+    n = 20_000
+    one = spark.range(n).select(F.col("id").alias("node"), F.lit(60).cast("long").alias("n"))
+    keys = F.explode(F.array(F.floor(F.col("node") / 2), n + F.floor((F.col("node") + 1) / 2), 3 * n + F.floor(F.col("node") / 2)))
+    shared = one.select("node", keys.alias("key"), F.lit(True).alias("even")).withColumn("low", F.min("node").over(Window.partitionBy("key")))
+    nodes = one.select("node", F.lit(0).cast("long").alias("component"), "n", F.lit(3).cast("long").alias("keys"), F.col("node").alias("c"))
+    got = tensor_minhash.apart(shared, nodes).groupBy("unit").agg(F.count("*").alias("many"), F.max("blocks").alias("blocks"))
+    assert got.agg(F.max("many"), F.max("blocks"), F.sum("many")).first() == (2, 1, 2 * n - 2)
