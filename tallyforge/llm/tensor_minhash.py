@@ -33,8 +33,8 @@ from .jaccard_join import links
 THRESHOLD, SIZE, RECALL = 0.8, 4, 0.9999
 #: Texts compared with a chunk of others in one task, and bytes of their sets.
 BLOCK, CHUNK, BLOCK_BYTES = 512, 1024, 1 << 26
-#: Bytes that it takes to look at one table key of a text again; a set's hash has 8.
-KEY_BYTES = 100
+#: Bytes that are moved to look at one table key of a text again (some seven exchanges of a row of three longs); a shingle has 8.
+KEY_BYTES = 300
 #: Leading nodes that a text is verified against first, and orders in which a bucket's leaders are drawn.
 LEADERS, DRAWS = 4, 3
 #: Words are runs of other bytes than space and \\t \\n \\v \\f \\r.
@@ -195,7 +195,7 @@ def _blocks(many: F.Column, bytes_: F.Column, most: int) -> F.Column:
 
 def led(shared: DataFrame, large: DataFrame) -> DataFrame:
     """``place`` rows that verify each node of ``large`` (node, n) against the nodes that lead most of its buckets (those of even keys are enough to tell)."""
-    rows = shared.where("even").join(large.select("node"), "node").select("node", "key")
+    rows = cut(shared.where("even").join(large.select("node"), "node", "left_semi").select("node", "key"))
     drawn = rows.groupBy("key").agg(*[F.min_by("node", F.xxhash64("node", F.lit(s))).alias(f"l{s}") for s in range(DRAWS)])
     drawn = drawn.select("key", F.array_distinct(F.array(*[f"l{s}" for s in range(DRAWS)])).alias("leads"))
     pairs = rows.join(dealt_anew(drawn, "key"), "key").select("node", F.explode("leads").alias("lead")).where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("often"))
