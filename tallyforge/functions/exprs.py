@@ -148,13 +148,26 @@ def content_hash(df: DataFrame, *keys: str) -> DataFrame:
 def ranked(df: DataFrame, column: str, keys: list[str], times: Column | None = None, **shares: float) -> DataFrame:
     """Nearest-rank percentiles of a column by ``keys`` (null counts as a key), each named as its share is; ranks are rounded half to even.
 
-    Values are counted first (a row counts ``times``), so a group is as large as its distinct values.
+    Values are counted first (a row counts ``times``). Counts then go through two levels: a key's values lie in ranges, 256 for each power of e; the ranges'
+    sums say which range holds a rank, and only that range's values are gone through. So no task sees all distinct values of a key unless they lie in one range.
     """
-    w = Window.partitionBy(*keys)
     c = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("value")).agg((F.count("*") if times is None else F.sum(times)).alias("many"))
-    c = c.withColumn("upto", F.sum("many").over(w.orderBy("value"))).withColumn("all", F.sum("many").over(w))
-    at = lambda p: F.min(F.when(F.col("upto") > F.bround((F.col("all") - 1) * F.lit(float(p)), 0), F.col("value")))
-    return c.groupBy(*keys).agg(*[at(p).alias(name) for name, p in shares.items()])
+    c = c.withColumn("range", F.floor(F.signum("value") * F.log1p(F.abs("value")) * 256))
+    sums = c.groupBy(*keys, "range").agg(F.sum("many").alias("inside"))
+    w = Window.partitionBy(*keys)
+    sums = sums.withColumn("before", F.sum("inside").over(w.orderBy("range")) - F.col("inside")).withColumn("all", F.sum("inside").over(w))
+    place = lambda p: F.bround((F.col("all") - 1) * F.lit(float(p)), 0)
+    holds = lambda p: (F.col("before") <= place(p)) & (place(p) < F.col("before") + F.col("inside"))
+    wanted = sums.withColumn("which", F.explode(F.array_compact(F.array(*[F.when(holds(p), F.lit(name)) for name, p in shares.items()]))))
+    at = F.create_map(*[x for name, p in shares.items() for x in (F.lit(name), place(p))])
+    wanted = wanted.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("range").alias("_range"), "before", "which", at[F.col("which")].alias("place"))
+    same = F.col("range") == F.col("_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    inner = c.join(wanted, same).select(*keys, "value", "many", "before", "which", "place")
+    upto = F.sum("many").over(Window.partitionBy(*keys, "which").orderBy("value")) + F.col("before")
+    found = inner.withColumn("upto", upto).where(F.col("upto") > F.col("place"))
+    return found.groupBy(*keys).agg(*[F.min(F.when(F.col("which") == name, F.col("value"))).alias(name) for name in shares])
 
 
 def pad(values: Column, width: Column, fill: int) -> Column:

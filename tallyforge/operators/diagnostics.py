@@ -93,29 +93,29 @@ def metrics() -> list:
 
 
 def by_groups(attempts: DataFrame) -> DataFrame:
-    """The same metrics by database, complexity, sampling cell and size class in one pass of grouping sets, and one for each summarised column.
+    """The same metrics by database, complexity, sampling cell and size class. The attempts are read once, and stored with their groups.
 
+    Summarised columns and reasons are rows (group, name, value) of one more aggregation, so a further column adds rows and no pass.
     rejection_reasons maps the reasons of attempts that were not accepted to their number.
     """
     a = _filled(attempts, ATTEMPT_DEFAULTS).withColumn("size_class", X.size_class(F.col("database_size_bytes")))
     of_usage = lambda c: F.coalesce(F.try_element_at("usage", F.lit(c)), F.lit(0).cast("long"))
     a = a.withColumns({c: of_usage(c) for c in ("latency_ms", "cost_micro_usd")}).withColumn("refusal", F.when(~F.col("accepted"), F.coalesce("rejection_reason", F.lit("accepted"))))
-    sets = [("split", "db_id"), ("split", "complexity"), ("split", "db_id", "complexity"), ("size_class",)]
-    keys = ("split", "db_id", "complexity", "size_class")
-    label = F.when(F.col("size_class").isNotNull(), "database_size").when(F.col("db_id").isNotNull() & F.col("complexity").isNotNull(), "sampling_cell")
-    label = label.when(F.col("db_id").isNotNull(), "database").otherwise("complexity")
-    names = [label.alias("grouping_name"), F.concat_ws(":", *keys).alias("group_value")]
+    names = {"database": ("split", "db_id"), "complexity": ("split", "complexity"), "sampling_cell": ("split", "db_id", "complexity"), "database_size": ("size_class",)}
     own = ["grouping_name", "group_value"]
-
-    def grouped(*more: str):
-        return a.groupingSets([[F.col(c) for c in (*s, *more)] for s in sets], *[F.col(c) for c in (*keys, *more)])
-
-    out = grouped().agg(*metrics())
-    out = out.select(*names, *[c for c in out.columns if c not in keys])
-    for c in SUMMARISED:
-        counts = grouped(c).agg(F.count("*").alias("n")).select(*names, c, "n")
-        out = out.join(X.ranked(counts, c, own, F.col("n"), **{f"{c}_p50": 0.5, f"{c}_p95": 0.95}), own, "left")
-    reasons = grouped("refusal").agg(F.count("*").alias("n")).where("refusal is not null").select(*names, "refusal", "n")
+    groups = F.array(*[F.struct(F.lit(name).alias("grouping_name"), F.concat_ws(":", *keys).alias("group_value")) for name, keys in names.items()])
+    used = ["accepted", "protocol", "invalid_arguments", "tool_error", "execute_calls", "execute_timeouts", "schema_calls", "schema_truncated", "unverified", "terminal_reason", *SUMMARISED, "refusal"]
+    a = stored(a.select(groups.alias("g"), *used))
+    each = a.select(F.explode("g").alias("g"), *used).select("g.*", *used)
+    out = each.groupBy(*own).agg(*metrics())
+    numbers = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"), F.lit(None).cast("string").alias("refusal")) for c in SUMMARISED])
+    said = F.array(F.struct(F.lit("refusal").alias("name"), F.lit(None).cast("double").alias("value"), F.col("refusal").alias("refusal")))
+    long = each.select(*own, F.explode(F.concat(numbers, said)).alias("x")).select(*own, "x.*").where("value is not null or refusal is not null")
+    counted = stored(long.groupBy(*own, "name", "value", "refusal").agg(F.count("*").alias("n")))
+    ranks = X.ranked(counted.where("value is not null"), "value", [*own, "name"], F.col("n"), p50=0.5, p95=0.95)
+    at = lambda c, p: F.max(F.when(F.col("name") == c, F.col(p))).alias(f"{c}_{p}")
+    out = out.join(ranks.groupBy(*own).agg(*[at(c, p) for c in SUMMARISED for p in ("p50", "p95")]), own, "left")
+    reasons = counted.where("refusal is not null")
     reasons = reasons.groupBy(*own).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("refusal", "n")))).alias("rejection_reasons"))  # as many as there are reasons
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     return out.join(reasons, own, "left").withColumn("rejection_reasons", F.coalesce("rejection_reasons", none))
@@ -123,7 +123,7 @@ def by_groups(attempts: DataFrame) -> DataFrame:
 
 def counters(events: DataFrame, attempts: DataFrame) -> DataFrame:
     """(section, name, value): all counters of a batch of attempts (joined with ``per_attempt``) and its events."""
-    a = _filled(attempts, ATTEMPT_DEFAULTS)
+    a = stored(_filled(attempts, ATTEMPT_DEFAULTS))
     of_usage = lambda c: F.coalesce(F.try_element_at("usage", F.lit(c)), F.lit(0).cast("long"))
     total = lambda c: F.sum(of_usage(c))
     n, replays = F.count("*"), F.col("accepted")
@@ -172,16 +172,15 @@ def counters(events: DataFrame, attempts: DataFrame) -> DataFrame:
     }
     one = a.agg(*[F.coalesce(v.cast("double"), F.lit(0.0)).alias(f"v{i}") for i, v in enumerate(flat.values())])
     parts = [one.select(F.inline(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(x).alias("name"), F.col(f"v{i}").alias("value")) for i, (s, x) in enumerate(flat)])))]
-    of = lambda df, section, name: df.groupBy(name.alias("name")).agg(F.count("*").cast("double").alias("value")).select(F.lit(section).alias("section"), "name", "value")
-    parts += [
-        of(a.where("NOT accepted"), "rejection_reasons", F.coalesce("rejection_reason", F.lit("unknown"))),
-        of(a.where("infrastructure_code is not null"), "infrastructure_codes", F.col("infrastructure_code")),
-        of(a.where("infrastructure_detail is not null"), "infrastructure_details", F.col("infrastructure_detail")),
-        of(events.where("tool <> 'protocol'"), "tool_distribution", F.col("tool")),
-        of(events.where(F.col("error_code").isin(*UNVERIFIED)), "gate_errors", F.col("error_code")),
-    ]
+    named = lambda **cs: F.explode(F.array(*[F.struct(F.lit(k).alias("section"), v.alias("name")) for k, v in cs.items()])).alias("x")
+    kinds = a.select(named(
+        rejection_reasons=F.when(~F.col("accepted"), F.coalesce("rejection_reason", F.lit("unknown"))), infrastructure_codes=F.col("infrastructure_code"), infrastructure_details=F.col("infrastructure_detail"),
+    ))
+    events = stored(_filled(events, EVENT_DEFAULTS).select("tool", "error_code", "payload_bytes"))
+    kinds = kinds.unionByName(events.select(named(tool_distribution=F.when(F.col("tool") != "protocol", F.col("tool")), gate_errors=F.when(F.col("error_code").isin(*UNVERIFIED), F.col("error_code")))))
+    parts.append(kinds.select("x.*").where("name is not null").groupBy("section", "name").agg(F.count("*").cast("double").alias("value")))
     values = a.select(F.explode(F.create_map(*[x for c in USAGE for x in (F.lit(f"usage.{c}"), of_usage(c))], F.lit("usage.context_tokens"), F.coalesce("context_tokens", F.lit(0)), F.lit("actions.count"), F.col("actions"))).alias("section", "x"))
-    sizes = _filled(events, EVENT_DEFAULTS).where("tool = 'describe_schema'").select(F.lit("schema.bytes").alias("section"), F.col("payload_bytes").cast("long").alias("x"))
+    sizes = events.where("tool = 'describe_schema'").select(F.lit("schema.bytes").alias("section"), F.col("payload_bytes").cast("long").alias("x"))
     u = usage(values.unionByName(sizes), "x", "section")
     parts.append(u.select("section", F.explode(F.create_map(*[x for c in ("mean", "p50", "p95") for x in (F.lit(c), F.col(c))])).alias("name", "value")))
     return reduce(DataFrame.unionByName, parts)
@@ -199,11 +198,17 @@ def usage(df: DataFrame, column: str, *keys: str) -> DataFrame:
     return out.select(*keys, "mean", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p50", "p95")])
 
 
-def totals(attempts: DataFrame, cost_limit: float | None = None, spent: float | None = None, token_limit: int | None = None, used: int | None = None) -> DataFrame:
-    """One row of what the pause rules look at; attempts have ``seq`` from 1 and the counters of ``per_attempt``."""
+#: Sums over attempts that the pause rules look at; they add up over any parts of the attempts.
+TALLIES = (
+    "n accepted accepted_first bad_form execute_calls execute_timeouts schema_calls schema_truncated schema_without_columns loops overflows fatal systemic "
+    "not_replayed violations no_breakdown"
+).split() + [f"code_{i}" for i in range(len(SYSTEMIC))]
+
+
+def tallies(attempts: DataFrame, *keys: str) -> DataFrame:
+    """``TALLIES`` by ``keys``; attempts have ``seq`` from 1 and the counters of ``per_attempt``."""
     a = _filled(attempts, ATTEMPT_DEFAULTS)
-    over = lambda x, limit, slack: F.lit(x is not None and limit is not None and x > limit + slack)
-    one = a.agg(
+    return a.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.count_if("accepted").alias("accepted"),
         F.count_if(F.col("accepted") & (F.col("seq") <= READY)).alias("accepted_first"),
@@ -218,9 +223,25 @@ def totals(attempts: DataFrame, cost_limit: float | None = None, spent: float |
         F.count_if(_no_breakdown()).alias("no_breakdown"),
         *[F.count_if(F.col("infrastructure_code") == c).alias(f"code_{i}") for i, c in enumerate(SYSTEMIC)],
     )
-    cells = a.groupBy("split", "db_id", "complexity").agg(X.ratio(F.sum("execute_timeouts"), F.sum("execute_calls")).alias("r")).agg(F.coalesce(F.max("r"), F.lit(0.0)).alias("worst_cell"))
-    one = one.withColumn("most_systemic", F.greatest(*[F.col(f"code_{i}") for i in range(len(SYSTEMIC))])).drop(*[f"code_{i}" for i in range(len(SYSTEMIC))])
-    return one.join(cells, how="left").withColumn("over_cost", over(spent, cost_limit, 1e-12)).withColumn("over_tokens", over(used, token_limit, 0))  # one row each
+
+
+def cell_tallies(attempts: DataFrame, *keys: str) -> DataFrame:
+    """Calls and timeouts of each sampling cell, by ``keys``."""
+    return attempts.groupBy(*keys, "split", "db_id", "complexity").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("execute_calls", "execute_timeouts")])
+
+
+def concluded(sums: DataFrame, cells: DataFrame, *keys: str, cost_limit: float | None = None, spent: float | None = None, token_limit: int | None = None, used: int | None = None) -> DataFrame:
+    """What the pause rules look at, by ``keys``, from sums over attempts and over cells."""
+    over = lambda x, limit, slack: F.lit(x is not None and limit is not None and x > limit + slack)
+    worst = cells.groupBy(*keys).agg(F.max(X.ratio(F.col("execute_timeouts"), F.col("execute_calls"))).alias("worst_cell"))
+    one = sums.join(worst, list(keys), "left") if keys else sums.join(worst, how="left")  # one row each
+    one = one.withColumn("worst_cell", F.coalesce("worst_cell", F.lit(0.0))).withColumn("most_systemic", F.greatest(*[F.col(f"code_{i}") for i in range(len(SYSTEMIC))]))
+    return one.drop(*[f"code_{i}" for i in range(len(SYSTEMIC))]).withColumn("over_cost", over(spent, cost_limit, 1e-12)).withColumn("over_tokens", over(used, token_limit, 0))
+
+
+def totals(attempts: DataFrame, **spending) -> DataFrame:
+    """One row of what the pause rules look at (``spending`` as in ``concluded``)."""
+    return concluded(tallies(attempts), cell_tallies(attempts), **spending)
 
 
 def rules(target: float = 0.75) -> dict[str, Column]:
@@ -245,6 +266,13 @@ def rules(target: float = 0.75) -> dict[str, Column]:
     }
 
 
+def pause_reasons_by(sums: DataFrame, cells: DataFrame, key: str, target: float = 0.75, **spending) -> DataFrame:
+    """(key, attempts, reason) of the rules that hold in each part of the attempts, from its sums."""
+    t = concluded(sums, cells, key, **spending)
+    every = F.array(*[F.when(rule, F.lit(name)) for name, rule in rules(target).items()])
+    return t.select(key, F.col("n").alias("attempts"), F.explode(F.array_compact(every)).alias("reason"))
+
+
 def pause_rules(t: DataFrame, target: float = 0.75) -> DataFrame:
     """(reason, holds) of every rule, of the one row of ``totals``."""
     every = [F.struct(F.lit(name).alias("reason"), F.coalesce(rule, F.lit(False)).alias("holds")) for name, rule in rules(target).items()]
@@ -262,13 +290,15 @@ def windows(attempts: DataFrame, size: int = 100, order: str = "seq") -> DataFra
     return attempts.groupBy(w).agg(F.count("*").alias("attempts"), F.count_if("accepted").alias("accepted"), (F.count("*") < size).alias("partial"))
 
 
-def sequence(df: DataFrame, *order: str, buckets: int = 64) -> DataFrame:
+def sequence(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with seq, its rank in an order over all rows: ranges are ranked by themselves, then shifted by the ranges before.
 
-    No task sees all rows, which a window without partitions would need.
+    No task sees all rows, which a window without partitions would need. The session's shuffle partitions say how many ranges there are, as they do for any other
+    exchange over the data.
     """
-    ranged = stored(df.repartitionByRange(buckets, *order).withColumn("part", F.spark_partition_id()))
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = stored(df.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()))
     counts = ranged.groupBy("part").agg(F.count("*").alias("size"))
-    shift = counts.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size")).select("part", "before")  # a row for each bucket
+    shift = counts.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size")).select("part", "before")  # a row for each range
     local = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
     return local.join(F.broadcast(shift), "part").withColumn("seq", F.col("before") + F.col("at")).drop("part", "at", "before")

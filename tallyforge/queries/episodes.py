@@ -189,7 +189,7 @@ c AS (SELECT max(CASE WHEN ec = 0 THEN 0.0 ELSE et::DOUBLE / ec END) AS worst FR
 )
 def pause_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule, and whether it would pause a collection that has spent 5.2 of 5 dollars and 10 of 10 tokens."""
-    return diagnostics.pause_rules(diagnostics.totals(_sequenced(spark, sf_dir), 5.0, 5.2, 10, 10))
+    return diagnostics.pause_rules(diagnostics.totals(_sequenced(spark, sf_dir), cost_limit=5.0, spent=5.2, token_limit=10, used=10))
 
 
 def _counters() -> str:

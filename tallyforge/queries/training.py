@@ -64,9 +64,8 @@ def filter_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(n.alias("generated_groups"), F.count_if(~F.col("uniform")).alias("diverse"), F.count_if("uniform").alias("uniform_groups"), kept.alias("retained"), F.round(kept / n, 6).alias("effective_rate"))
 
 
-@query(
-    "h7_updates",
-    f"""WITH RECURSIVE {_G}, b AS (SELECT uid // 50 AS batch, count(*) AS groups, count(*) FILTER (NOT uniform) AS mixed, count(*) FILTER (uniform) AS flat FROM g WHERE uniform IS NOT NULL GROUP BY 1),
+#: Updates of 60 diverse groups from batches of 50 groups of 4.
+H7_SQL = f"""WITH RECURSIVE {_G}, b AS (SELECT uid // 50 AS batch, count(*) AS groups, count(*) FILTER (NOT uniform) AS mixed, count(*) FILTER (uniform) AS flat FROM g WHERE uniform IS NOT NULL GROUP BY 1),
 n AS (SELECT *, row_number() OVER (ORDER BY batch) AS i FROM b),
 w AS (SELECT i, 1 AS update, mixed AS have FROM n WHERE i = 1 UNION ALL
     SELECT n.i, CASE WHEN have >= 60 THEN update + 1 ELSE update END, CASE WHEN have >= 60 THEN mixed ELSE have + mixed END FROM w JOIN n ON n.i = w.i + 1),
@@ -74,8 +73,10 @@ u AS (SELECT update::BIGINT AS update, count(*) AS batches, sum(groups)::BIGINT
 k AS (SELECT *, CASE WHEN mixed >= 60 THEN 60 ELSE 0 END::BIGINT AS kept FROM u)
 SELECT update, CASE WHEN mixed >= 60 THEN 'updated' ELSE 'data_exhausted' END AS status, batches AS generation_batches, groups AS generated_groups, mixed AS diverse_groups_seen, kept AS retained_groups,
     flat AS discarded_uniform_groups, greatest(mixed - 60, 0)::BIGINT AS discarded_surplus_diverse_groups, kept / groups AS effective_group_rate, ((groups - kept) * 4)::BIGINT AS extra_rollouts,
-    sum(groups) OVER (ORDER BY update)::BIGINT AS total_generated_groups, sum(kept) OVER (ORDER BY update)::BIGINT AS total_retained_groups FROM k""",
-)
+    sum(groups) OVER (ORDER BY update)::BIGINT AS total_generated_groups, sum(kept) OVER (ORDER BY update)::BIGINT AS total_retained_groups FROM k"""
+
+
+@query("h7_updates", H7_SQL)
 def filter_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates of 60 diverse groups from batches of 50 groups, with the counters so far."""
     g = groups.analyze(adapters.rewards(spark, sf_dir)).where("uniform is not null").withColumn("batch", F.floor(F.col("uid") / 50))

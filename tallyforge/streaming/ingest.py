@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,18 @@ def source(spark: SparkSession, path: str, pattern: str = "*", max_files: int =
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which stateful processors need; afterwards the session has its own setting again."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append", prepare: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
     """Run a stream over what is there now and append it to a Parquet table; a second run adds only what is new."""
     if prepare is None:
@@ -35,11 +48,17 @@ def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append",
     stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def fresh(spark: SparkSession) -> str:
+    """A new folder in the shared one, which goes when the application ends."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    removed_later(spark, base)
+    return base
+
+
 def result(spark: SparkSession, stream: DataFrame, mode: str = "append", prepare: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """What a stream gives over what is there now, as a table in the shared folder."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = fresh(spark)
     drain(stream, f"{base}/out", f"{base}/checkpoint", mode, prepare)
-    removed_later(spark, base)
     return spark.read.parquet(f"{base}/out")
 
 
