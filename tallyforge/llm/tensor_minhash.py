@@ -6,7 +6,7 @@
    a table if they share a half key in each collection, with probability (1 - (1 - s^r)^m)^2; ``choose_tensor`` takes m and r for a target.
    Half keys that no other text has are left out before they are combined: they cannot be part of a shared table key.
 3. A bucket gives a star around its least node, not its pairs. The stars' components say which texts can be linked at all.
-4. In a component beyond one block, each text is first verified against the few nodes that lead most of its buckets; in a group of copies
+4. In a large component, each text is first verified against the few nodes that lead most of its buckets; in a group of copies
    this joins most of it. What is still apart is verified exactly: the texts outside of the largest joined part against all texts of
    the component, in blocks, or bucket by bucket where less travels for that. No link between the classes of a bucket is left unverified unless
    they are joined already, so components are as if every candidate were verified.
@@ -35,8 +35,8 @@ THRESHOLD, SIZE, RECALL = 0.8, 4, 0.9999
 BLOCK, CHUNK, BLOCK_BYTES = 512, 1024, 1 << 26
 #: Bytes that are moved to look at one table key of a text again (some seven exchanges of a row of three longs); a shingle has 8.
 KEY_BYTES = 300
-#: Leading nodes that a text is verified against first, and orders in which a bucket's leaders are drawn.
-LEADERS, DRAWS = 4, 3
+#: Components beyond LARGE classes begin with leaders: nodes that a text is verified against first, and orders in which a bucket's leaders are drawn.
+LARGE, LEADERS, DRAWS = 4096, 4, 3
 #: Words are runs of other bytes than space and \\t \\n \\v \\f \\r.
 WORD = np.ones(256, bool)
 WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -240,13 +240,13 @@ def apart(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     return first.unionByName(then)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, recall: float = RECALL, large: int = LARGE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id of any type that sorts, text); other columns are ignored.
 
     Rows are linked whose sets of word shingles have that Jaccard similarity; component_id is the least doc_id that links lead to, and the row of that
     doc_id is kept. Texts without words (null and empty ones too) have an empty set, no links, and their own doc_id. A text of fewer words than
     a shingle has one of all its words. A null doc_id sorts last: a component whose rows all lack one has a null component_id, and keeps them.
-    Repeated rows link to each other and fare alike. An empty table gives no rows. Components of up to ``block`` classes are verified whole.
+    Repeated rows link to each other and fare alike. An empty table gives no rows. Components beyond ``large`` classes begin with leaders; the result does not depend on it.
     """
     halves, rows = choose_tensor(threshold, recall)
     d = only(docs, "doc_id", "text").select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("th"), "text")
@@ -258,13 +258,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     stars = shared.where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     comp = connected_components(stars).join(cls.select("node", "n", "k", "th"), "node").join(shared.groupBy("node").agg(F.count("*").alias("keys")), "node")
     sizes = dealt_anew(comp.groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("size")), "component")
-    comp = cut(comp.join(sizes, "component").withColumn("large", (F.col("many") > block) | (F.col("size") * 8 > BLOCK_BYTES)))
+    comp = cut(comp.join(sizes, "component").withColumn("large", F.col("many") > large))
     of = comp.select(F.col("k").alias("mk"), F.col("th").alias("mh"), "node")
     held = cut(d.join(of.hint("merge"), d["k"].eqNullSafe(of["mk"]) & (d["th"] == of["mh"])).select("node", "text"))
     nodes, found = comp.select("node", "component", "n", "keys", F.col("node").alias("c")), []
-    large = comp.where("large").select("node", "n")
-    if large.limit(1).count():
-        found.append(cut(confirmed(held, led(shared, large), threshold, size)))
+    most = comp.where("large").select("node", "n")
+    if most.limit(1).count():
+        found.append(cut(confirmed(held, led(shared, most), threshold, size)))
         followed = found[0].groupBy("b").agg(F.count("*").alias("many"))
         leader = found[0].join(dealt_anew(followed, "b"), "b").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("many", "b")).alias("lead"))
         nodes = nodes.join(leader, "node", "left").join(followed.withColumnsRenamed({"b": "node", "many": "own"}), "node", "left")

@@ -93,12 +93,12 @@ def test_whole_table_against_brute_force_and_sql(spark):
     assert rows(near_duplicates(docs)) == oracle(tensor_minhash.SQL, documents=docs)
 
 
-@pytest.mark.parametrize("block", [256, 8, 1])
-def test_groups_chains_and_odd_texts(spark, block):
-    """Components beyond a block go through leaders, then what is apart by component or by bucket."""
+@pytest.mark.parametrize("large", [4096, 8, 1])
+def test_groups_chains_and_odd_texts(spark, large):
+    """Large components go through leaders, then what is apart by component or by bucket."""
     data = mixed()
     df = spark.createDataFrame([(k, t, "q", 3) for k, t in data], "doc_id long, text string, th string, n int").repartition(5)
-    assert got(near_duplicates(df, block=block)) == brute(data)
+    assert got(near_duplicates(df, large=large)) == brute(data)
 
 
 def test_small_blocks_and_chunks(spark, monkeypatch):
@@ -108,7 +108,7 @@ def test_small_blocks_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(tensor_minhash, "LEADERS", 1)
     data = mixed(6)
     df = spark.createDataFrame(data, "doc_id long, text string")
-    assert got(near_duplicates(df, block=8)) == brute(data)
+    assert got(near_duplicates(df, large=8)) == brute(data)
 
 
 def test_types_of_ids_and_empty_tables(spark):
