@@ -35,40 +35,3 @@ def cached(examples: DataFrame, records: DataFrame, version: Column) -> DataFram
     """Examples with hit: whether the last record of the task has the same fingerprint."""
     last = latest(records, ["task_id"], F.desc(version)).select("task_id", F.col("fingerprint").alias("seen"))
     return examples.join(last, "task_id", "left").withColumn("hit", F.coalesce(F.col("seen") == F.col("fingerprint"), F.lit(False))).drop("seen")
-
-
-def merge(state: dict, batch: dict) -> dict:
-    """A campaign's state after a batch: new episodes count once, spending never falls."""
-    new = set(batch["episode_ids"]) - set(state["episode_ids"])
-    return {
-        "attempts": state["attempts"] + len(new),
-        "spent_micro_usd": max(state["spent_micro_usd"], batch["spent_micro_usd"]),
-        "used_tokens": max(state["used_tokens"], batch["used_tokens"]),
-        "episode_ids": sorted({*state["episode_ids"], *new}),
-    }
-
-
-class Budget:
-    """Reserve, settle and release amounts under a limit."""
-
-    def __init__(self, limit: int, spent: int = 0) -> None:
-        self.limit, self.spent, self.reserved = limit, spent, 0
-
-    def reserve(self, amount: int) -> None:
-        """Set an amount aside, or refuse."""
-        if self.spent + self.reserved + amount > self.limit:
-            raise OverflowError(f"{self.spent} spent and {self.reserved} reserved leave no room for {amount} of {self.limit}")
-        self.reserved += amount
-
-    def settle(self, reserved: int, actual: int) -> None:
-        """Turn a reservation into what was spent."""
-        self.release(reserved)
-        self.spent += actual
-        if self.spent > self.limit:
-            raise OverflowError(f"spent {self.spent} of {self.limit}")
-
-    def release(self, amount: int) -> None:
-        """Give a reservation back."""
-        if amount > self.reserved:
-            raise ValueError("more than is reserved")
-        self.reserved -= amount

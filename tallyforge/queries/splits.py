@@ -86,8 +86,8 @@ SELECT key, (base + CASE WHEN place <= rest THEN 1 ELSE 0 END)::BIGINT AS quota
 )
 def largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole shares by weight."""
-    g = split.group_counts(_tasks(spark, sf_dir)).select(F.col("db_id").alias("key"), F.sqrt("n").alias("weight"))
-    return sampling.largest_remainder_df(g, 137)
+    g = split.group_counts(_tasks(spark, sf_dir)).select(F.lit("all").alias("by"), F.col("db_id").alias("key"), F.sqrt("n").alias("weight"), F.lit(137).cast("long").alias("total"))
+    return sampling.whole_shares(g, "by", "key", "total", "weight").select("key", F.col("share").alias("quota"))
 
 
 _CELL = "c AS (SELECT doc_id AS task_id, source AS db_id, CASE WHEN doc_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split, ['simple', 'moderate', 'challenging'][doc_id % 3 + 1] AS complexity FROM documents)"

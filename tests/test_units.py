@@ -113,17 +113,27 @@ def test_twelve_digits(spark, x):
     assert one(spark, groups.short_number(F.lit(x))) == format(x, ".12g")
 
 
-def test_quotas_flow_and_schedule():
-    assert sampling.largest_remainder(10, {"simple": 0.3, "moderate": 0.5, "challenging": 0.2}) == {"simple": 3, "moderate": 5, "challenging": 2}
+def test_quotas_of_databases_and_classes(spark):
+    of = lambda total, **n: {r.db_id: r.quota for r in sampling.database_quotas(spark.createDataFrame([("s", d, k, total) for d, k in n.items()], "split string, db_id string, n long, total long")).collect()}
+    with pytest.raises(sampling.Infeasible):
+        of(1, a=3, b=3)
+    with pytest.raises(sampling.Infeasible):
+        of(7, a=3, b=3)
+    q = of(10, a=100, b=4, c=1)
+    assert sum(q.values()) == 10 and q["c"] == 1 and q["b"] <= 4
+    assert of(8, a=3, b=4, c=1) == {"a": 3, "b": 4, "c": 1} and of(2, a=1, b=9) == {"a": 1, "b": 1}
+    k = {(r.split, r.complexity): r.quota for r in sampling.class_quotas(spark, {"s": 10, "t": 0}).collect()}
+    assert k == {("s", "simple"): 3, ("s", "moderate"): 5, ("s", "challenging"): 2, ("t", "simple"): 0, ("t", "moderate"): 0, ("t", "challenging"): 0}
+    with pytest.raises(ValueError):
+        sampling.class_quotas(spark, {"s": 3}, {"simple": -1.0})
+
+
+def test_flow_and_reallocation():
     cap = {(d, c): n for d in ("a", "b") for c, n in zip(sampling.CLASSES, (3, 5, 2))}
     cells = sampling.allocate(cap, {"a": 5, "b": 5}, {"simple": 3, "moderate": 5, "challenging": 2})
     assert all(cells[k] <= cap[k] for k in cap) and sum(cells.values()) == 10 and sum(n for (d, _), n in cells.items() if d == "a") == 5
     with pytest.raises(sampling.Infeasible):
         sampling.allocate(cap, {"a": 9, "b": 9}, {"simple": 3, "moderate": 5, "challenging": 2})
-    with pytest.raises(sampling.Infeasible):
-        sampling.database_quotas(1, {"a": 3, "b": 3})
-    q = sampling.database_quotas(10, {"a": 100, "b": 4, "c": 1})
-    assert sum(q.values()) == 10 and q["c"] == 1 and q["b"] <= 4
     targets = {("s", d, "simple"): n for d, n in (("x", 4), ("y", 6))}
     out, moves = sampling.reallocated(targets, {("s", "x", "simple"): 1, ("s", "y", "simple"): 20})
     assert out == {("s", "x", "simple"): 3, ("s", "y", "simple"): 7} and moves == [(("s", "x", "simple"), ("s", "y", "simple"))]
@@ -241,20 +251,6 @@ def test_sequences_learn_only_actions(spark):
     assert m.select(encode("text").alias("x")).first().x == [2]
 
 
-def test_budget_and_ledger():
-    b = ledger.Budget(100)
-    b.reserve(60)
-    with pytest.raises(OverflowError):
-        b.reserve(50)
-    b.settle(60, 70)
-    b.reserve(30)
-    b.release(30)
-    with pytest.raises(OverflowError):
-        b.settle(0, 31)
-    s = ledger.merge({"attempts": 1, "spent_micro_usd": 9, "used_tokens": 5, "episode_ids": ["a"]}, {"episode_ids": ["a", "b"], "spent_micro_usd": 7, "used_tokens": 8})
-    assert s == {"attempts": 2, "spent_micro_usd": 9, "used_tokens": 8, "episode_ids": ["a", "b"]}
-
-
 def test_strict_records(spark, tmp_path):
     path = f"file://{tmp_path}/r"
     assert jsonl.read_jsonl(spark, path, "a int").count() == 0
@@ -284,7 +280,7 @@ def test_catalog(spark, items):
 
 def test_sequence_over_partitions(spark):
     df = spark.range(1000).withColumn("k", F.xxhash64("id"))
-    got = diagnostics.sequence(df, "k", buckets=7).orderBy("k").collect()
+    got = diagnostics.sequence(df, "k").orderBy("k").collect()
     assert [r.seq for r in got] == list(range(1, 1001))
     assert stored(df).count() == 1000
 
