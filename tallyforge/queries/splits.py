@@ -71,6 +71,15 @@ def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.near_pairs(t.where("task_id % 2 = 0"), t.where("task_id % 2 = 1"))
 
 
+@query(
+    "d8_near_members",
+    f"WITH d AS (SELECT doc_id, {NORM.format(t='text')} AS q FROM documents) SELECT doc_id AS task_id, min(doc_id) OVER (PARTITION BY q) AS class_id FROM d WHERE q <> ''",
+)
+def near_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of equal questions whose representatives ``d8_near_pairs`` compares."""
+    return split.members(_tasks(spark, sf_dir))
+
+
 @query("d9_set_overlap_checks", "SELECT 'lang' AS name, count(*) AS shared FROM (SELECT lang FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT lang FROM documents WHERE doc_id % 2 = 1) UNION ALL SELECT 'task_id', 0")
 def set_overlap_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that two halves share."""

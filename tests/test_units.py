@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import random
 import re
 import sys
 import unicodedata
@@ -197,14 +198,46 @@ def test_leaks_between_splits(spark):
     least = {q: min(k for k in a if a[k] == q) for q in shared}
     got = {(r.side, r.task_id, r.class_id) for r in split.exact_overlap(train, dev).collect()}
     assert got == {(s, k, least[q]) for s, d in (("train", a), ("dev", b)) for k, q in d.items() if q in shared} and got
-    want = []
-    for i, x in a.items():
-        for j, y in b.items():
+    size = lambda d, q: sum(x == q for x in d.values())
+    want = set()
+    for x in a.values():
+        for y in b.values():
             ratio = SequenceMatcher(None, x, y).ratio()
-            if x != y and ratio >= 0.95 and any(slow_simhash(x) >> 16 * k & 0xFFFF == slow_simhash(y) >> 16 * k & 0xFFFF for k in range(4)):
-                want.append((i, j, round(ratio, 6)))
+            if x and y and x != y and ratio >= 0.95:
+                want.add((min(k for k in a if a[k] == x), min(k for k in b if b[k] == y), round(ratio, 6), size(a, x), size(b, y)))
     found = [tuple(r) for r in split.near_pairs(train, dev).collect()]
     assert found == sorted(want, key=lambda r: (-r[2], r[0], r[1])) and found
+    assert {(r.task_id, r.class_id) for r in split.members(df).collect()} == {(k, min(j for j in norm if norm[j] == q)) for k, q in norm.items() if q}
+
+
+def test_near_pairs_are_not_lost(spark, capsys):
+    """Pairs of a ratio of 0.95 or more, planted in texts of several lengths, against the matcher alone."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    rows, planted = [], set()
+    for n in (2, 4, 7, 15, 15, 60, 60, 300):
+        for _ in range(60):
+            w = [word() for _ in range(n)]
+            v = list(w)
+            if n >= 60:
+                for _ in range(rng.randrange(1, 1 + n // 30)):
+                    v[rng.randrange(n)] = word()
+            elif n == 15:
+                v[-1] = v[-1][:-2] + word()[:2]
+            else:
+                i = rng.randrange(n)
+                v[i] = v[i] + "s"
+            if w == v:
+                continue
+            i = len(rows)
+            rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
+            if SequenceMatcher(None, rows[-2][1], rows[-1][1]).ratio() >= 0.95:
+                planted.add((i, i + 1))
+    df = spark.createDataFrame(rows, "task_id long, question string")
+    got = {(r.train_task_id, r.dev_task_id) for r in split.near_pairs(df.where("task_id % 2 = 0"), df.where("task_id % 2 = 1")).collect()}
+    with capsys.disabled():
+        print(f" near pairs found: {len(planted & got)} of {len(planted)}")
+    assert len(planted) > 200 and len(planted & got) >= 0.99 * len(planted)
 
 
 def test_plan_does_not_depend_on_order(spark):
