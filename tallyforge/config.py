@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Config:
@@ -40,6 +43,18 @@ def problems(c: Config) -> list[str]:
     return out
 
 
+def broken_rules(configs: DataFrame) -> DataFrame:
+    """(name, rule) for each rule that a configuration breaks, of a table of them: name, target_total, max_attempts, group_size, groups_per_update,
+    max_generation_batches, split_targets and weights (maps)."""
+    total = lambda m, zero: F.aggregate(F.map_values(m), zero, lambda a, b: a + b)
+    rules = {
+        "quota": (total("split_targets", F.lit(0).cast("long")) != F.col("target_total")) | (F.col("max_attempts") < F.col("target_total")),
+        "weights": (F.abs(total("weights", F.lit(0.0)) - 1) > 1e-9) | F.exists(F.map_values("weights"), lambda w: w < 0),
+        "group_size": (F.col("group_size") < 2) | (F.col("groups_per_update") < 1) | (F.col("max_generation_batches") < 1),
+    }
+    return configs.select("name", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(r)) for r, bad in rules.items()]))).alias("rule"))
+
+
 def rollouts(c: Config) -> tuple[int, int]:
     """Rollouts that a training keeps, and those it may generate at most."""
     kept = c.updates * c.groups_per_update * c.group_size

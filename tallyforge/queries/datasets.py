@@ -181,13 +181,30 @@ def request_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.messages(spark, sf_dir).groupBy("conv_id").agg(n.alias("reserved"), (n <= 8000).alias("fits"))
 
 
-@query("c7_config_predicates", "SELECT 'quota' AS rule, true AS holds UNION ALL SELECT 'weights', true UNION ALL SELECT 'group_size', true")
-def config_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules of a configuration."""
-    from ..config import CONFIG, problems
+_CONFIGS = """k AS (SELECT source AS name, count(*) AS total, count(*) FILTER (doc_id % 5 <> 0) AS train, count(*) FILTER (doc_id % 5 = 0 AND lang IS NOT NULL) AS validation,
+    count(*) FILTER (doc_id % 3 = 0) AS simple, count(*) FILTER (doc_id % 3 = 1) AS moderate, count(*) FILTER (doc_id % 7 = 2) AS challenging FROM documents WHERE source IS NOT NULL GROUP BY source)"""
+
 
-    bad = set(problems(CONFIG))
-    return spark.createDataFrame([(r, r not in bad) for r in ("quota", "weights", "group_size")], "rule string, holds boolean")
+@query(
+    "c7_config_predicates",
+    f"""WITH {_CONFIGS} SELECT name, 'quota' AS rule FROM k WHERE train + validation <> total OR 300 + validation < total UNION ALL SELECT name, 'weights' FROM k WHERE simple + moderate + challenging <> total
+UNION ALL SELECT name, 'group_size' FROM k WHERE total % 9 < 2""",
+)
+def config_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that a configuration breaks, of one for each source with targets and weights from its documents."""
+    from ..config import broken_rules
+
+    n, part = F.count("*"), lambda rule: F.count_if(F.expr(rule))
+    k = table(spark, sf_dir, "documents").where("source is not null").groupBy(F.col("source").alias("name")).agg(
+        n.alias("total"), part("doc_id % 5 <> 0").alias("train"), part("doc_id % 5 = 0 AND lang IS NOT NULL").alias("validation"), *[part(r).alias(c) for c, r in (("simple", "doc_id % 3 = 0"), ("moderate", "doc_id % 3 = 1"), ("challenging", "doc_id % 7 = 2"))]
+    )
+    pairs = lambda *cs, of=lambda c: F.col(c): F.create_map(*[x for c in cs for x in (F.lit(c), of(c))])
+    return broken_rules(
+        k.select(
+            "name", F.col("total").alias("target_total"), (300 + F.col("validation")).alias("max_attempts"), (F.col("total") % 9).alias("group_size"), F.lit(1).alias("groups_per_update"), F.lit(1).alias("max_generation_batches"),
+            pairs("train", "validation").alias("split_targets"), pairs("simple", "moderate", "challenging", of=lambda c: F.col(c) / F.col("total")).alias("weights"),
+        )
+    )
 
 
 @query(

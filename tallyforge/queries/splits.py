@@ -156,13 +156,25 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "f14_reallocation",
-    "SELECT * FROM (VALUES ('a', 'simple', 4::BIGINT), ('b', 'simple', 6::BIGINT), ('c', 'simple', 5::BIGINT), ('a', 'moderate', 5::BIGINT), ('b', 'moderate', 5::BIGINT), ('c', 'moderate', 5::BIGINT)) AS v(db_id, complexity, target)",
+    f"""WITH RECURSIVE {_CELL}, x AS (SELECT split, db_id, complexity, 5 + count(*) % 4 AS target, CASE WHEN count(*) % 3 = 0 THEN 2 ELSE 6 + count(*) % 5 END AS reach FROM c GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (ORDER BY split, db_id, complexity) AS cell, dense_rank() OVER (ORDER BY split, db_id) AS db, sha256('42:' || split || ':' || db_id || ':' || complexity) AS tie FROM x),
+f AS (SELECT db, sum(target) AS first, greatest(1, sum(target) - greatest(1, ceil(sum(target) * 0.2))) AS low, greatest(1, sum(target) + greatest(1, ceil(sum(target) * 0.2))) AS high FROM n GROUP BY db),
+p AS (SELECT list(split || complexity ORDER BY cell) AS class, list(db ORDER BY cell) AS dbs, list(reach ORDER BY cell) AS reach, list(tie ORDER BY cell) AS tie, list(target ORDER BY cell) AS target,
+    (SELECT list(first ORDER BY db) FROM f) AS first, (SELECT list(low ORDER BY db) FROM f) AS low, (SELECT list(high ORDER BY db) FROM f) AS high FROM n),
+l AS (SELECT cell, row_number() OVER (ORDER BY cell, u.i) AS i FROM n, unnest(range(1, target - reach + 1)) AS u(i)),
+w AS (SELECT 0::BIGINT AS i, target AS out, first AS now FROM p UNION ALL
+    SELECT i, CASE WHEN goes IS NULL THEN out ELSE list_transform(out, lambda v, j: v + (j = goes)::INT - (j = cell)::INT) END, CASE WHEN goes IS NULL THEN now ELSE list_transform(now, lambda v, j: v + (j = dbs[goes])::INT - (j = dbs[cell])::INT) END
+    FROM (SELECT l.i, l.cell, w.out, w.now, p.dbs, CASE WHEN w.now[p.dbs[l.cell]] <= p.low[p.dbs[l.cell]] THEN NULL ELSE list_min(list_transform(list_filter(range(1, len(p.dbs) + 1),
+        lambda j: p.class[j] = p.class[l.cell] AND p.dbs[j] <> p.dbs[l.cell] AND p.reach[j] > w.out[j] AND w.now[p.dbs[j]] < p.high[p.dbs[j]]), lambda j: {{'r': w.now[p.dbs[j]] / greatest(1, p.first[p.dbs[j]]), 't': p.tie[j], 'j': j}})).j END AS goes
+        FROM w JOIN l ON l.i = w.i + 1, p))
+SELECT split, db_id, complexity, out[cell]::BIGINT AS target FROM n, (SELECT out FROM w ORDER BY i DESC LIMIT 1)""",
 )
 def reallocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """database a can reach 2 of its 5 simple tasks; a fifth of its 10 may go: one unit to b, which alone has more, and b may take one; the SQL is the result by hand."""
-    targets = {("t", d, k): 5 for d in "abc" for k in ("simple", "moderate")}
-    out, _ = sampling.reallocated(targets, {c: 2 if c[1:] == ("a", "simple") else 6 if c[1:] == ("b", "simple") else 5 for c in targets})
-    return spark.createDataFrame([(d, k, n) for (_, d, k), n in out.items()], "db_id string, complexity string, target long")
+    """what cells cannot reach of their targets goes to other databases of their class, within a fifth of each database's target."""
+    n = F.count("*")
+    x = _cells(spark, sf_dir).groupBy(*sampling.CELL).agg((5 + n % 4).alias("target"), F.when(n % 3 == 0, 2).otherwise(6 + n % 5).alias("reach")).collect()  # a row for each cell
+    out, _ = sampling.reallocated({tuple(r[:3]): r.target for r in x}, {tuple(r[:3]): r.reach for r in x})
+    return spark.createDataFrame([(*k, v) for k, v in out.items()], "split string, db_id string, complexity string, target long")
 
 
 def _hashed(name: str, rows: str) -> str:

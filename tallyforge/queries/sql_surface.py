@@ -22,7 +22,7 @@ TEXTS = {
     "a_cross_small": ("region nation", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE r_regionkey < n_regionkey"),
     "a_theta_join": ("part", "SELECT a.p_partkey AS small, b.p_partkey AS large FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_retailprice < b.p_retailprice AND b.p_retailprice < a.p_retailprice + 5"),
     "a_semi_join": ("orders lineitem", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')"),
-    "a_anti_join": ("customer orders", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "a_anti_join": ("customer orders", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)"),
     "a_in_subquery": ("supplier nation", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)"),
     "a_correlated_scalar": ("lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem l WHERE l_quantity > (SELECT 1.5 * avg(l_quantity) FROM lineitem m WHERE m.l_orderkey = l.l_orderkey)"),
     "a_group_having": ("orders", "SELECT o_custkey, count(*) AS n, round(max(o_totalprice), 2) AS most FROM orders GROUP BY o_custkey HAVING count(*) > 12"),
@@ -38,7 +38,11 @@ TEXTS = {
     ),
     "a_window_running": ("events", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events"),
     "a_cte": ("lineitem supplier", "WITH revenue AS (SELECT l_suppkey, sum(l_extendedprice) AS total FROM lineitem GROUP BY l_suppkey) SELECT s_suppkey, s_name, round(total, 2) AS total FROM supplier JOIN revenue ON s_suppkey = l_suppkey"),
-    "a_recursive_cte": ("region", "WITH RECURSIVE steps(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM steps WHERE n < 60) SELECT n, n * n AS square FROM steps"),
+    "a_recursive_cte": (
+        "part",
+        "WITH RECURSIVE tree(k, size, depth) AS (SELECT p_partkey, CAST(p_size AS BIGINT), 1 FROM part WHERE p_partkey = 1 UNION ALL "
+        "SELECT p.p_partkey, t.size + p.p_size, t.depth + 1 FROM tree t JOIN part p ON CAST(floor(p.p_partkey / 2) AS BIGINT) = t.k WHERE p.p_partkey > 1) SELECT k, size, depth FROM tree",
+    ),
     "a_nested_select": ("orders", "SELECT o_orderpriority, n FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority) x WHERE n > 10"),
     "a_distinct": ("lineitem", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem"),
     "a_case_functions": ("part", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS class, upper(substring(p_name, 1, 3)) AS head, CAST(length(p_type) AS BIGINT) AS n, CAST(instr(p_type, 'STEEL') AS BIGINT) AS place FROM part"),
@@ -124,28 +128,54 @@ def timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(execute.run_sql(spark, sql, timeout=0.5).status,)], "status string")
 
 
-NORMAL = (("SELECT  r_name\nFROM region;", "select R_NAME from Region"), ("SELECT 'A' AS x", "SELECT 'a' AS x"), ("SELECT r_name FROM region -- note", "select `r_name` from region"))
+def _statements(spark: SparkSession, sf_dir: str, judge) -> list[tuple]:
+    """(s_suppkey, *judge(key)) of every supplier, in streams of rows: statements are made from the table's keys, and judged as they are parsed, by the driver."""
+    register(spark, sf_dir, ("region", "nation", "customer", "supplier", "orders"))
+    return [(r.s_suppkey, *judge(r.s_suppkey)) for r in table(spark, sf_dir, "supplier").select("s_suppkey").toLocalIterator()]
+
+
+def _of(cases: tuple, k: int) -> tuple:
+    """The case of a key, with the key in its statements."""
+    return tuple(x.replace("{k}", str(k)).replace("{l}", str(k + 1)) if isinstance(x, str) else x for x in cases[k % len(cases)])
+
+
+def _cases(cases: tuple, *places: tuple[int, str]) -> str:
+    """SQL for what the cases of suppliers' keys say at these places."""
+    lit = lambda x: _quote(x) if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x}::BIGINT"
+    return ", ".join(f"CASE s_suppkey % {len(cases)} " + " ".join(f"WHEN {i} THEN {lit(c[p])}" for i, c in enumerate(cases)) + f" END AS {name}" for p, name in places)
 
 
-@query("a10_normalised_sql", "SELECT * FROM (VALUES (0::BIGINT, true), (1::BIGINT, false), (2::BIGINT, true)) AS v(n, same)")
+NORMAL = (
+    ("SELECT  s_name\nFROM supplier WHERE s_suppkey = {k};", "select S_NAME from Supplier where s_suppkey={k}", True),
+    ("SELECT s_name FROM supplier WHERE s_suppkey = {k}", "SELECT s_name FROM supplier WHERE s_suppkey = {l}", False),
+    ("SELECT s_name FROM supplier WHERE s_suppkey < {k} -- note", "select `s_name` from supplier where s_suppkey<{k}", True),
+    ("SELECT 'A{k}' AS x FROM supplier", "SELECT 'a{k}' AS x FROM supplier", False),
+)
+
+
+@query("a10_normalised_sql", f"SELECT s_suppkey, {_cases(NORMAL, (2, 'same'))} FROM supplier")
 def normalised_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A10: which statements are the same after normalisation."""
-    rows = [(i, guard.normalize(spark, a) == guard.normalize(spark, b)) for i, (a, b) in enumerate(NORMAL)]
-    return spark.createDataFrame(rows, "n long, same boolean")
+    """A10: which two statements about a supplier are the same after normalisation."""
+
+    def judge(k: int) -> tuple:
+        a, b, _ = _of(NORMAL, k)
+        return (guard.normalize(spark, a) == guard.normalize(spark, b),)
+
+    return spark.createDataFrame(_statements(spark, sf_dir, judge), "s_suppkey long, same boolean")
 
 
 PHYSICAL = (
-    ("WITH x AS (SELECT * FROM Orders) SELECT * FROM x JOIN customer c ON c.c_custkey = x.o_custkey", "customer,orders"),
-    ("SELECT 1 FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region)", "nation,region"),
-    ("SELECT 1", ""),
+    ("WITH x AS (SELECT * FROM Orders WHERE o_orderkey > {k}) SELECT * FROM x JOIN customer c ON c.c_custkey = x.o_custkey", "customer,orders"),
+    ("SELECT {k} FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region)", "nation,region"),
+    ("SELECT {k}", ""),
+    ("SELECT s_name FROM supplier s WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = s.s_nationkey) AND s_suppkey = {k} UNION SELECT c_name FROM customer", "customer,nation,supplier"),
 )
 
 
-@query("a11_physical_tables", "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {_quote(t)})" for i, (_, t) in enumerate(PHYSICAL)) + ") AS v(n, tables)")
+@query("a11_physical_tables", f"SELECT s_suppkey, {_cases(PHYSICAL, (1, 'tables'))} FROM supplier")
 def physical_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables of a statement without its own names."""
-    rows = [(i, ",".join(sorted(guard.physical_tables(spark, s)))) for i, (s, _) in enumerate(PHYSICAL)]
-    return spark.createDataFrame(rows, "n long, tables string")
+    """Tables of a statement without its own names, for a statement about each supplier."""
+    return spark.createDataFrame(_statements(spark, sf_dir, lambda k: (",".join(sorted(guard.physical_tables(spark, _of(PHYSICAL, k)[0]))),)), "s_suppkey long, tables string")
 
 
 @query("b9_catalog_scan", "SELECT table_name, count(*) AS n_columns FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem') GROUP BY table_name")
@@ -178,36 +208,40 @@ COMPLEX = (
     ("SELECT r_name FROM region", 0, "simple"),
     ("SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey", 2, "moderate"),
     ("SELECT r_name FROM region UNION SELECT n_name FROM nation", 4, "challenging"),
-    ("WITH x AS (SELECT r_name, row_number() OVER (ORDER BY r_name) AS n FROM region) SELECT r_name FROM x WHERE n = 1", 5, "challenging"),
-    ("SELECT o_custkey, count(*) FROM orders GROUP BY o_custkey HAVING count(*) > 1", 3, "moderate"),
+    ("WITH x AS (SELECT r_name, row_number() OVER (ORDER BY r_name) AS n FROM region) SELECT r_name FROM x WHERE n = {k}", 5, "challenging"),
+    ("SELECT o_custkey, count(*) FROM orders GROUP BY o_custkey HAVING count(*) > {k}", 3, "moderate"),
 )
 
 
-@query("fn_sql_complexity", "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {n}::BIGINT, {_quote(c)})" for i, (_, n, c) in enumerate(COMPLEX)) + ") AS v(n, score, class)")
+@query("fn_sql_complexity", f"SELECT s_suppkey, {_cases(COMPLEX, (1, 'score'), (2, 'class'))} FROM supplier")
 def sql_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complexity of statements, from their plans."""
-    return spark.createDataFrame([(i, *guard.complexity(spark, s)) for i, (s, _, _) in enumerate(COMPLEX)], "n long, score long, class string")
+    """Complexity of statements about suppliers, from their plans."""
+    return spark.createDataFrame(_statements(spark, sf_dir, lambda k: tuple(guard.complexity(spark, _of(COMPLEX, k)[0]))), "s_suppkey long, score long, class string")
 
 
+#: Prediction, gold, status of the prediction (empty: none), label.
 TAXONOMY = (
-    ("SELECT b FROM t", "SELECT a FROM t", None, "schema_linking"),
-    ("SELECT a FROM t WHERE a = 1", "SELECT a FROM t WHERE a = 2", None, "filter_value"),
-    ("SELECT COUNT(a) FROM t", "SELECT SUM(a) FROM t", None, "aggregation_grouping"),
-    ("SELECT a FROM t ORDER BY a", "SELECT a FROM t", None, "order_limit"),
-    ("SELECT a FROM t UNION SELECT a FROM u", "SELECT a FROM t INTERSECT SELECT a FROM u", None, "set_operation"),
-    ("SELECT t.a FROM t LEFT JOIN u ON t.a = u.a", "SELECT t.a FROM t JOIN u ON t.a = u.a", None, "join"),
-    ("SELECT a AS x FROM t", "SELECT a AS y FROM t", None, "other_semantic"),
-    ("", "SELECT a FROM t", None, "protocol"),
+    ("SELECT b FROM t WHERE k = {k}", "SELECT a FROM t WHERE k = {k}", "", "schema_linking"),
+    ("SELECT a FROM t WHERE a = {k}", "SELECT a FROM t WHERE a = {l}", "", "filter_value"),
+    ("SELECT COUNT(a) FROM t WHERE k = {k}", "SELECT SUM(a) FROM t WHERE k = {k}", "", "aggregation_grouping"),
+    ("SELECT a FROM t WHERE k = {k} ORDER BY a", "SELECT a FROM t WHERE k = {k}", "", "order_limit"),
+    ("SELECT a FROM t UNION SELECT a FROM u", "SELECT a FROM t INTERSECT SELECT a FROM u", "", "set_operation"),
+    ("SELECT t.a FROM t LEFT JOIN u ON t.a = u.a", "SELECT t.a FROM t JOIN u ON t.a = u.a", "", "join"),
+    ("SELECT a AS x FROM t WHERE k = {k}", "SELECT a AS y FROM t WHERE k = {k}", "", "other_semantic"),
+    ("", "SELECT a FROM t WHERE k = {k}", "", "protocol"),
     ("SELECT a FROM t", "SELECT a FROM t", "timeout", "timeout"),
     ("SELECT a FROM t", "SELECT a FROM t", "missing_table_or_column", "table_or_column"),
-    ("DROP TABLE t", "SELECT a FROM t", None, "safety"),
-    ("SELECT a FROM t WHERE", "SELECT a FROM t", None, "syntax"),
+    ("DROP TABLE t{k}", "SELECT a FROM t", "", "safety"),
+    ("SELECT a FROM t WHERE", "SELECT a FROM t WHERE k = {k}", "", "syntax"),
 )
 
 
-@query("fn_error_taxonomy", "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {_quote(x)})" for i, (*_, x) in enumerate(TAXONOMY)) + ") AS v(n, label)")
+@query("fn_error_taxonomy", f"SELECT s_suppkey, {_cases(TAXONOMY, (3, 'label'))} FROM supplier")
 def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of wrong predictions."""
-    return spark.createDataFrame([(i, guard.classify(spark, p, g, s)) for i, (p, g, s, _) in enumerate(TAXONOMY)], "n long, label string")
+    """Kinds of wrong predictions, of a prediction about each supplier."""
 
+    def judge(k: int) -> tuple:
+        prediction, gold, status, _ = _of(TAXONOMY, k)
+        return (guard.classify(spark, prediction, gold, status or None),)
 
+    return spark.createDataFrame(_statements(spark, sf_dir, judge), "s_suppkey long, label string")
