@@ -61,11 +61,6 @@ def canonical(df: DataFrame) -> DataFrame:
     return named.select(X.canonical_row(named.dtypes, [F.col(c) for c in named.columns]).alias("row"))
 
 
-def capped(df: DataFrame, max_rows: int) -> DataFrame:
-    """Canonical rows, one more than allowed."""
-    return canonical(df.limit(max_rows + 1))
-
-
 def digest_of(rows: DataFrame) -> DataFrame:
     """One row: digest, row_count, unique_row_count, result_bytes of canonical rows.
 
@@ -88,6 +83,20 @@ def digest_of(rows: DataFrame) -> DataFrame:
     return one.agg(F.coalesce(F.max("digest"), F.lit(hashlib.sha256().hexdigest())).alias("digest"), count("row_count"), count("unique_row_count"), count("result_bytes"))
 
 
+def multiset_digest(rows: DataFrame, distinct: bool = False) -> DataFrame:
+    """One row: digest, row_count of canonical rows as a multiset (or as a set), in whatever order and partitions.
+
+    Each row's SHA-256 is taken as four 64-bit numbers, which are summed; the digest is the SHA-256 of the sums and the count. So every task sums its own rows, and
+    a row that is changed, added, lost or repeated changes the digest (repeated ones count once with ``distinct``).
+    """
+    r = rows.distinct() if distinct else rows
+    h = r.select(F.sha2(F.col("row"), 256).alias("h"))
+    parts = [F.sum(F.conv(F.substring("h", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")).alias(f"s{i}") for i in range(4)]
+    sums = h.agg(F.count("*").alias("row_count"), *parts)
+    text = F.concat_ws(":", F.col("row_count").cast("string"), *[F.coalesce(F.col(f"s{i}").cast("string"), F.lit("0")) for i in range(4)])
+    return sums.select(F.sha2(text, 256).alias("digest"), "row_count")
+
+
 def run_sql(spark: SparkSession, sql: str, timeout: float = TIMEOUT, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, preview: int = 0, keep_rows: bool = False) -> Execution:
     """Guard, run and digest one query over the session's views.
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import audit, checks, ledger
-from ..session import shared_dir, table
-from ..sources import adapters, jsonl
+from ..session import removed_later, shared_dir, table
+from ..sources import adapters, files, jsonl
 from . import EP, EV, query
 
 
@@ -34,23 +34,28 @@ def stable_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("b4_c21_manifest_verify", "SELECT * FROM (VALUES ('changed', 1::BIGINT), ('missing', 1::BIGINT)) AS v(problem, n)")
 def manifest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes of files against a manifest with one changed and one missing."""
-    files = jsonl.file_hashes(spark, f"{sf_dir}/nation.parquet").unionByName(jsonl.file_hashes(spark, f"{sf_dir}/region.parquet"))
-    m = files.select("path", F.when(F.col("path").endswith("nation.parquet"), F.sha2("path", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    hashed = files.file_hashes(spark, f"{sf_dir}/nation.parquet").unionByName(files.file_hashes(spark, f"{sf_dir}/region.parquet"))
+    m = hashed.select("path", F.when(F.col("path").endswith("nation.parquet"), F.sha2("path", 256)).otherwise(F.col("sha256")).alias("sha256"))
     m = m.unionByName(spark.createDataFrame([("nowhere", "x")], "path string, sha256 string"))
-    return jsonl.verify_manifest(files, m).groupBy("problem").agg(F.count("*").alias("n"))
+    return jsonl.verify_manifest(hashed, m).groupBy("problem").agg(F.count("*").alias("n"))
 
 
 @query(
     "b6_positional_join",
-    """WITH a AS (SELECT item_id AS position, concat('db', item_id % 3) AS db_id, text AS sql FROM benchmark)
-SELECT position, db_id, CASE WHEN position % 5 = 0 THEN sql || ' x' ELSE sql END AS gold_sql, position % 5 <> 0 AND position % 7 <> 0 AS source_match FROM a""",
+    """WITH a AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS position, item_id, concat('db', item_id % 3) AS db_id, regexp_replace(text, '\\s+', ' ', 'g') AS sql FROM benchmark)
+SELECT position, db_id, CASE WHEN item_id % 5 = 0 THEN sql || ' x' ELSE sql END AS gold_sql, item_id % 5 <> 0 AND item_id % 7 <> 0 AS source_match FROM a""",
 )
 def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records and line-aligned answers."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("position"), F.concat(F.lit("db"), (F.col("item_id") % 3).cast("string")).alias("db_id"), F.col("text").alias("sql"))
-    sql = F.when(F.col("position") % 5 == 0, F.concat("sql", F.lit(" x"))).otherwise(F.col("sql"))
-    lines = b.select("position", F.concat(sql, F.lit("\t"), F.when(F.col("position") % 7 == 0, "other").otherwise(F.col("db_id"))).alias("line"))
-    return jsonl.aligned(b, lines).select("position", "db_id", "gold_sql", "source_match")
+    """Records and line-aligned answers, read from two written files and joined by the places of their lines."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("db"), (F.col("item_id") % 3).cast("string")).alias("db_id"), F.regexp_replace("text", r"\s+", " ").alias("sql"))
+    sql = F.when(F.col("item_id") % 5 == 0, F.concat("sql", F.lit(" x"))).otherwise(F.col("sql"))
+    line = F.concat(sql, F.lit("\t"), F.when(F.col("item_id") % 7 == 0, "other").otherwise(F.col("db_id")))
+    base = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    for name, value in (("records", F.to_json(F.struct("db_id", "sql"))), ("answers", line)):
+        b.orderBy("item_id").select(value.alias("value")).coalesce(1).write.text(f"{base}/{name}")  # one file is the form of the input
+    removed_later(spark, base)
+    records = files.numbered_lines(spark, f"{base}/records").select("position", F.from_json("line", "db_id string, sql string").alias("r")).select("position", "r.*")
+    return jsonl.aligned(records, files.numbered_lines(spark, f"{base}/answers")).select("position", "db_id", "gold_sql", "source_match")
 
 
 @query("b7_load_asserts", "SELECT count(*) AS n, count(DISTINCT item_id) AS ids, count(*) = count(DISTINCT item_id) AS unique_ids FROM benchmark")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics, sampling, split
-from ..session import table
+from ..operators import collection, metrics, sampling, split
+from ..session import removed_later, shared_dir, stored, table
 from ..sources import adapters
 from . import EP, EV, query
 
@@ -154,6 +156,28 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.handed_out(t, targets, log)
 
 
+@query(
+    "h3_collection",
+    f"""WITH {_CELL}, x AS (SELECT split, db_id, complexity, least(count(*), 2 + count(*) % 5)::BIGINT AS target FROM c GROUP BY ALL),
+o AS (SELECT task_id, target, task_id % 3 <> 0 AS accepted, coalesce(sum((task_id % 3 <> 0)::INT) OVER (PARTITION BY split, db_id, complexity ORDER BY sha256('42:' || task_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM c JOIN x USING (split, db_id, complexity)) SELECT task_id, accepted FROM o WHERE before < target""",
+)
+def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2, H3: what a collection has tried when all its cells are filled or used up; it is broken off after a round, once between results and commit, and gone on with."""
+    t = _cells(spark, sf_dir)
+    n = F.count("*")
+    targets = stored(t.groupBy(*sampling.CELL).agg(F.least(n, 2 + n % 5).alias("target")))
+    per_round = 1 + targets.agg(F.sum("target")).first()[0] // 2
+    attempt = lambda due: due.select("task_id", (F.col("task_id") % 3 != 0).alias("accepted"))
+    base = f"{shared_dir(spark)}/collection-{uuid.uuid4().hex}"
+    removed_later(spark, base)
+    of = lambda: collection.Collection(spark, base, t, targets, attempt, per_round, config_hash="c", label="first")
+    of().run(1)
+    attempt(sampling.handed_out(t, targets, of().log().select("task_id", "accepted"), per_round)).write.parquet(f"{base}/open-lost")  # died before its commit
+    of().run()
+    return of().log().select("task_id", "accepted")
+
+
 @query(
     "f14_reallocation",
     f"""WITH RECURSIVE {_CELL}, x AS (SELECT split, db_id, complexity, 5 + count(*) % 4 AS target, CASE WHEN count(*) % 3 = 0 THEN 2 ELSE 6 + count(*) % 5 END AS reach FROM c GROUP BY ALL),

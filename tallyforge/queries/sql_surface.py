@@ -111,6 +111,26 @@ def result_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row_count", "unique_row_count", (F.col("row_count") > execute.MAX_ROWS).alias("result_too_large"), "digest")
 
 
+_LANES = ", ".join(f"sum(('0x' || h[{16 * i + 1}:{16 * i + 16}])::UBIGINT) AS s{i}" for i in range(4))
+
+
+def _multiset(name: str, rows: str) -> str:
+    return f"SELECT '{name}' AS name, sha256(concat_ws(':', n, s0, s1, s2, s3)) AS digest, n AS row_count FROM (SELECT count(*) AS n, {_LANES} FROM (SELECT sha256(row) AS h FROM ({rows})))"
+
+
+_LINE_ROWS = """SELECT concat('[["int","', l_orderkey, '"],["int","', l_linenumber % 3, '"],["str",', to_json(l_returnflag), ']]') AS row FROM lineitem"""
+
+
+@query("a6_multiset_digest", f"{_multiset('all', _LINE_ROWS)} UNION ALL {_multiset('distinct', _LINE_ROWS.replace('SELECT', 'SELECT DISTINCT', 1))} UNION ALL {_multiset('less one', _LINE_ROWS + ' WHERE NOT (l_orderkey = 1 AND l_linenumber = 1)')}")
+def multiset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of a large result whose rows are summed where they lie: all rows, as a set, and without one row."""
+    rows = table(spark, sf_dir, "lineitem")
+    of = lambda d: execute.canonical(d.select("l_orderkey", (F.col("l_linenumber") % 3).alias("n"), "l_returnflag"))
+    named = lambda name, d: d.select(F.lit(name).alias("name"), "digest", "row_count")
+    out = named("all", execute.multiset_digest(of(rows))).unionByName(named("distinct", execute.multiset_digest(of(rows), distinct=True)))
+    return out.unionByName(named("less one", execute.multiset_digest(of(rows.where("NOT (l_orderkey = 1 AND l_linenumber = 1)")))))
+
+
 @query("a4_a9_rows_and_caps", "SELECT * FROM (VALUES ('all', 25::BIGINT, false, 'passed'), ('ten', 11::BIGINT, true, 'passed'), ('bytes', 2::BIGINT, true, 'passed')) AS v(cap, row_count, result_too_large, status)")
 def rows_and_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in order, and what the caps do; the row that breaks a cap counts."""
@@ -198,6 +218,25 @@ def schema_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.columns(spark, ["customer", "orders", "embeddings"])
 
 
+KEYED = {t: [f"{p}{c}" for c in cs] for t, p, cs in (
+    ("region", "r_", ["regionkey"]), ("nation", "n_", ["nationkey", "regionkey"]), ("supplier", "s_", ["suppkey", "nationkey"]), ("customer", "c_", ["custkey", "nationkey"]),
+    ("part", "p_", ["partkey", "size"]), ("orders", "o_", ["orderkey", "custkey"]), ("lineitem", "l_", ["orderkey", "partkey", "suppkey", "linenumber"]),
+)}
+_VALUES = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, {c}::BIGINT AS v FROM {t}" for t, cs in KEYED.items() for c in cs)
+
+
+@query(
+    "b10_keys",
+    f"""WITH v AS (SELECT t, c, v, count(*) AS n FROM ({_VALUES}) WHERE v IS NOT NULL GROUP BY ALL), s AS (SELECT t, c, count(*) AS many, max(n) = 1 AS once FROM v GROUP BY ALL),
+u AS (SELECT v.*, once FROM v JOIN s USING (t, c)),
+i AS (SELECT a.t, a.c, b.t AS rt, b.c AS rc, count(*) AS shared FROM u a JOIN u b ON a.v = b.v AND a.t <> b.t AND b.once GROUP BY ALL)
+SELECT t AS table_name, c AS column_name, 'unique' AS kind, NULL AS referenced FROM s WHERE once UNION ALL SELECT i.t, i.c, 'included', rt || '.' || rc FROM i JOIN s ON s.t = i.t AND s.c = i.c WHERE shared = many""",
+)
+def key_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that are unique, and those whose values all occur in a unique column of another table."""
+    return catalog.keys({t: table(spark, sf_dir, t).select(*cs) for t, cs in KEYED.items()})
+
+
 @query("b_search_values", "SELECT DISTINCT p_name FROM part WHERE instr(CAST(p_name AS VARCHAR), 'ring') > 0 ORDER BY p_name LIMIT 20")
 def search_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tool that searches a column's values."""

@@ -1,10 +1,7 @@
-"""JSON-lines records, manifests and file hashes."""
+"""JSON-lines records and manifests."""
 
 from __future__ import annotations
 
-import json
-
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,43 +28,12 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(*sorted(df.columns)).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def append_record(spark: SparkSession, folder: str, record: dict) -> str:
-    """Write one record as a new file of a folder that ``read_jsonl`` reads, durably, and return its path.
-
-    Files are numbered; a number that another writer has taken meanwhile is passed over, so no record is lost or written twice.
-    """
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(at)
-    n = max((int(f.getPath().getName().split(".")[0]) for f in fs.listStatus(at) if f.getPath().getName().endswith(".json")), default=-1) + 1
-    while True:
-        path = jvm.org.apache.hadoop.fs.Path(at, f"{n:020d}.json")
-        if not fs.exists(path):
-            try:
-                out = fs.create(path, False)
-                break
-            except Py4JJavaError:
-                if not fs.exists(path):
-                    raise
-        n += 1
-    out.write(bytearray((json.dumps(record, sort_keys=True, ensure_ascii=False, separators=(",", ":")) + "\n").encode()))
-    out.hsync()
-    out.close()
-    return path.toString()
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path of any file system is there."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, sha256) of files; the executors read them."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-
-
 def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """(path, problem) where files and manifest (path, sha256) do not agree: missing, unlisted or changed."""
     m = manifest.select(F.col("path"), F.col("sha256").alias("expected"))

@@ -350,12 +350,3 @@ def test_reports(spark):
         report.compare_report(r, ("base", "sft"), {"base": "h", "sft": "other"})
     one = report.run_report(r.where("label = 'sft'"), "sft", source={"seed": "42"})
     assert "| R-VES | 100.00 |" in one and "| simple | 2 | 100.00% |" in one and "| seed | 42 |" in one
-
-
-def test_durable_records(spark, tmp_path):
-    folder = f"file://{tmp_path}/log"
-    paths = [jsonl.append_record(spark, folder, {"b": i, "a": "é"}) for i in range(3)]
-    (tmp_path / "log" / "00000000000000000007.json").write_text('{"a":"x","b":9}\n')
-    paths.append(jsonl.append_record(spark, folder, {"b": 3, "a": None}))
-    assert len(set(paths)) == 4 and paths[-1].endswith("08.json")
-    assert sorted((r.b, r.a) for r in jsonl.read_jsonl(spark, folder, "a string, b int").where("b < 3").collect()) == [(i, "é") for i in range(3)]
