@@ -117,13 +117,14 @@ def tree_hashes(spark: SparkSession, path: str, chunk: int = CHUNK, fan: int = 1
     names = [(r.path, r.length) for r in files.select("path", "length").collect()] + [(n, 0) for n in _empty(files)]  # names only
     names = [(f"file://{n[5:]}" if n.startswith("file:/") and not n.startswith("file://") else n, size) for n, size in names]
     level = spark.read.format("file_chunks").option("paths", json.dumps([n for n in names if n[1]])).option("chunk", chunk).load()
-    most = max((-(-size // chunk) for _, size in names), default=0)
-    while most > 1:
-        nodes = level.groupBy("path", F.floor(F.col("place") / fan).alias("up")).agg(F.array_sort(F.collect_list(F.struct("place", "sha256"))).alias("x"))  # ``fan`` at most
+    many = {n: -(-size // chunk) for n, size in names}
+    sizes = spark.createDataFrame([(n, size, many[n]) for n, size in names], "path string, size long, many long")
+    level = level.join(sizes.select("path", "many"), "path")
+    for _ in range(next(i for i in range(99) if fan**i >= max(many.values(), default=0))):  # a file that has one node is at its root
+        nodes = level.where("many > 1").groupBy("path", "many", F.floor(F.col("place") / fan).alias("up")).agg(F.array_sort(F.collect_list(F.struct("place", "sha256"))).alias("x"))  # ``fan`` at most
         joined = F.unhex(F.array_join(F.transform("x", lambda v: F.hex(v["sha256"])), ""))
-        level = nodes.select("path", F.col("up").alias("place"), F.unhex(F.sha2(joined, 256)).alias("sha256"))
-        most = -(-most // fan)
-    sizes = spark.createDataFrame(names, "path string, size long")
+        up = nodes.select("path", F.col("up").alias("place"), F.unhex(F.sha2(joined, 256)).alias("sha256"), F.ceil(F.col("many") / fan).alias("many"))
+        level = level.where("many = 1").unionByName(up)
     empty = hashlib.sha256().hexdigest()
     return sizes.join(level, "path", "left").select("path", "size", F.coalesce(F.lower(F.hex("sha256")), F.lit(empty)).alias("tree_sha256"))
 
