@@ -42,9 +42,12 @@ def slow_score(model, text):
         if not found:
             continue
         z = model.bias
+        own = lambda w: int(mix(np.array([(sum((b + 1) * pow(BASE, i, 2**64) for i, b in enumerate(w)) + len(w)) % 2**64], U))[0])
         for w in found:
-            h = (sum((b + 1) * pow(BASE, i, 2**64) for i, b in enumerate(w)) + len(w)) % 2**64
-            z += weight.get(int(mix(np.array([h], U))[0]), 0.0)
+            z += weight.get(own(w), 0.0)
+            for n in T.STEMS:
+                if len(w) > n:
+                    z += weight.get(int(mix(np.array([(own(w[:n]) + n) % 2**64], U))[0]), 0.0)
         left *= 1 / (1 + math.exp(z))
     return 1 - left
 
