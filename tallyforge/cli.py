@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from . import agent, schemas
 from .config import CONFIG, load, problems
-from .operators import audit, diagnostics, groups, metrics, report, sampling, split, training
+from .operators import audit, checks, collection, diagnostics, groups, ledger, metrics, report, sampling, split, training
 from .session import local_session
-from .sources import jsonl
+from .sources import files, jsonl
 
 VERSION = "0.1"
 
@@ -135,6 +135,62 @@ def replay(spark: SparkSession, a: argparse.Namespace) -> None:
     _show(agent.replay(episode, agent.Toolbox(spark), {"question": a.question}, a.gold))
 
 
+def clean_dev(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Examples (task_id, ...) that their audit records let into the evaluation."""
+    kept = audit.final_filter(_read(spark, a.records, schemas.AUDIT)).select("task_id")
+    examples = _read(spark, a.examples)
+    jsonl.write_jsonl(examples.join(kept, "task_id", "left_semi"), a.out)
+    _show({"examples": examples.count(), "kept": jsonl.read_jsonl(spark, a.out, examples.schema.simpleString()[7:-1].replace(":", " ")).count()})
+
+
+def rollout(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Run an episode for each task (task_id, question, db_id, gold_sql, answers: what a policy says in turn) that the log lacks, and append it.
+
+    A log of another configuration or label, or with a task twice, is refused.
+    """
+    _views(spark, a.table)
+    log = files.RecordLog(spark, a.log)
+    kind = "task_id string, config_hash string, label string, terminal_reason string, reward double"
+    done = log.read(kind)
+    collection.resumable(done, a.config_hash, a.label)
+    tasks = _read(spark, a.tasks).withColumn("task_id", F.col("task_id").cast("string"))
+    for r in ledger.pending(tasks, done, ["task_id"]).orderBy("task_id").toLocalIterator():
+        task = {k: str(r[k]) for k in ("task_id", "question", "db_id") if k in r}
+        episode = agent.run_episode(agent.scripted(r["answers"]), agent.Toolbox(spark), task, r["gold_sql"], f"{a.label}:{r['task_id']}")
+        log.append({**episode, "config_hash": a.config_hash, "label": a.label})
+    _show(_rows(log.read(kind).groupBy("terminal_reason").agg(F.count("*").alias("n"), F.avg("reward").alias("reward")).orderBy("terminal_reason")))
+
+
+def judge(spark: SparkSession, a: argparse.Namespace) -> None:
+    """What a judge is shown of episodes, written to OUT; or, with scores, those whose citations do not hold."""
+    episodes = _read(spark, a.episodes)
+    if a.scores is None:
+        jsonl.write_jsonl(episodes.select("episode_id", checks.blind(episodes.columns).alias("payload")), a.out)
+        return _show({"episodes": episodes.count()})
+    events = episodes.select("episode_id", F.explode("events.event_id").alias("event_name"))
+    _show(_rows(checks.cited(_read(spark, a.scores), events).orderBy("episode_id")))
+
+
+def collect(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Rounds of a collection: tasks are handed out by cells (split, db_id, complexity, target), and take their results (task_id, accepted) from a table."""
+    results = _read(spark, a.results).select("task_id", "accepted")
+    attempt = lambda due: due.select("task_id").join(results, "task_id")
+    c = collection.Collection(spark, a.base, _read(spark, a.tasks), _read(spark, a.cells), attempt, a.per_round, a.max_attempts, a.config_hash, a.label, seed=a.seed)
+    why = c.run(a.rounds)
+    _show({"stopped": why, "rounds": c.rounds(), "attempts": c.log().count(), "accepted": c.log().where("accepted").count()})
+
+
+def hash_files(spark: SparkSession, a: argparse.Namespace) -> None:
+    """SHA-256 of files of any size, or their tree hashes."""
+    found = files.tree_hashes(spark, a.path) if a.tree else files.file_hashes(spark, a.path)
+    _show(_rows(found.orderBy("path")))
+
+
+def compact(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Put the segments of a log together."""
+    _show({"segments": files.RecordLog(spark, a.log).compact(a.keep)})
+
+
 def show_config(spark: SparkSession | None, a: argparse.Namespace) -> None:
     """Settings and the rules they break."""
     c = load(a.path) if a.path else CONFIG
@@ -156,6 +212,15 @@ COMMANDS = {
     "groups": (filter_groups, [("rollouts", {}), ("out", {}), ("--quota", {"type": int, "default": 2})]),
     "run": (run_agent, [("answers", {}), ("gold", {}), ("--question", {"default": ""}), ("--table", {"action": "append", "default": []})]),
     "replay": (replay, [("episode", {}), ("gold", {}), ("--question", {"default": ""}), ("--table", {"action": "append", "default": []})]),
+    "clean-dev": (clean_dev, [("records", {}), ("examples", {}), ("out", {})]),
+    "rollout": (rollout, [("tasks", {}), ("log", {}), ("--config-hash", {"default": ""}), ("--label", {"default": "run"}), ("--table", {"action": "append", "default": []})]),
+    "judge": (judge, [("episodes", {}), ("--out", {"default": None}), ("--scores", {"default": None})]),
+    "collect": (
+        collect,
+        [("tasks", {}), ("cells", {}), ("results", {}), ("base", {}), ("--per-round", {"type": int, "default": 20}), ("--max-attempts", {"type": int, "default": None}), ("--rounds", {"type": int, "default": None}), ("--config-hash", {"default": ""}), ("--label", {"default": "run"}), ("--seed", {"type": int, "default": 42})],
+    ),
+    "hash": (hash_files, [("path", {}), ("--tree", {"action": "store_true"})]),
+    "compact": (compact, [("log", {}), ("--keep", {"type": int, "default": 0})]),
     "config": (show_config, [("--path", {"default": None})]),
 }
 
