@@ -28,12 +28,6 @@ def seeded(key: Column, seed: int = 42) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The nearest-rank percentile of an array, ranks rounded half to even; 0 for an empty array."""
-    at = F.bround((F.size(values) - 1) * F.lit(float(p)), 0).cast("int")
-    return F.when(F.size(values) > 0, F.get(F.array_sort(values), at)).otherwise(F.lit(0.0)).cast("double")
-
-
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0 where whole is 0."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
@@ -132,12 +126,6 @@ def canonical_row(dtypes: list[tuple[str, str]], columns: list[Column]) -> Colum
     return F.to_json(F.array(*[canonical_value(c, kind) for c, (_, kind) in zip(columns, dtypes)]))
 
 
-def set_digest(rows: Column) -> Column:
-    """SHA-256 over an array of texts as a set: each distinct one, sorted, after its length in 8 bytes."""
-    framed = lambda x: F.concat(F.lpad(F.hex(F.octet_length(x)), 16, "0"), F.hex(F.encode(x, "utf-8")))
-    return F.sha2(F.unhex(F.array_join(F.transform(F.array_sort(F.array_distinct(rows)), framed), "")), 256)
-
-
 def content_hash(df: DataFrame, *keys: str) -> DataFrame:
     """(keys, content_hash) of rows with a digest f, in whatever order: SHA-256 by the digests' first four letters, then over those parts."""
     joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
@@ -152,7 +140,7 @@ def ranked(df: DataFrame, column: str, keys: list[str], times: Column | None = N
     sums say which range holds a rank, and only that range's values are gone through. So no task sees all distinct values of a key unless they lie in one range.
     """
     c = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("value")).agg((F.count("*") if times is None else F.sum(times)).alias("many"))
-    c = c.withColumn("range", F.floor(F.signum("value") * F.log1p(F.abs("value")) * 256))
+    c = c.withColumn("range", F.when(F.isnan("value"), 2**63 - 1).otherwise(F.floor(F.signum("value") * F.log1p(F.abs("value")) * 256)))
     sums = c.groupBy(*keys, "range").agg(F.sum("many").alias("inside"))
     w = Window.partitionBy(*keys)
     sums = sums.withColumn("before", F.sum("inside").over(w.orderBy("range")) - F.col("inside")).withColumn("all", F.sum("inside").over(w))

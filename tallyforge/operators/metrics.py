@@ -6,8 +6,6 @@ Results are rows in long form: pair_id, position, and the row's values as an arr
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,43 +69,3 @@ def summarize(records: DataFrame) -> DataFrame:
 def score_records(tasks: DataFrame, answers: DataFrame, predictions: DataFrame) -> DataFrame:
     """Tasks with their answers (all must be there) and predictions (null where there is none)."""
     return tasks.join(answers, "task_id", "inner").join(predictions, "task_id", "left")
-
-
-# The same of two Python results, for single pairs.
-def match_rows(predicted: list[tuple], gold: list[tuple]) -> float:
-    """Execution match of two results."""
-    return float(set(predicted) == set(gold))
-
-
-def soft_f1_rows(predicted: list[tuple], gold: list[tuple]) -> float:
-    """Soft F1 of two results."""
-    if not predicted and not gold:
-        return 1.0
-    p, g = list(dict.fromkeys(predicted)), list(dict.fromkeys(gold))
-    tp = fp = fn = 0.0
-    for i in range(max(len(p), len(g))):
-        if i >= len(p):
-            fn += 1
-        elif i >= len(g):
-            fp += 1
-        elif g[i]:
-            n = len(g[i])
-            tp += sum(v in g[i] for v in p[i]) / n
-            fp += sum(v not in g[i] for v in p[i]) / n
-            fn += sum(v not in p[i] for v in g[i]) / n
-    precision = tp / (tp + fp) if tp + fp else 0.0
-    recall = tp / (tp + fn) if tp + fn else 0.0
-    return 2 * precision * recall / (precision + recall) if precision + recall else 0.0
-
-
-def efficiency_of(ratios: list[float]) -> float:
-    """Relative efficiency of one pair's ratios."""
-    if len(ratios) > 1:
-        mean = math.fsum(ratios) / len(ratios)
-        std = math.sqrt(math.fsum((x - mean) ** 2 for x in ratios) / len(ratios))
-        ratios = [x for x in ratios if std == 0 or abs(x - mean) < 3 * std] or ratios
-    if not ratios:
-        return 0.0
-    mean = math.fsum(ratios) / len(ratios)
-    reward = 0.0 if mean <= 0 else next((r for s, r in X.RATIO_STEPS if mean >= s), 0.25)
-    return math.sqrt(reward) * 100

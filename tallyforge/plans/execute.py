@@ -154,7 +154,7 @@ def run_sql(spark: SparkSession, sql: str, timeout: float = TIMEOUT, max_rows: i
 
 
 def python_digest(rows: set[str]) -> str:
-    """``exprs.set_digest`` of a set on the driver."""
+    """SHA-256 of a set of texts: each one, sorted, after its length in 8 bytes."""
     h = hashlib.sha256()
     for r in sorted(rows, key=str.encode):
         b = r.encode()
