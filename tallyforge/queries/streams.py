@@ -171,7 +171,7 @@ def campaign_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         for parts in ((0, 1), (0, 2, 1, 3)):
             for i in parts:
                 a.part(i)
-            ingest.drain(campaign.ledger(a.stream(2)), f"{base}/out", f"{base}/checkpoint", "append", lambda df, n: df)
+            ingest.drain(campaign.ledger(a.stream(6)), f"{base}/out", f"{base}/checkpoint", "append", lambda df, n: df)
     now = campaign.current(spark.read.parquet(f"{base}/out"))
     return now.select("campaign", "attempts", "spent_micro", "used_tokens", "refused", "max_attempts", "pricing_hash", "over_attempts", "over_cost", "over_tokens")
 
