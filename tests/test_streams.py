@@ -29,7 +29,7 @@ def rollouts(spark):
     return spark.createDataFrame(rows, "idx long, uid long, gen long, reward double")
 
 
-@pytest.mark.parametrize("parts, most", [(1, 1), (7, 1), (7, 3)])
+@pytest.mark.parametrize("parts, most", [(1, 1), (7, 3)])
 def test_updates_for_any_files(spark, rollouts, tmp_path, parts, most):
     files(rollouts, f"{tmp_path}/in", parts, "idx")
     f = group_filter.Filter(spark, f"{tmp_path}/out", target=25, size=4, generation=80)
@@ -88,7 +88,7 @@ def test_count_windows_for_any_files(spark, tmp_path):
     for w in range(2):
         part = diagnostics.sequence(a.where(f"id div 100 = {w}"), "id")
         reasons |= {(w, r[0]) for r in diagnostics.pause_rules(diagnostics.totals(part)).where("holds").select("reason").collect()}
-    for parts, most in ((1, 1), (6, 1), (6, 4)):
+    for parts, most in ((1, 1), (6, 4)):
         at = f"{tmp_path}/{parts}-{most}"
         files(a, f"{at}/in", parts, "id")
         w = count_windows.CountWindows(spark, f"{at}/out", "id")
