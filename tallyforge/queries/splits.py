@@ -171,7 +171,7 @@ def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempt = lambda due: due.select("task_id", (F.col("task_id") % 3 != 0).alias("accepted"))
     base = f"{shared_dir(spark)}/collection-{uuid.uuid4().hex}"
     removed_later(spark, base)
-    of = lambda: collection.Collection(spark, base, t, targets, attempt, per_round, config_hash="c", label="first")
+    of = lambda: collection.Collection(spark, base, t, targets, attempt, per_round, config_hash="c", label="first", ahead=True)
     of().run(1)
     attempt(sampling.handed_out(t, targets, of().log().select("task_id", "accepted"), per_round)).write.parquet(f"{base}/open-lost")  # died before its commit
     of().run()

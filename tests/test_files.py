@@ -124,6 +124,17 @@ def test_a_collection_goes_on_after_every_round(spark, plan, tmp_path):
     assert paused.run() == "paused: enough" and len(rows("paused")) == 10
 
 
+def test_a_collection_ahead_takes_few_rounds(spark, plan, tmp_path):
+    """A cell whose tasks are refused, one that needs its last tasks, and one that is soon filled: the log is that of single steps."""
+    attempt = lambda due: due.select("task_id", ((F.col("db_id") == "d0") | (F.col("db_id") == "d2") & (F.col("task_id") % 4 == 1)).alias("accepted"))
+    logs = {}
+    for ahead in (False, True):
+        c = collection.Collection(spark, f"file://{tmp_path}/{ahead}", plan[0], plan[1].withColumn("target", F.lit(2).cast("long")), attempt, 5, ahead=ahead)
+        assert c.run() == "complete"
+        logs[ahead] = c.rounds(), sorted((r.task_id, r.accepted) for r in c.log().collect())
+    assert logs[True][1] == logs[False][1] and logs[True][0] <= 6 < logs[False][0]
+
+
 def test_a_collection_refuses_other_logs(spark, plan, tmp_path):
     attempt = lambda due: due.select("task_id", F.lit(True).alias("accepted"))
     make = lambda **how: collection.Collection(spark, f"file://{tmp_path}/log", *plan, attempt, 5, **how)
