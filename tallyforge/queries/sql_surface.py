@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import execute, guard
+from ..plans import execute, guard, shapes
 from ..session import register, settings, stored, table
 from ..sources import catalog
 from . import query
@@ -151,15 +151,14 @@ def timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(execute.run_sql(spark, sql, timeout=0.5).status,)], "status string")
 
 
-def _statements(spark: SparkSession, sf_dir: str, judge) -> list[tuple]:
-    """(s_suppkey, *judge(key)) of every supplier, in streams of rows: statements are made from the table's keys, and judged as they are parsed, by the driver."""
-    register(spark, sf_dir, ("region", "nation", "customer", "supplier", "orders"))
-    return [(r.s_suppkey, *judge(r.s_suppkey)) for r in table(spark, sf_dir, "supplier").select("s_suppkey").toLocalIterator()]
-
-
-def _of(cases: tuple, k: int) -> tuple:
-    """The case of a key, with the key in its statements."""
-    return tuple(x.replace("{k}", str(k)).replace("{l}", str(k + 1)) if isinstance(x, str) else x for x in cases[k % len(cases)])
+def _judged(spark: SparkSession, sf_dir: str, cases: tuple, judge, result: str, n: int = 1, more: int = 0) -> DataFrame:
+    """(s_suppkey, ``result``) of every supplier: ``judge`` of the first ``n`` texts of its key's case and ``more`` values after them. The statements are made from the table's keys."""
+    names = [f"c{i}" for i in range(n + more)]
+    case = F.get(F.array(*[F.struct(*[F.lit(c[i]).alias(x) for i, x in enumerate(names)]) for c in cases]), F.pmod("s_suppkey", F.lit(len(cases))).cast("int"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", case.alias("c")).select("s_suppkey", "c.*")
+    with_key = lambda x: F.replace(F.replace(x, F.lit("{k}"), F.col("s_suppkey").cast("string")), F.lit("{l}"), (F.col("s_suppkey") + 1).cast("string"))
+    rows = rows.select("s_suppkey", *[with_key(F.col(x)).alias(x) for x in names])
+    return shapes.judged(rows, names[:n], judge, result, tuple(names[n:]))
 
 
 def _cases(cases: tuple, *places: tuple[int, str]) -> str:
@@ -179,12 +178,7 @@ NORMAL = (
 @query("a10_normalised_sql", f"SELECT s_suppkey, {_cases(NORMAL, (2, 'same'))} FROM supplier")
 def normalised_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: which two statements about a supplier are the same after normalisation."""
-
-    def judge(k: int) -> tuple:
-        a, b, _ = _of(NORMAL, k)
-        return (guard.normalize(spark, a) == guard.normalize(spark, b),)
-
-    return spark.createDataFrame(_statements(spark, sf_dir, judge), "s_suppkey long, same boolean")
+    return _judged(spark, sf_dir, NORMAL, lambda a, b: (guard.normalize(spark, a) == guard.normalize(spark, b),), "same boolean", 2)
 
 
 PHYSICAL = (
@@ -198,7 +192,7 @@ PHYSICAL = (
 @query("a11_physical_tables", f"SELECT s_suppkey, {_cases(PHYSICAL, (1, 'tables'))} FROM supplier")
 def physical_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of a statement without its own names, for a statement about each supplier."""
-    return spark.createDataFrame(_statements(spark, sf_dir, lambda k: (",".join(sorted(guard.physical_tables(spark, _of(PHYSICAL, k)[0]))),)), "s_suppkey long, tables string")
+    return _judged(spark, sf_dir, PHYSICAL, lambda a: (",".join(sorted(guard.physical_tables(spark, a))),), "tables string")
 
 
 @query("b9_catalog_scan", "SELECT table_name, count(*) AS n_columns FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem') GROUP BY table_name")
@@ -258,7 +252,7 @@ COMPLEX = (
 @query("fn_sql_complexity", f"SELECT s_suppkey, {_cases(COMPLEX, (1, 'score'), (2, 'class'))} FROM supplier")
 def sql_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complexity of statements about suppliers, from their plans."""
-    return spark.createDataFrame(_statements(spark, sf_dir, lambda k: tuple(guard.complexity(spark, _of(COMPLEX, k)[0]))), "s_suppkey long, score long, class string")
+    return _judged(spark, sf_dir, COMPLEX, lambda a: tuple(guard.complexity(spark, a)), "score long, class string")
 
 
 #: Prediction, gold, status of the prediction (empty: none), label.
@@ -281,9 +275,4 @@ TAXONOMY = (
 @query("fn_error_taxonomy", f"SELECT s_suppkey, {_cases(TAXONOMY, (3, 'label'))} FROM supplier")
 def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of wrong predictions, of a prediction about each supplier."""
-
-    def judge(k: int) -> tuple:
-        prediction, gold, status, _ = _of(TAXONOMY, k)
-        return (guard.classify(spark, prediction, gold, status or None),)
-
-    return spark.createDataFrame(_statements(spark, sf_dir, judge), "s_suppkey long, label string")
+    return _judged(spark, sf_dir, TAXONOMY, lambda prediction, gold, status: (guard.classify(spark, prediction, gold, status or None),), "label string", 2, 1)

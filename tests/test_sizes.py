@@ -1,5 +1,10 @@
 """What failed on larger tables only, on small ones."""
 
+import itertools
+
+import pytest
+
+from tallyforge.plans import guard, shapes
 from tallyforge.queries import ORACLES, QUERIES
 
 from .oracle import connect, duck_rows, spark_rows
@@ -24,3 +29,32 @@ def test_answers_after_a_month_settle_their_reservation(spark, tmp_path):
     e.write.parquet(f"{tmp_path}/events.parquet")
     rows = spark_rows(QUERIES["h5_reservations"](spark, str(tmp_path)))[2]
     assert rows == duck_rows(connect(str(tmp_path)), ORACLES["h5_reservations"])[2] and any("settled_late" in r for r in rows)
+
+
+def test_statements_of_one_shape_are_judged_alike(spark):
+    """Shapes against the judgements one by one, with values that are equal, unequal, or equal but for letter case or form."""
+    atoms = ("5", "6", "05", "5.0", "2147483648", "'A5'", "'a5'", "'b'", "DATE '2024-01-01'", "DATE '2024-13-01'", "x5", '"select"')
+    texts = [f"SELECT a FROM t WHERE k = {x}" for x in atoms] + ["SELECT a FROM t LIMIT 5", "DROP TABLE t5", "DROP TABLE t6", "", "SELECT FROM", "SELECT a FROM t WHERE"]
+    by_shape: dict[str, set] = {}
+
+    def normal(a: str, b: str):
+        try:
+            return guard.normalize(spark, a) == guard.normalize(spark, b)
+        except ValueError as e:
+            return type(e).__name__
+
+    for a, b in itertools.product(texts[:9] + texts[12:], texts[:12]):
+        by_shape.setdefault(shapes.shape([a, b]), set()).add((guard.classify(spark, a, b), normal(a, b)))
+    assert all(len(x) == 1 for x in by_shape.values())
+    of = lambda *t: shapes.shape(list(t))
+    assert of("SELECT 5", "SELECT 6") == of("SELECT 17", "SELECT 4") != of("SELECT 5", "SELECT 5")
+    assert of("SELECT 'A5'", "SELECT 'a5'") == of("SELECT 'B7'", "SELECT 'b7'") != of("SELECT 'A5'", "SELECT 'b5'")
+
+
+@pytest.mark.parametrize("name", ["a10_normalised_sql", "a11_physical_tables", "fn_sql_complexity", "fn_error_taxonomy"])
+def test_the_parser_sees_each_shape_once(spark, tmp_path, monkeypatch, name):
+    spark.range(600).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    parsed, parse = [], guard.parse
+    monkeypatch.setattr(guard, "parse", lambda s, sql: parsed.append(sql) or parse(s, sql))
+    rows = spark_rows(QUERIES[name](spark, str(tmp_path)))[2]
+    assert rows == duck_rows(connect(str(tmp_path)), ORACLES[name])[2] and 0 < len(parsed) < 40
