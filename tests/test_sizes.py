@@ -58,3 +58,14 @@ def test_the_parser_sees_each_shape_once(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(guard, "parse", lambda s, sql: parsed.append(sql) or parse(s, sql))
     rows = spark_rows(QUERIES[name](spark, str(tmp_path)))[2]
     assert rows == duck_rows(connect(str(tmp_path)), ORACLES[name])[2] and 0 < len(parsed) < 40
+
+
+def test_a_band_join_compares_neighbours_only(spark, tmp_path):
+    """Prices on and beside the steps' edges, far apart, very large, odd; against SQL, and the join has a key of the price."""
+    prices = [0.0, 2.9999999999999996, 3.0, 7.999999999999999, 8.0, 12.999999999999998, 13.0, -0.5, -8.0, -4.0, 1e15, 1e15 + 4, 4e15, 1e17, 1e17 + 16, float("inf"), float("-inf"), float("nan"), None]
+    rows = [(i, "b", 1 + i % 2, p) for i, p in enumerate(x for p in prices for x in (p, p))] + [(100 + i, None, None, 3.0) for i in range(2)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["a_theta_join"](spark, str(tmp_path))
+    rows = spark_rows(df)[2]
+    assert rows == duck_rows(connect(str(tmp_path)), ORACLES["a_theta_join"])[2] and len(rows) > 10
+    assert "step" in df._jdf.queryExecution().executedPlan().toString()
