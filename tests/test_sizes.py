@@ -1,9 +1,12 @@
 """What failed on larger tables only, on small ones."""
 
 import itertools
+import random
+from difflib import SequenceMatcher
 
 import pytest
 
+from tallyforge.operators import split
 from tallyforge.plans import guard, shapes
 from tallyforge.queries import ORACLES, QUERIES
 
@@ -69,3 +72,22 @@ def test_a_band_join_compares_neighbours_only(spark, tmp_path):
     rows = spark_rows(df)[2]
     assert rows == duck_rows(connect(str(tmp_path)), ORACLES["a_theta_join"])[2] and len(rows) > 10
     assert "step" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_texts_are_compared_as_the_matcher_does(monkeypatch):
+    """Texts beyond 200 letters with few and many changes: the same ratio, or 0 where it is under the limit, without the matcher's own search."""
+    rng = random.Random(3)
+    cases = []
+    for n in (40, 120, 700):
+        for changes in (0, 1, 2, 5, n // 12, n // 3):
+            for letters in ("etaoinshrdlu", "etaoinshrdluwmfcgypbvkjxqz0123456789"):
+                w = ["".join(rng.choices(letters, [2.0**-i + 0.01 for i in range(len(letters))], k=rng.randrange(2, 9))) for _ in range(n)]
+                v = list(w)
+                for _ in range(changes):
+                    v[rng.randrange(n)] = rng.choice(w)[::-1]
+                cases.append((" ".join(w), " ".join(v)))
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in cases]
+    assert any(0.95 <= x < 1 for x in want) and any(x < 0.95 for x in want)
+    monkeypatch.setattr(split.SequenceMatcher, "find_longest_match", lambda *a, **k: pytest.fail("the matcher went through a long text"))
+    long = [(c, x) for c, x in zip(cases, want) if SequenceMatcher(None, *c).bpopular]
+    assert len(long) > 20 and [split.similar(*c) for c, _ in long] == [x if x >= split.SIMILAR else 0.0 for _, x in long]
