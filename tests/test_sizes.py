@@ -4,11 +4,13 @@ import itertools
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 
 from tallyforge.operators import split
 from tallyforge.plans import guard, shapes
 from tallyforge.queries import ORACLES, QUERIES
+from tallyforge.streaming import campaign
 
 from .oracle import connect, duck_rows, spark_rows
 
@@ -91,3 +93,23 @@ def test_long_texts_are_compared_as_the_matcher_does(monkeypatch):
     monkeypatch.setattr(split.SequenceMatcher, "find_longest_match", lambda *a, **k: pytest.fail("the matcher went through a long text"))
     long = [(c, x) for c, x in zip(cases, want) if SequenceMatcher(None, *c).bpopular]
     assert len(long) > 20 and [split.similar(*c) for c, _ in long] == [x if x >= split.SIMILAR else 0.0 for _, x in long]
+
+
+def test_texts_are_hashed_in_small_batches(spark, monkeypatch):
+    name, seen, stored = "spark.sql.execution.arrow.maxRecordsPerBatch", [], split.stored
+    before = spark.conf.get(name)
+    monkeypatch.setattr(split, "stored", lambda df: seen.append(spark.conf.get(name)) or stored(df))
+    assert split.simhash_bands(spark.createDataFrame([(1, "a b c"), (2, None)], "task_id long, question string")).count() == 4
+    assert seen == [split.TEXTS_AT_ONCE] and spark.conf.get(name) == before
+
+
+def test_a_task_hands_sums_to_the_ledger():
+    """Attempts and reports of a task are one row each, whatever the number of batches."""
+    def batch(rows):
+        names = ["campaign", "shard", "kind", "n", "cost_micro", "tokens", "seq"]
+        return pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=pa.schema([(c, pa.string() if c in ("campaign", "kind") else pa.int32() if c == "shard" else pa.int64()) for c in names]))
+
+    parts = [batch([("c", 1, "attempt", 1, 5, None, i), ("c", 0, "report", 1, 9 - i, 2, i), ("c", 0, "open", 1, None, None, i)]) for i in range(3)]
+    got = sorted(tuple(r.values()) for b in campaign._summed(iter(parts)) for r in b.to_pylist() if r["kind"] != "open")
+    assert got == [("c", 0, "report", 3, 9, 2, None), ("c", 1, "attempt", 3, 15, None, None)]
+    assert sum(r["kind"] == "open" for b in campaign._summed(iter(parts)) for r in b.to_pylist()) == 3
