@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,7 +62,7 @@ class _Ledger(StatefulProcessor):
         openings = []
         for r in rows:
             if r.kind == "attempt":
-                attempts, spent, used = attempts + 1, spent + (r.cost_micro or 0), used + (r.tokens or 0)
+                attempts, spent, used = attempts + r.n, spent + (r.cost_micro or 0), used + (r.tokens or 0)
             elif r.kind == "report":
                 high, high_tokens = max(high, r.cost_micro or 0), max(high_tokens, r.tokens or 0)
             else:
@@ -86,6 +88,36 @@ class _Ledger(StatefulProcessor):
         pass
 
 
+#: What the processor takes: attempts and reports are summed up in their task, openings are as they are.
+_TAKEN = f"campaign string, shard int, kind string, n long, cost_micro long, tokens long, seq long, {', '.join(f'{c} long' for c in LIMITS)}, {', '.join(f'{c} string' for c in HASHES)}, behaviour string, upgrade boolean"
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Openings, and at the end of the task one row of attempts (sums) and one of reports (the largest) for each campaign and shard."""
+    held: list[pa.Table] = []
+    schema = None
+
+    def added() -> pa.Table:
+        t = pa.concat_tables(held)
+        parts = []
+        for kind, how in (("attempt", "sum"), ("report", "max")):
+            s = t.filter(pc.equal(t["kind"], kind)).group_by(["campaign", "shard", "kind"]).aggregate([("n", "sum"), ("cost_micro", how), ("tokens", how)])
+            parts.append(pa.table({f.name: s[f.name] for f in schema if f.name in ("campaign", "shard", "kind")} | {"n": s["n_sum"], "cost_micro": s[f"cost_micro_{how}"], "tokens": s[f"tokens_{how}"]}))
+        return pa.concat_tables(parts)
+
+    for batch in batches:
+        schema = pa.schema([f.with_nullable(True) for f in batch.schema])
+        t = pa.Table.from_arrays(batch.columns, schema=schema)
+        opened = pc.equal(t["kind"], "open")
+        yield from t.filter(opened).to_batches()
+        held.append(t.filter(pc.invert(opened)).select(["campaign", "shard", "kind", "n", "cost_micro", "tokens"]))
+        held[:] = [added()]
+    if held and held[0].num_rows:
+        t = held[0].combine_chunks()
+        full = [t[f.name].cast(f.type) if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in schema]
+        yield from pa.Table.from_arrays(full, schema=schema).to_batches()
+
+
 def ledger(records: DataFrame, shards: int = SHARDS) -> DataFrame:
     """A stream of ``RECORD`` as updates (``OUT``): after each batch the totals of the shards that it touched, and a row for each refused opening.
 
@@ -97,7 +129,9 @@ def ledger(records: DataFrame, shards: int = SHARDS) -> DataFrame:
     own = F.when(F.col("kind") == "attempt", F.col("episode_id")).otherwise(F.concat_ws(":", "kind", "seq"))
     r = records.where(counted & F.col("campaign").isNotNull()).withColumn("own", own).dropDuplicates(["campaign", "kind", "own"])
     shard = F.when(F.col("kind") == "attempt", F.pmod(F.xxhash64("episode_id"), F.lit(shards))).otherwise(0).cast("int")
-    return r.withColumn("shard", shard).groupBy("campaign", "shard").transformWithState(_Ledger(), OUT, "append", "none")
+    names = [x.split()[0] for x in _TAKEN.split(", ")]
+    r = r.withColumn("shard", shard).withColumn("n", F.lit(1).cast("long")).select(*names).mapInArrow(_summed, _TAKEN)
+    return r.groupBy("campaign", "shard").transformWithState(_Ledger(), OUT, "append", "none")
 
 
 def current(updates: DataFrame) -> DataFrame:
