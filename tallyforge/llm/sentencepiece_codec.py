@@ -37,9 +37,10 @@ from ._spark import map_arrow, only, slabs, table, texts, typed
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 3
 BYTE_LOSS = 10.0
-#: Bytes of text whose chunks are told apart together, and characters of distinct chunks searched together.
-SLAB = 1 << 21
-BLOCK = 1 << 18
+#: Bytes of text whose chunks are told apart together, and characters of distinct chunks searched together: some 60 bytes of arrays for each
+#: byte of a slab, and 500 for each character of a block. They bound what a Python worker takes; larger ones are not faster.
+SLAB = 1 << 20
+BLOCK = 1 << 16
 MARK = 0x2581
 #: Added to a MARK that the text itself has: no piece matches it, and its bytes bring it back.
 ESCAPE = 0x110000

@@ -1,11 +1,13 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from tallyforge.llm.sentencepiece_codec import MODEL, Vocabulary, decode, decode_ids, encode, encode_texts, nbest, vocabulary
+from tallyforge.llm._spark import slabs
+from tallyforge.llm.sentencepiece_codec import BLOCK, MODEL, SLAB, Vocabulary, decode, decode_ids, encode, encode_texts, nbest, vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -113,3 +115,19 @@ def test_edges(spark):
     rows = encode_texts(df).collect()
     assert sorted((r.n_ids > 0 for r in rows)) == [False, False, True, True] and all(r.round_trip for r in rows)
     assert encode_texts(df.limit(0)).count() == 0
+
+
+def test_memory_of_a_slab_is_bounded(monkeypatch):
+    """A worker keeps what a slab takes beside the executor's heap; the block's size changes no result."""
+    r = random.Random(5)
+    rows = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(3, 12))) for _ in range(300)) for _ in range(1000)]
+    vocab = vocabulary()
+    tracemalloc.start()
+    got = [encode(vocab, rows[i:j]) for i, j in slabs([len(x) for x in rows], SLAB)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    monkeypatch.setattr("tallyforge.llm.sentencepiece_codec.BLOCK", 4 * BLOCK)
+    other = encode(vocab, rows)
+    assert np.concatenate([x.ids for x in got]).tolist() == other.ids.tolist()
+    assert [x for g in got for x in g.nbest] == other.nbest
