@@ -52,23 +52,44 @@ def gram(n: int) -> tuple[int, int]:
     return k, n - k + 1
 
 
-def marked(text: Column, reading: int) -> Column:
-    """The words of a reading, joined by spaces; a slot is its type's mark and its value.
+def alternatives(words: list[str]) -> str:
+    """A pattern of these words by their first letters, so that another word costs a few looks and not one for each of them."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    return "|".join(c + ("" if rest == [""] else f"(?:{alternatives(rest)})") for c, rest in by.items())
 
-    Each pattern begins with what is rare, so that most letters cost one look.
-    """
+
+def _cleaned(text: Column) -> Column:
+    """What both readings begin with: a text without marks, its digits marked as numbers."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x05]", " ")
     t = F.regexp_replace(t, r"([0-9])[.,](?=[0-9])", "$1")
-    t = F.regexp_replace(t, r"([0-9]+)", f" {_NUMBER}$1 ")
+    return F.regexp_replace(t, r"([0-9]+)", f" {_NUMBER}$1 ")
+
+
+def _read(t: Column, reading: int) -> Column:
     if reading == NAMED:
         t = F.regexp_replace(t, r"(?=\p{Lu})(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", f"{_NAME}$1{_END}")
         t = F.replace(F.replace(t, F.lit(f"{_END} {_NAME}"), F.lit(_AND)), F.lit(_END), F.lit(""))
     t = F.concat(F.lit(" "), F.regexp_replace(F.lower(t), r"[^a-z0-9\x01-\x04\p{L}\p{N}]+", " "), F.lit(" "))
-    t = F.regexp_replace(t, rf" ({'|'.join(NUMBERS)})(?= )", f" {_NUMBER}$1")
+    t = F.regexp_replace(t, rf" ({alternatives(list(NUMBERS))})(?= )", f" {_NUMBER}$1")
     t = F.regexp_replace(t, rf"({_NUMBER}[\p{{L}}0-9]+) +({'|'.join(UNITS)})(?= )", f"$1 {_UNIT}$2")
     return F.trim(t)
 
 
+def marked(text: Column, reading: int) -> Column:
+    """The words of a reading, joined by spaces; a slot is its type's mark and its value.
+
+    Each pattern begins with what is rare, so that most letters cost one look.
+    """
+    return _read(_cleaned(text), reading)
+
+
+def readings(d: DataFrame, read: list[int]) -> DataFrame:
+    """doc_id, th, and m0 and m1 for the readings that are asked for; what they have in common is done once."""
+    return d.select("doc_id", "th", _cleaned(F.col("text")).alias("t")).select("doc_id", "th", *[_read(F.col("t"), r).alias(f"m{r}") for r in read])
+
+
 def _open(words: Column) -> Column:
     """A joined list of words with slots as their types."""
     return F.split(F.regexp_replace(words, r"([\x01-\x03])[\p{L}\p{N}\x04]+", "$1"), " ")
@@ -131,7 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
         grams = _union([x for x, _ in sides]).distinct()
         wins = _union([x for _, x in sides]).withColumn("bt", template(F.col("bw"))).withColumn("h", F.xxhash64("br", "bt"))
         read = [r for r in sizes if sizes[r]]
-        rows = d.select("doc_id", "th", *[marked(F.col("text"), r).alias(f"m{r}") for r in read]).select("*", *[_open(F.col(f"m{r}")).alias(f"t{r}") for r in read])
+        rows = readings(d, read).select("*", *[_open(F.col(f"m{r}")).alias(f"t{r}") for r in read])
         every = F.concat(*[_grams(F.col(f"t{r}"), r, n, gram(n)[1]) for r in read for n in sizes[r]])
         rows = rows.select("doc_id", "th", *[f"m{r}" for r in read], F.explode(every).alias("x")).select("*", "x.*").drop("x")
         step = F.create_map(*[F.lit(x) for n in sorted({n for r in read for n in sizes[r]}) for x in (n, gram(n)[1])])

@@ -1,3 +1,5 @@
+import re
+
 from tallyforge.llm import decontaminate as D
 
 from ._oracle import oracle, rows
@@ -81,3 +83,15 @@ def test_empty_tables_and_odd_names(spark):
     assert [r.contaminated for r in D.contaminated(docs, bench.limit(0)).collect()] == [False]
     odd = spark.createDataFrame([(1, ITEM, 1, 2), (2, "x", 3, 4)], "doc_id long, text string, `a.b` int, TEXT int")
     assert [tuple(r) for r in D.drop_contaminated(odd, bench).collect()] == [(2, "x", 3, 4)]
+
+
+def test_readings_share_their_first_steps(spark):
+    """Both readings begin alike: those patterns stand in the plan once, and number words are told by their letters."""
+    text = "Twenty-one of 3.5 Sixty men, sixteen, seventy seven km; Two Hundred hundreds"
+    d = spark.createDataFrame([(1, 1, text), (2, 2, None)], "doc_id long, th long, text string")
+    both = D.readings(d, [D.PLAIN, D.NAMED])
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("[.,](?=[0-9])") == 1
+    plain, named = both.where("doc_id = 1").select("m0", "m1").first()
+    assert plain == "\x02twenty one of \x0235 \x02sixty men \x02sixteen \x02seventy \x02seven \x03km \x02two \x02hundred hundreds"
+    assert named == "\x01twenty one of \x0235 \x01sixty men \x02sixteen \x02seventy \x02seven \x03km \x01two\x04hundred hundreds"
+    assert all(re.fullmatch(D.alternatives(list(D.NUMBERS)), w) for w in D.NUMBERS)
