@@ -219,7 +219,8 @@ def _units(rows: DataFrame, unit: str) -> DataFrame:
 def apart(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     """``place`` rows for what is still apart in ``nodes`` (node, component, n, c, keys): by component, or by its buckets where less travels for that.
 
-    Buckets are looked at only in components for which more bytes would travel than it takes to read their table keys again.
+    Buckets are looked at only in components for which more bytes would travel than it takes to read their table keys again. A node's keys meet
+    its component as one row, and what is then read by bucket is written once.
     """
     whole = cut(_units(nodes, "component"))
     mine = nodes.join(dealt_anew(whole, "component"), "component")
@@ -228,10 +229,12 @@ def apart(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     dear = cut(whole.where("blocks > 1").join(keys, "component").where(F.col("size") * 8 * F.col("blocks") > F.col("keys") * KEY_BYTES).select("component", "cost"))
     if not dear.limit(1).count():
         return mine.withColumn("unit", F.col("component")).select(*out)
-    inside = shared.join(nodes.join(dealt_anew(dear.select("component"), "component"), "component", "left_semi"), "node")
+    keyed = shared.groupBy("node").agg(F.collect_list(F.struct("key", "low")).alias("x"))  # as many as there are tables at most
+    inside = keyed.join(nodes.join(dealt_anew(dear.select("component"), "component"), "component", "left_semi"), "node")
+    inside = cut(inside.select("node", "component", "n", "c", F.explode("x").alias("x")).select("x.key", "x.low", "node", "component", "n", "c"))
     prints = [F.count("*").alias("many"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")]
     once = inside.groupBy("key", "low", "component").agg(*prints).groupBy("component", "low", "many", "s1", "s2").agg(F.min("key").alias("key")).select("key")
-    inside = inside.join(dealt_anew(once, "key"), "key").select("key", "node", "component", "n", "c")  # of buckets with the same members, one
+    inside = cut(inside.join(dealt_anew(once, "key"), "key").select("key", "node", "component", "n", "c"))  # of buckets with the same members, one
     buckets = _units(inside, "key")
     costs = inside.select("key", "component").distinct().join(buckets, "key").groupBy("component").agg(F.sum("cost").alias("by_bucket"))
     split = cut(costs.join(dear, "component").where("by_bucket < cost").select("component"))
@@ -256,14 +259,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     cls = cut(cls.select("c1", "c2", "n", "least", "rep.*").withColumn("node", F.monotonically_increasing_id()))
     shared = shared_tables(cls, halves)
     stars = shared.where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    comp = connected_components(stars).join(cls.select("node", "n", "k", "th"), "node").join(shared.groupBy("node").agg(F.count("*").alias("keys")), "node")
-    sizes = dealt_anew(comp.groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("size")), "component")
-    comp = cut(comp.join(sizes, "component").withColumn("large", F.col("many") > large))
+    comp = connected_components(stars).join(cls.select("node", "n", "k", "th"), "node")
+    comp = cut(comp.join(shared.groupBy("node").agg(F.count("*").alias("keys")), "node"))
+    big = cut(comp.groupBy("component").agg(F.count("*").alias("many")).where(F.col("many") > large).select("component"))
     of = comp.select(F.col("k").alias("mk"), F.col("th").alias("mh"), "node")
     held = cut(d.join(of.hint("merge"), d["k"].eqNullSafe(of["mk"]) & (d["th"] == of["mh"])).select("node", "text"))
     nodes, found = comp.select("node", "component", "n", "keys", F.col("node").alias("c")), []
-    most = comp.where("large").select("node", "n")
-    if most.limit(1).count():
+    if big.limit(1).count():
+        most = cut(comp.join(big, "component", "left_semi").select("node", "n"))
         found.append(cut(confirmed(held, led(shared, most), threshold, size)))
         followed = found[0].groupBy("b").agg(F.count("*").alias("many"))
         leader = found[0].join(dealt_anew(followed, "b"), "b").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("many", "b")).alias("lead"))

@@ -150,3 +150,41 @@ def test_long_chain_goes_by_buckets(spark):
     nodes = one.select("node", F.lit(0).cast("long").alias("component"), "n", F.lit(3).cast("long").alias("keys"), F.col("node").alias("c"))
     got = tensor_minhash.apart(shared, nodes).groupBy("unit").agg(F.count("*").alias("many"), F.max("blocks").alias("blocks"))
     assert got.agg(F.max("many"), F.max("blocks"), F.sum("many")).first() == (2, 1, 2 * n - 2)
+
+
+def joined_rows(spark, on, f):
+    """Rows that inner joins on one column made while ``f`` ran, by the metrics of Spark's SQL status."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().listenerBus()
+
+    def executions():
+        bus.waitUntilEmpty()
+        found = store.executionsList()
+        return [found.apply(i).executionId() for i in range(found.size())]
+
+    before, total = max(executions(), default=-1), 0
+    f()
+    for k in (k for k in executions() if k > before):
+        nodes, values = store.planGraph(k).allNodes(), store.executionMetrics(k)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and re.search(rf"\[{on}#\d+L?\], \[{on}#\d+L?\], Inner", node.desc()):
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                of = [m.accumulatorId() for m in metrics if m.name() == "number of output rows"]
+                total += sum(int(values.apply(i).replace(",", "")) for i in of if values.contains(i))
+    return total
+
+
+@pytest.mark.parametrize("n", [1200, 2400])
+def test_keys_of_a_dear_group_meet_it_as_one_row_a_node(spark, n):
+    """A group of long texts that goes by its buckets: joins on the node make a row for each node, not one for each of its 8 table keys and use."""
+    one = spark.range(n).select(F.col("id").alias("node"), F.lit(40_000).cast("long").alias("n"))
+    keys = F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda t: F.xxhash64(t, F.floor(F.col("node") / t))))
+    shared = one.select("node", keys.alias("key"), F.lit(True).alias("even")).withColumn("low", F.min("node").over(Window.partitionBy("key")))
+    nodes = one.select("node", F.lit(0).cast("long").alias("component"), "n", F.lit(8).cast("long").alias("keys"), F.col("node").alias("c"))
+    placed = []
+    made = joined_rows(spark, "node", lambda: placed.extend(tensor_minhash.apart(shared, nodes).select("unit", "node").collect()))
+    by = {}
+    for r in placed:
+        by.setdefault(r.unit, set()).add(r.node)
+    want = {frozenset(range(i, min(i + t, n))) for t in range(2, 9) for i in range(0, n, t) if i + 1 < n}
+    assert {frozenset(x) for x in by.values()} == want and len(by) == len(want)
+    assert 0 < made <= 2 * n
