@@ -2,13 +2,14 @@
 
 import itertools
 import random
+import time
 from difflib import SequenceMatcher
 
 import pyarrow as pa
 import pytest
 
 from tallyforge.operators import split
-from tallyforge.plans import guard, shapes
+from tallyforge.plans import execute, guard, shapes
 from tallyforge.queries import ORACLES, QUERIES
 from tallyforge.streaming import campaign
 
@@ -113,3 +114,29 @@ def test_a_task_hands_sums_to_the_ledger():
     got = sorted(tuple(r.values()) for b in campaign._summed(iter(parts)) for r in b.to_pylist() if r["kind"] != "open")
     assert got == [("c", 0, "report", 3, 9, 2, None), ("c", 1, "attempt", 3, 15, None, None)]
     assert sum(r["kind"] == "open" for b in campaign._summed(iter(parts)) for r in b.to_pylist()) == 3
+
+
+@pytest.mark.parametrize("timeout", [0.001, 2.0])
+def test_a_late_statement_leaves_no_task(spark, timeout):
+    """Late before its first job, and late within a loop over rows of three tables: it ends, and so do its tasks."""
+    spark.range(6000).createOrReplaceTempView("wide")
+    running = lambda: sum(i.numRunningTasks() for i in spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos())
+    out = execute.run_sql(spark, "SELECT count(*) AS n FROM wide a JOIN wide b ON a.id < b.id + 7000 JOIN wide c ON b.id < c.id + 7000", timeout=timeout)
+    assert out.status == "timeout" and out.elapsed_ms < 1000 * timeout + 4000
+    end = time.monotonic() + 3
+    while running() and time.monotonic() < end:
+        time.sleep(0.05)
+    assert running() == 0
+
+
+def test_joins_that_can_be_stopped_have_the_same_rows(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.range(40).createOrReplaceTempView("narrow")
+    for kind in ("JOIN", "LEFT JOIN", "FULL JOIN"):
+        out = execute.run_sql(spark, f"SELECT a.id, b.id FROM narrow a {kind} narrow b ON a.id > b.id + 30 AND a.id < 38", timeout=60, keep_rows=True)
+        rows = [(a, b) for a in range(38) for b in range(40) if a > b + 30]
+        rows += [(a, None) for a in range(40) if kind != "JOIN" and a not in {x for x, _ in rows}]
+        rows += [(None, b) for b in range(40) if kind == "FULL JOIN" and b not in {y for _, y in rows}]
+        assert out.status == "passed" and sorted(out.rows, key=str) == sorted(rows, key=str)
+    assert spark.conf.get(name) == before
