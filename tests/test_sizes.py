@@ -140,3 +140,23 @@ def test_joins_that_can_be_stopped_have_the_same_rows(spark):
         rows += [(None, b) for b in range(40) if kind == "FULL JOIN" and b not in {y for _, y in rows}]
         assert out.status == "passed" and sorted(out.rows, key=str) == sorted(rows, key=str)
     assert spark.conf.get(name) == before
+
+
+def test_near_pairs_bring_few_texts_at_once(spark, monkeypatch):
+    """400 candidates of 40 texts: compared in rounds of about as many letters as the classes have, all of them, and no shuffle file is left but those of the last sort."""
+    rng = random.Random(5)
+    w = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(3, 9))) for _ in range(30)]
+    texts = [" ".join([*w[: i % 25], f"x{i}", *w[i % 25 + 1 :]]) for i in range(40)] + [" ".join(w)] * 2
+    tasks = spark.createDataFrame(list(enumerate(texts)), "task_id long, question string")
+    seen, stored = [], split.stored
+    monkeypatch.setattr(split, "stored", lambda df: seen.append(df.columns) or stored(df))
+    monkeypatch.setattr(split, "LETTERS_AT_ONCE", 1, raising=False)
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(f.length() for f in (lambda s: (s.apply(i) for i in range(s.size())))(files.getAllFiles()) if f.getName().startswith("shuffle_"))
+    before = held()
+    df = split.near_pairs(tasks.where("task_id % 2 = 0"), tasks.where("task_id % 2 = 1"))
+    left = held() - before
+    got = {(r.train_task_id, r.dev_task_id): r.similarity for r in df.collect()}
+    want = {(i, j): round(split.similar(texts[i], texts[j]), 6) for i in range(0, 42, 2) for j in range(1, 42, 2) if texts[i] != texts[j]}
+    assert got == {k: v for k, v in want.items() if v >= split.SIMILAR} and len(got) > 100
+    assert sum("similarity" in c for c in seen) > 5 and left < 1000
